@@ -49,14 +49,19 @@ def safe_filename(path: Column) -> Column:
 
 
 def human_bytes(size: Column) -> Column:
-    """One-decimal size in binary units."""
+    """One-decimal size in binary units; halves go to the even digit."""
     text, scale = None, 1.0
     for unit in ("", "K", "M", "G", "T", "P", "E", "Z"):
-        label = F.format_string("%.1f %sB", size.cast("double") / F.lit(scale), F.lit(unit))
+        label = F.format_string("%.1f %sB", F.bround(size.cast("double") / F.lit(scale), 1), F.lit(unit))
         small = F.abs(size) < F.lit(scale * 1024.0)
         text = F.when(small, label) if text is None else text.when(small, label)
         scale *= 1024.0
-    return text.otherwise(F.format_string("%.1f YB", size.cast("double") / F.lit(scale)))
+    return text.otherwise(F.format_string("%.1f YB", F.bround(size.cast("double") / F.lit(scale), 1)))
+
+
+def micros(ts: Column) -> Column:
+    """Microseconds since the epoch of a timestamp with or without zone."""
+    return F.unix_micros(ts.cast("timestamp"))
 
 
 def duration_seconds(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text
-from .ordering import DEFAULT_BLOCKS, block_by_bounds, dense_position, order_bounds
+from .ordering import block_by_bounds, dense_position, order_bounds
 
 
 def composition(df: DataFrame, by: str = "category", is_new: Column | None = None) -> DataFrame:
@@ -101,7 +101,7 @@ def warm_latency(calls: DataFrame, by: list[str], order: str, latency: str = "la
     )
 
 
-def exact_median(df: DataFrame, group: list[str], value: str, tie: str, blocks: int = DEFAULT_BLOCKS) -> DataFrame:
+def exact_median(df: DataFrame, group: list[str], value: str, tie: str, blocks: int | None = None) -> DataFrame:
     """Median per group by distributed rank.
 
     ``median()`` merges all values of a group in one task; here only the one or two middle rows of

@@ -89,10 +89,10 @@ def quality_report(pairs: DataFrame, key: str = "pair") -> DataFrame:
     clip = lambda v, low, high: F.least(F.greatest(v, F.lit(low)), F.lit(high))
     return luma.join(drift, key, "left").select(
         key,
-        F.round("so", 1).alias("orig_sharpness"),
-        F.round("se", 1).alias("enh_sharpness"),
-        F.round(clip(gain, 0.0, 1000.0), 1).alias("sharpness_gain_pct"),
-        F.round(clip(100.0 - F.col("drift") * 1.5, 70.0, 99.9), 1).alias("tone_fidelity_pct"),
+        F.bround("so", 1).alias("orig_sharpness"),
+        F.bround("se", 1).alias("enh_sharpness"),
+        F.bround(clip(gain, 0.0, 1000.0), 1).alias("sharpness_gain_pct"),
+        F.bround(clip(100.0 - F.col("drift") * 1.5, 70.0, 99.9), 1).alias("tone_fidelity_pct"),
     )
 
 

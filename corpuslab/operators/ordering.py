@@ -14,7 +14,12 @@ import tempfile
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-DEFAULT_BLOCKS = 256
+MAX_BLOCKS = 4096
+
+
+def default_blocks(df: DataFrame) -> int:
+    """As many blocks as the session shuffles into, within a bound."""
+    return min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_BLOCKS)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -31,8 +36,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def order_bounds(df: DataFrame, column: str, blocks: int = DEFAULT_BLOCKS) -> list:
+def order_bounds(df: DataFrame, column: str, blocks: int | None = None) -> list:
     """At most ``blocks - 1`` ascending cut values of a column; the only data brought to the driver."""
+    blocks = blocks or default_blocks(df)
     kind = df.schema[column].dataType
     if isinstance(kind, T.NumericType) or isinstance(kind, (T.DateType, T.TimestampType)):
         shares = [i / blocks for i in range(1, blocks)]
@@ -62,7 +68,7 @@ def block_by_bounds(column: Column, bounds: list) -> Column:
     return coarse * step + fine
 
 
-def block_by_uniform(draw: Column, blocks: int = DEFAULT_BLOCKS) -> Column:
+def block_by_uniform(draw: Column, blocks: int) -> Column:
     """Block of a value spread evenly over [0, 1)."""
     return F.floor(draw * blocks).cast("int")
 
@@ -92,7 +98,7 @@ def dense_position(df: DataFrame, order: list, block: Column, group: list[str] |
     return placed.select(*df.columns, (F.col("_start") + F.col("_local") - 1).cast("bigint").alias(out))
 
 
-def position_by(df: DataFrame, order: str, group: list[str] | None = None, out: str = "position", blocks: int = DEFAULT_BLOCKS) -> DataFrame:
+def position_by(df: DataFrame, order: str, group: list[str] | None = None, out: str = "position", blocks: int | None = None) -> DataFrame:
     """:func:`dense_position` for one unique, non-hashed order column."""
     bounds = order_bounds(df, order, blocks)
     return dense_position(df, [order], block_by_bounds(F.col(order), bounds), group, out)

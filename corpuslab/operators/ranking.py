@@ -7,10 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text
-from .ordering import DEFAULT_BLOCKS, group_limit_threshold, position_by
+from .ordering import block_by_bounds, dense_position, group_limit_threshold, order_bounds, position_by
 
 
-def take_per_group(df: DataFrame, group: list[str], n: int, order: list, blocks: int = DEFAULT_BLOCKS) -> DataFrame:
+def take_per_group(df: DataFrame, group: list[str], n: int, order: list, blocks: int | None = None) -> DataFrame:
     """First ``n`` rows of each group.
 
     Small ``n``: ``row_number() <= n``, which Spark trims on the map side, so a hot group ships at
@@ -24,9 +24,7 @@ def take_per_group(df: DataFrame, group: list[str], n: int, order: list, blocks:
     return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
-def _positions_with_ties(df: DataFrame, group: list[str], order: list, blocks: int) -> DataFrame:
-    from .ordering import block_by_bounds, dense_position, order_bounds
-
+def _positions_with_ties(df: DataFrame, group: list[str], order: list, blocks: int | None) -> DataFrame:
     bounds = order_bounds(df, order[0], blocks)
     return dense_position(df, order, block_by_bounds(F.col(order[0]), bounds), group, "_pos")
 
@@ -49,7 +47,7 @@ def take_quota(
         held = existing.groupBy(tag).agg(F.count(F.lit(1)).alias("_held"))
         left = left.join(held, tag, "left").select(tag, (F.col("_left") - F.coalesce("_held", F.lit(0))).alias("_left"))
     if largest > group_limit_threshold(df) and isinstance(order[0], str):
-        ranked = _positions_with_ties(df, [tag], order, DEFAULT_BLOCKS).withColumn("_rank", F.col("_pos") + 1).drop("_pos")
+        ranked = _positions_with_ties(df, [tag], order, None).withColumn("_rank", F.col("_pos") + 1).drop("_pos")
     else:
         ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(tag).orderBy(*order)))
     ranked = ranked.where(F.col("_rank") <= int(largest))
@@ -65,7 +63,7 @@ def existing_max(names: DataFrame, prefixes: DataFrame, name: str = "name", pref
     return prefixes.select(prefix).distinct().join(best, prefix, "left").select(prefix, F.coalesce("_id", F.lit(-1)).alias("max_id"))
 
 
-def append_ids(df: DataFrame, maxima: DataFrame, order: str, prefix: str = "prefix", blocks: int = DEFAULT_BLOCKS) -> DataFrame:
+def append_ids(df: DataFrame, maxima: DataFrame, order: str, prefix: str = "prefix", blocks: int | None = None) -> DataFrame:
     """Dense ids from ``max_id + 1`` in ``order`` within each prefix; adds ``item_id`` and ``item_name``."""
     placed = position_by(df, order, [prefix], "_pos", blocks)
     numbered = placed.join(maxima.select(prefix, "max_id"), prefix, "left")
@@ -238,7 +236,7 @@ def linear_scan(df: DataFrame, factor: float, series: list[str], position: str,
     )
 
 
-def ema(df: DataFrame, decay: float, series: list[str], order: str, value: str, blocks: int = DEFAULT_BLOCKS, out: str = "ema") -> DataFrame:
+def ema(df: DataFrame, decay: float, series: list[str], order: str, value: str, blocks: int | None = None, out: str = "ema") -> DataFrame:
     """``e_t = d e_{t-1} + (1-d) x_t`` with ``e_0 = x_0``, in ``order`` (unique per series)."""
     placed = position_by(df.select(*series, order, value), order, series, "_pos", blocks)
     term = F.when(F.col("_pos") == 0, F.col(value).cast("double")).otherwise(F.lit(1.0 - decay) * F.col(value))
@@ -254,7 +252,7 @@ def eta(df: DataFrame, total: int, run: str = "run", iteration: str = "iteration
     """
     start = df.groupBy(run).agg(F.min(iteration).alias("_i0"), F.min_by(ts, iteration).alias("_t0"))
     timed = df.join(start, run)
-    elapsed = (F.unix_micros(ts) - F.unix_micros("_t0")) / F.lit(1e6)
+    elapsed = (text.micros(F.col(ts)) - text.micros(F.col("_t0"))) / F.lit(1e6)
     mean = elapsed / (F.col(iteration) - F.col("_i0") + 1)
     return timed.withColumns(
         {"sec_per_iter": mean, "eta_s": mean * (F.lit(total) - F.col(iteration) - 1)}

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text
 from ..functions.hashing import choose, order_key, uniform, uniform_int, uniform_range
 from ..schemas import DEGRADATION, IMAGE_SUFFIXES
-from .ordering import DEFAULT_BLOCKS, block_by_uniform, dense_position, position_by
+from .ordering import block_by_uniform, default_blocks, dense_position, position_by
 from .pixels import LUMA_GRAY
 
 # Fixed value: seed of the published holdout.
@@ -43,7 +43,7 @@ def split(df: DataFrame, key: str, weights: dict[str, float] | None = None, seed
     return df.withColumn(out, choose(key, "split", parts, seed))
 
 
-def epoch_sample(df: DataFrame, key: str, ratio: float = 1, replicas: int = 1, epoch: int = 0, rank: int | None = None, blocks: int = DEFAULT_BLOCKS) -> DataFrame:
+def epoch_sample(df: DataFrame, key: str, ratio: float = 1, replicas: int = 1, epoch: int = 0, rank: int | None = None, blocks: int | None = None) -> DataFrame:
     """Order of one epoch: ``key, copy_pos, position, rank, rank_pos``.
 
     ``total = ceil(n ratio / replicas) * replicas`` positions index the items modulo ``n`` and are
@@ -57,7 +57,7 @@ def epoch_sample(df: DataFrame, key: str, ratio: float = 1, replicas: int = 1, e
     copies = F.sequence(F.col("_idx"), F.lit(total - 1).cast("bigint"), F.lit(total_items).cast("bigint"))
     placed = items.where(F.col("_idx") < total).select(key, F.explode(copies).alias("copy_pos"))
     drawn = placed.withColumn("_u", uniform("copy_pos", "epoch", epoch))
-    ordered = dense_position(drawn, ["_u", "copy_pos"], block_by_uniform(F.col("_u"), blocks), None, "position")
+    ordered = dense_position(drawn, ["_u", "copy_pos"], block_by_uniform(F.col("_u"), blocks or default_blocks(df)), None, "position")
     ranked = ordered.drop("_u").withColumns(
         {
             "rank": (F.col("position") % replicas).cast("int"),

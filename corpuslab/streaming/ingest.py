@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.joins import skip_existing
-from ..operators.ordering import DEFAULT_BLOCKS, position_by
+from ..operators.ordering import position_by
 from ..operators.ranking import dedupe
 
 
@@ -21,7 +21,7 @@ def read_stored(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def ingest_batch(batch: DataFrame, stored: DataFrame, key: str, order: str, limit: int | None, valid: Column | None = None, prefix: str = "item", blocks: int = DEFAULT_BLOCKS) -> DataFrame:
+def ingest_batch(batch: DataFrame, stored: DataFrame, key: str, order: str, limit: int | None, valid: Column | None = None, prefix: str = "item", blocks: int | None = None) -> DataFrame:
     """New, valid, distinct rows of one batch with ids that continue the stored ones, up to ``limit`` in all."""
     good = batch if valid is None else batch.where(F.coalesce(valid, F.lit(False)))
     good = good.where(F.col(key).isNotNull())

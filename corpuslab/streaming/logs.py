@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.text import duration_seconds, micros
+
 WATERMARK = "10 minutes"
 LIVENESS_TIMEOUT_S = 180
 
@@ -23,8 +25,6 @@ DASHBOARD_LOSSES = ("l_g_pix", "l_g_percep", "l_g_identity")
 
 def parse_training_log(lines: DataFrame, line_col: str = "value", keep: list[str] | None = None) -> DataFrame:
     """``iteration, eta, eta_s, losses`` of every line with a header and a loss tail; others are skipped."""
-    from ..functions.text import duration_seconds
-
     line = F.col(line_col)
     tail = F.regexp_extract(line, TAIL_PATTERN, 1)
     parts = F.str_to_map(F.regexp_replace(tail, r": ", ":"), F.lit(r"\s+"), F.lit(":"))
@@ -66,7 +66,7 @@ def stream_training_log(spark: SparkSession, path: str, max_files: int | None =
 def run_liveness(records: DataFrame, now, timeout_s: int = LIVENESS_TIMEOUT_S, run: str = "run", ts: str = "ts") -> DataFrame:
     """``running`` or ``paused`` per run against a given clock."""
     last = records.groupBy(run).agg(F.max(ts).alias("last_ts"))
-    age = (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros("last_ts")) / F.lit(1e6)
+    age = (micros(F.lit(now)) - micros(F.col("last_ts"))) / F.lit(1e6)
     return last.select(run, "last_ts", F.when(age < timeout_s, "running").otherwise("paused").alias("status"))
 
 
@@ -110,7 +110,7 @@ def stream_liveness(records: DataFrame, timeout_s: int = LIVENESS_TIMEOUT_S, run
 
     Event-time timers fire when the watermark passes ``last record + timeout``.
     """
-    slim = records.select(F.col(run).cast("string").alias("run"), F.col(ts).alias("ts"), F.unix_millis(ts).alias("ts_ms"))
+    slim = records.select(F.col(run).cast("string").alias("run"), F.col(ts).cast("timestamp").alias("ts"), F.floor(micros(F.col(ts)) / 1000).alias("ts_ms"))
     return (
         slim.withWatermark("ts", watermark)
         .groupBy("run")

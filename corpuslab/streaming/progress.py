@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.text import micros
+
 # Stages in order; progress of the last one is 1.
 STAGES = ("initialization", "background", "detection", "restoration", "blending", "complete")
 
@@ -25,5 +27,5 @@ def stage_durations(events: DataFrame, request: str = "request") -> DataFrame:
     """
     starts = events.groupBy(request, "stage").agg(F.min("ts").alias("started"))
     following = F.lead("started").over(Window.partitionBy(request).orderBy("started", "stage"))
-    seconds = (F.unix_micros(following) - F.unix_micros("started")) / F.lit(1e6)
+    seconds = (micros(following) - micros(F.col("started"))) / F.lit(1e6)
     return starts.withColumn("seconds", seconds)

@@ -27,18 +27,36 @@ def to_rel_posix(path: Column, root: str = "") -> Column:
     return F.nullif(clean, F.lit(""))
 
 
+# Each of these names its argument once: a filter on the result is pushed below the projection,
+# and an argument named twice would be evaluated twice there.
+
+
+def _posix(path: Column) -> Column:
+    return F.replace(path, F.lit("\\"), F.lit("/"))
+
+
 def basename(path: Column) -> Column:
-    return F.regexp_extract(F.replace(path, F.lit("\\"), F.lit("/")), r"([^/]*)$", 1)
+    return F.substring_index(_posix(path), "/", -1)
+
+
+def folder(path: Column) -> Column:
+    """Everything before the base name, without the separator."""
+    return F.regexp_replace(_posix(path), r"/?[^/]*$", "")
+
+
+def raw_suffix(path: Column) -> Column:
+    """Last suffix of the base name with its dot, empty when there is none; leading dots start no suffix."""
+    return F.regexp_extract(basename(path), r"^\.*[^.].*(\.[^.]*)$", 1)
 
 
 def suffix(path: Column) -> Column:
-    """Lower-case suffix with its dot, empty when there is none; a leading dot is no suffix."""
-    return F.lower(F.regexp_extract(basename(path), r"^\.*[^.].*?(\.[^.]*)$", 1))
+    """:func:`raw_suffix` in lower case."""
+    return F.lower(raw_suffix(path))
 
 
 def store_key(path: Column) -> Column:
     """Base name without its last suffix: ``a.b.png`` gives ``a.b``."""
-    return F.regexp_replace(basename(path), r"^(\.*[^.].*?)\.[^.]*$", "$1")
+    return F.regexp_replace(basename(path), r"^(\.*[^.].*)\.[^.]*$", "$1")
 
 
 def safe_filename(path: Column) -> Column:
@@ -66,7 +84,10 @@ def micros(ts: Column) -> Column:
 
 def duration_seconds(text: Column) -> Column:
     """Seconds in ``H:MM:SS`` or ``N day(s), H:MM:SS``; null when it is neither."""
-    pattern = r"^\s*(?:(-?\d+) days?, )?(\d+):(\d{2}):(\d{2})"
-    days = F.coalesce(F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).cast("bigint"), F.lit(0))
-    part = [F.nullif(F.regexp_extract(text, pattern, i), F.lit("")).cast("bigint") for i in (2, 3, 4)]
-    return days * 86400 + part[0] * 3600 + part[1] * 60 + part[2]
+    pattern = r"^\s*(?:(\d+) days?, )?(\d+):(\d{2}):(\d{2}).*$"
+    fields = F.split(F.regexp_replace(text, pattern, "0$1:$2:$3:$4"), ":")
+    return F.aggregate(
+        F.zip_with(fields, F.array(F.lit(86400), F.lit(3600), F.lit(60), F.lit(1)), lambda v, s: v.try_cast("bigint") * s),
+        F.lit(0).cast("bigint"),
+        lambda total, v: total + v,
+    )

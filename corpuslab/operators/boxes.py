@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geometry
@@ -13,34 +12,27 @@ from .ranking import take_per_group
 CORNERS = ("x1", "y1", "x2", "y2")
 
 
-def _extent(df: DataFrame) -> DataFrame:
-    return df.select((F.col("x2") - F.col("x1")).alias("_w"), (F.col("y2") - F.col("y1")).alias("_h"))
-
-
 def _cell_size(*tables: DataFrame) -> tuple[Column, Column]:
-    """Grid cell = the larger root mean square box side of the tables, as scalar subqueries.
+    """Grid cell = the larger root mean square box side of the tables, read in one aggregate.
 
     By Cauchy-Schwarz a table then covers at most four cells per box on average, whatever the spread
     of box sizes.
     """
-    floor = F.lit(1e-6)
-    widths, heights = [], []
-    for df in tables:
-        side = _extent(df)
-        widths.append(F.coalesce(side.agg(F.sqrt(F.avg(F.pow("_w", F.lit(2))))).scalar(), floor))
-        heights.append(F.coalesce(side.agg(F.sqrt(F.avg(F.pow("_h", F.lit(2))))).scalar(), floor))
-    return F.greatest(floor, *widths) if len(widths) > 1 else F.greatest(floor, widths[0], floor), (
-        F.greatest(floor, *heights) if len(heights) > 1 else F.greatest(floor, heights[0], floor)
-    )
+    sides = None
+    for i, df in enumerate(tables):
+        part = df.select(F.lit(i).alias("t"), (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"))
+        sides = part if sides is None else sides.unionByName(part)
+    found = sides.groupBy("t").agg(F.avg(F.col("w") * F.col("w")).alias("w"), F.avg(F.col("h") * F.col("h")).alias("h")).collect()
+    largest = lambda c: max([1e-6, *(r[c] ** 0.5 for r in found if r[c] is not None)])
+    return F.lit(largest("w")), F.lit(largest("h"))
 
 
 def _spread(df: DataFrame, corners: tuple[str, ...], cell_w: Column, cell_h: Column) -> DataFrame:
     """One row per grid cell a box touches."""
     x1, y1, x2, y2 = (F.col(c) for c in corners)
-    sized = df.withColumns({"_cw": cell_w, "_ch": cell_h})
-    xs = F.sequence(F.floor(x1 / F.col("_cw")), F.floor(F.greatest(x1, x2) / F.col("_cw")))
-    ys = F.sequence(F.floor(y1 / F.col("_ch")), F.floor(F.greatest(y1, y2) / F.col("_ch")))
-    return sized.withColumn("_cx", F.explode(xs)).withColumn("_cy", F.explode(ys))
+    xs = F.sequence(F.floor(x1 / cell_w), F.floor(F.greatest(x1, x2) / cell_w))
+    ys = F.sequence(F.floor(y1 / cell_h), F.floor(F.greatest(y1, y2) / cell_h))
+    return df.withColumn("_cx", F.explode(xs)).withColumn("_cy", F.explode(ys))
 
 
 def box_overlap(a: DataFrame, b: DataFrame, kind: str = "iou", on: tuple[str, ...] = ("img",), idx: str = "det_idx", min_overlap: float = 0.0) -> DataFrame:
@@ -50,20 +42,23 @@ def box_overlap(a: DataFrame, b: DataFrame, kind: str = "iou", on: tuple[str, ..
     upper left shared corner), so a crowded image is split by place and pairs that are apart are
     never formed. Pairs that do not overlap are not returned: their overlap is 0.
     """
-    cell_w, cell_h = _cell_size(a, b)
     left = a.select(*on, F.col(idx).alias("a_idx"), *[F.col(c).cast("double").alias(f"a_{c}") for c in CORNERS])
     right = b.select(*on, F.col(idx).alias("b_idx"), *[F.col(c).cast("double").alias(f"b_{c}") for c in CORNERS])
-    left = _spread(left, tuple(f"a_{c}" for c in CORNERS), cell_w, cell_h)
-    right = _spread(right, tuple(f"b_{c}" for c in CORNERS), cell_w, cell_h).drop("_cw", "_ch")
-    pairs = left.join(right, [*on, "_cx", "_cy"])
+    scored = _met_pairs(left, right, on, kind, _cell_size(a, b))
+    return scored.where(F.col("overlap") > min_overlap).select(*on, "a_idx", "b_idx", "overlap")
+
+
+def _met_pairs(left: DataFrame, right: DataFrame, on: tuple[str, ...], kind: str, cell: tuple[Column, Column]) -> DataFrame:
+    """Pairs of ``a_`` and ``b_`` boxes that share area, each once, with ``overlap``."""
     abox = tuple(F.col(f"a_{c}") for c in CORNERS)
     bbox = tuple(F.col(f"b_{c}") for c in CORNERS)
-    here = (F.col("_cx") == F.floor(F.greatest(abox[0], bbox[0]) / F.col("_cw"))) & (
-        F.col("_cy") == F.floor(F.greatest(abox[1], bbox[1]) / F.col("_ch"))
+    left = _spread(left, tuple(f"a_{c}" for c in CORNERS), *cell)
+    right = _spread(right, tuple(f"b_{c}" for c in CORNERS), *cell)
+    here = (F.col("_cx") == F.floor(F.greatest(abox[0], bbox[0]) / cell[0])) & (
+        F.col("_cy") == F.floor(F.greatest(abox[1], bbox[1]) / cell[1])
     )
-    met = pairs.where(here & (geometry.intersection(abox, bbox) > 0))
-    scored = met.withColumn("overlap", geometry.overlap_ratio(abox, bbox, kind))
-    return scored.where(F.col("overlap") > min_overlap).select(*on, "a_idx", "b_idx", "overlap")
+    met = left.join(right, [*on, "_cx", "_cy"]).where(here & (geometry.intersection(abox, bbox) > 0))
+    return met.withColumn("overlap", geometry.overlap_ratio(abox, bbox, kind))
 
 
 def prior_grid(spark, image_h: int, image_w: int, steps: list[int], min_sizes: list[list[int]]) -> DataFrame:
@@ -104,8 +99,8 @@ def match_priors(truth: DataFrame, priors: DataFrame, threshold: float = 0.35, m
     flat = truth.select(F.struct("img", "det_idx").alias("det_idx"), *CORNERS)
     pairs = box_overlap(flat, corners, on=()).select("a_idx.img", "a_idx.det_idx", F.col("b_idx").alias("prior_id"), "overlap")
 
-    best = pairs.groupBy("img", "det_idx").agg(
-        F.max("overlap").alias("best"), F.max_by("prior_id", F.struct("overlap", -F.col("prior_id"))).alias("prior_id")
+    best = pairs.groupBy("img", "det_idx").agg(F.max(F.struct("overlap", -F.col("prior_id"))).alias("m")).select(
+        "img", "det_idx", F.col("m.overlap").alias("best"), (-F.col("m.col2")).alias("prior_id")
     )
     truths = truth.select("img", "det_idx").join(best, ["img", "det_idx"], "left").select(
         "img", "det_idx", F.coalesce("best", F.lit(0.0)).alias("best"), F.coalesce("prior_id", F.lit(0)).alias("prior_id")
@@ -114,8 +109,8 @@ def match_priors(truth: DataFrame, priors: DataFrame, threshold: float = 0.35, m
     claims = truths.groupBy("img", "prior_id").agg(
         F.max("det_idx").alias("_claim"), F.max(F.col("best") >= min_best).alias("_lifted")
     )
-    per_prior = pairs.groupBy("img", "prior_id").agg(
-        F.max("overlap").alias("_overlap"), F.max_by("det_idx", F.struct("overlap", -F.col("det_idx"))).alias("_truth")
+    per_prior = pairs.groupBy("img", "prior_id").agg(F.max(F.struct("overlap", -F.col("det_idx"))).alias("m")).select(
+        "img", "prior_id", F.col("m.overlap").alias("_overlap"), (-F.col("m.col2")).alias("_truth")
     )
     last = priors.agg(F.max("prior_id")).scalar()
     grid = images.withColumn("_last", last).select(
@@ -163,23 +158,55 @@ def _one_per_image(boxes: DataFrame, preference: Column) -> DataFrame:
     return boxes.groupBy("img").agg(best.alias("b")).select("img", "b.*")
 
 
-def _greedy(group: pd.DataFrame, limit: float) -> pd.DataFrame:
-    """Greedy suppression of one bounded group, best score first, lowest index on ties."""
-    group = group.sort_values(["score", "det_idx"], ascending=[False, True], kind="mergesort")
-    box = group[["_x1", "_y1", "_x2", "_y2"]].to_numpy(dtype=float)
-    size = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
-    alive, kept = np.ones(len(box), dtype=bool), []
-    for i in range(len(box)):
-        if not alive[i]:
-            continue
-        kept.append(i)
-        rest = slice(i + 1, None)
-        span = np.minimum(box[rest, 2:], box[i, 2:]) - np.maximum(box[rest, :2], box[i, :2])
-        shared = np.prod(np.clip(span, 0, None), axis=1)
-        union = size[rest] + size[i] - shared
-        with np.errstate(divide="ignore", invalid="ignore"):
-            alive[rest] &= ~(shared / union > limit)
-    return group.iloc[kept]
+_SLIM = ("img", "det_idx", "score", "_x1", "_y1", "_x2", "_y2")
+
+
+def _hits(box: np.ndarray, kept: np.ndarray, limit: float) -> np.ndarray:
+    """Which rows of ``box`` overlap any of ``kept`` by more than ``limit``."""
+    span = np.minimum(box[:, None, 2:], kept[None, :, 2:]) - np.maximum(box[:, None, :2], kept[None, :, :2])
+    shared = np.prod(np.clip(span, 0, None), axis=2)
+    size = lambda b: (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return (shared / (size(box)[:, None] + size(kept)[None, :] - shared) > limit).any(axis=1)
+
+
+def _keep_run(box: np.ndarray, earlier: np.ndarray, limit: float, chunk: int = 512) -> list[int]:
+    """Greedy choice along boxes of one image in rank order, after the kept boxes ``earlier``."""
+    kept: list[int] = []
+    alive = np.ones(len(box), dtype=bool)
+    for start in range(0, len(earlier), chunk):
+        left = np.flatnonzero(alive)
+        alive[left] = ~_hits(box[left], earlier[start : start + chunk], limit)
+    left = np.flatnonzero(alive)
+    while len(left):
+        kept.append(int(left[0]))
+        rest = left[1:]
+        left = rest[~_hits(box[rest], box[left[:1]], limit)]
+    return kept
+
+
+def _keep_sorted(slim: DataFrame, limit: float) -> DataFrame:
+    """Kept ``img, det_idx``. Rows arrive per image by rank, so only the kept boxes are held."""
+
+    def run(batches):
+        image, held = None, np.empty((0, 4))
+        for rows in batches:
+            out = []
+            ids = rows["img"].to_numpy()
+            box = rows[["_x1", "_y1", "_x2", "_y2"]].to_numpy(dtype=float)
+            cuts = np.flatnonzero(ids[1:] != ids[:-1]) + 1
+            for first, last in zip([0, *cuts], [*cuts, len(ids)]):
+                if first == last:
+                    continue
+                if image is None or ids[first] != image:
+                    image, held = ids[first], np.empty((0, 4))
+                chosen = [first + k for k in _keep_run(box[first:last], held, limit)]
+                held = np.concatenate([held, box[chosen]])
+                out += chosen
+            yield rows.iloc[out][["img", "det_idx"]]
+
+    ranked = slim.repartition("img").sortWithinPartitions("img", F.desc("score"), "det_idx")
+    return ranked.mapInPandas(run, slim.select("img", "det_idx").schema)
 
 
 def _suppress_crowded(boxes: DataFrame, limit: float, group_cap: int) -> DataFrame:
@@ -190,40 +217,35 @@ def _suppress_crowded(boxes: DataFrame, limit: float, group_cap: int) -> DataFra
     one such box, hence the join that removes never multiplies rows. Each round is checkpointed.
     The rest is finished greedily once it is small.
     """
-    undecided = cut_lineage(boxes)
+    undecided = cut_lineage(boxes.select(*_SLIM))
     kept = None
-    corners = ("_x1", "_y1", "_x2", "_y2")
-    schema = boxes.schema
+    corners = _SLIM[3:]
     while True:
         left = undecided.count()
         if left <= group_cap:
-            tail = undecided.groupBy("img").applyInPandas(lambda g: _greedy(g, limit), schema)
-            return tail if kept is None else kept.unionByName(tail)
-        shape = undecided.agg(
-            F.sqrt(F.avg(F.pow(F.col("_x2") - F.col("_x1"), 2))).alias("w"),
-            F.sqrt(F.avg(F.pow(F.col("_y2") - F.col("_y1"), 2))).alias("h"),
-        ).first()
-        cell_w, cell_h = F.lit(max(shape["w"], 1e-6)), F.lit(max(shape["h"], 1e-6))
-        slim = undecided.select("img", "det_idx", "score", *corners)
-        cells = _spread(slim, corners, cell_w, cell_h).drop("_cw", "_ch")
+            rest = _keep_sorted(undecided, limit)
+            return rest if kept is None else kept.unionByName(rest)
+        cell_w, cell_h = _cell_size(undecided.select(*[F.col(f"_{c}").alias(c) for c in CORNERS]))
+        cells = _spread(undecided, corners, cell_w, cell_h)
         x1, y1, x2, y2 = (F.col(c) for c in corners)
         touched = (F.floor(x2 / cell_w) - F.floor(x1 / cell_w) + 1) * (F.floor(y2 / cell_h) - F.floor(y1 / cell_h) + 1)
         tops = cells.groupBy("img", "_cx", "_cy").agg(
             F.max(F.struct("score", (-F.col("det_idx")).alias("neg"), touched.alias("touched"), *corners)).alias("top")
         )
         leaders = (
-            tops.groupBy("img", (-F.col("top.neg")).alias("det_idx"), "top.touched", *[f"top.{c}" for c in corners])
+            tops.groupBy("img", (-F.col("top.neg")).alias("_lead"), "top.touched", *[F.col(f"top.{c}").alias(f"_l{c}") for c in corners])
             .agg(F.count(F.lit(1)).alias("won"))
             .where(F.col("won") == F.col("touched"))
-            .select("img", F.col("det_idx").alias("_lead"), *[F.col(c).alias(f"_l{c}") for c in corners])
+            .select("img", "_lead", *[f"_l{c}" for c in corners])
         )
-        lead_cells = _spread(leaders, tuple(f"_l{c}" for c in corners), cell_w, cell_h).drop("_cw", "_ch")
-        met = cells.join(lead_cells, ["img", "_cx", "_cy"])
+        leaders = cut_lineage(leaders)
+        lead_cells = _spread(leaders, tuple(f"_l{c}" for c in corners), cell_w, cell_h)
         ratio = geometry.overlap_ratio(tuple(F.col(c) for c in corners), tuple(F.col(f"_l{c}") for c in corners))
-        decided = met.where((F.col("det_idx") == F.col("_lead")) | (ratio > limit)).select("img", "det_idx").distinct()
-        chosen = undecided.join(leaders.select("img", F.col("_lead").alias("det_idx")), ["img", "det_idx"], "left_semi")
+        gone = (F.col("det_idx") == F.col("_lead")) | (ratio > limit)
+        decided = cells.join(lead_cells, ["img", "_cx", "_cy"]).where(gone).select("img", "det_idx").distinct()
+        chosen = leaders.select("img", F.col("_lead").alias("det_idx"))
         kept = chosen if kept is None else kept.unionByName(chosen)
-        undecided = cut_lineage(undecided.join(decided, ["img", "det_idx"], "left_anti").select(*boxes.columns))
+        undecided = cut_lineage(undecided.join(decided, ["img", "det_idx"], "left_anti").select(*_SLIM))
 
 
 def suppress(
@@ -237,36 +259,36 @@ def suppress(
 ) -> DataFrame:
     """Greedy non-maximum suppression per image.
 
-    Images up to ``group_cap`` boxes are handled one per pandas group; larger ones by an exact
-    distributed method. ``merge`` replaces each kept box by the score-weighted mean of the boxes it
+    Boxes of an image are read in rank order against the ones kept so far; images with more than
+    ``group_cap`` boxes go through an exact distributed method instead. ``merge`` replaces each kept box by the score-weighted mean of the boxes it
     overlaps, and with ``redundant`` drops kept boxes that overlap no other.
     """
     pool = boxes if top_k is None else take_per_group(boxes, ["img"], top_k, [F.desc("score"), F.col("det_idx")])
     # Fixed value: class offset that keeps boxes of different classes apart.
     offset = F.col("cls").cast("double") * 4096.0 if class_aware else F.lit(0.0)
     moved = pool.withColumns({f"_{c}": F.col(c).cast("double") + offset for c in CORNERS})
-    crowded = moved.groupBy("img").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > group_cap).select("img")
+    slim = moved.select(*_SLIM)
+    crowded = slim.groupBy("img").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > group_cap).select("img")
     if crowded.limit(1).collect():
-        calm = moved.join(crowded, "img", "left_anti").select(*moved.columns)
-        dense = moved.join(crowded, "img", "left_semi").select(*moved.columns)
-        kept = calm.groupBy("img").applyInPandas(lambda g: _greedy(g, iou), moved.schema).unionByName(
-            _suppress_crowded(dense, iou, group_cap)
-        )
+        calm, dense = slim.join(crowded, "img", "left_anti"), slim.join(crowded, "img", "left_semi")
+        chosen = _keep_sorted(calm.select(*_SLIM), iou).unionByName(_suppress_crowded(dense, iou, group_cap))
     else:
-        kept = moved.groupBy("img").applyInPandas(lambda g: _greedy(g, iou), moved.schema)
+        chosen = _keep_sorted(slim, iou)
+    kept = moved.join(chosen, ["img", "det_idx"], "left_semi")
     if not merge:
         return kept.select(*boxes.columns)
-    shifted = lambda df: df.select("img", "det_idx", *[F.col(f"_{c}").alias(c) for c in CORNERS])
-    near = box_overlap(shifted(kept), shifted(moved), min_overlap=iou)
-    weighed = near.join(
-        pool.select("img", F.col("det_idx").alias("b_idx"), F.col("score").alias("_s"), *[F.col(c).alias(f"_m{c}") for c in CORNERS]),
-        ["img", "b_idx"],
-    )
-    means = weighed.groupBy("img", F.col("a_idx").alias("det_idx")).agg(
+    # a kept box belongs to the pool, so cells sized by the pool bound the spread of both sides
+    pairs = _met_pairs(
+        kept.select("img", *[F.col(f"_{c}").alias(f"a_{c}") for c in CORNERS], F.struct(*boxes.columns).alias("row")),
+        moved.select("img", *[F.col(f"_{c}").alias(f"b_{c}") for c in CORNERS], F.struct("score", *CORNERS).alias("near")),
+        ("img",), "iou", _cell_size(moved.select(*[F.col(f"_{c}").alias(c) for c in CORNERS])),
+    ).where(F.col("overlap") > iou)
+    weight = F.sum("near.score")
+    merged = pairs.groupBy("img", F.col("row.det_idx").alias("det_idx")).agg(
         F.count(F.lit(1)).alias("_n"),
-        *[F.try_divide(F.sum(F.col("_s") * F.col(f"_m{c}")), F.sum("_s")).alias(f"_m{c}") for c in CORNERS],
+        F.first("row").alias("row"),
+        *[F.try_divide(F.sum(F.col("near.score") * F.col(f"near.{c}")), weight).alias(f"_m{c}") for c in CORNERS],
     )
-    merged = kept.join(means, ["img", "det_idx"])
     if redundant:
         merged = merged.where(F.col("_n") > 1)
-    return merged.withColumns({c: F.col(f"_m{c}") for c in CORNERS}).select(*boxes.columns)
+    return merged.select(*[F.col(f"_m{c}").alias(c) if c in CORNERS else F.col(f"row.{c}").alias(c) for c in boxes.columns])

@@ -62,7 +62,7 @@ def pair_lq_gt(lq: DataFrame, gt: DataFrame, template: str = "{}", path: str = "
     pairs and the mismatch report.
     """
     before, _, after = template.partition("{}")
-    wanted = F.concat(F.lit(before), text.store_key(F.col(path)), F.lit(after), F.regexp_extract(text.basename(F.col(path)), r"^\.*[^.].*?(\.[^.]*)$", 1))
+    wanted = F.concat(F.lit(before), text.store_key(F.col(path)), F.lit(after), text.raw_suffix(F.col(path)))
     left = lq.select(text.basename(F.col(path)).alias("lq_name"), F.col(path).alias("lq_path"))
     right = gt.select(wanted.alias("lq_name"), F.col(path).alias("gt_path"))
     status = (

@@ -36,6 +36,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Spread a table that arrives in fewer splits than there are cores; larger tables pass untouched."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def order_bounds(df: DataFrame, column: str, blocks: int | None = None) -> list:
     """At most ``blocks - 1`` ascending cut values of a column; the only data brought to the driver."""
     blocks = blocks or default_blocks(df)

@@ -94,18 +94,16 @@ def merge_sources(sources: Mapping[str, DataFrame], name: str = "name") -> DataF
 
 def parse_checkpoints(files: DataFrame, path: str = "path") -> DataFrame:
     """Adds ``folder, kind, net, iter, is_latest``; ``iter`` is null for names that do not parse."""
-    base = text.basename(F.col(path))
-    number = F.coalesce(
-        F.nullif(F.regexp_extract(base, r"^(\d{1,18})\.state$", 1), F.lit("")),
-        F.nullif(F.regexp_extract(base, r"_(\d{1,18})\.pth$", 1), F.lit("")),
-    )
+    state = F.regexp_extract(path, r"(?:^|[/\\])(\d{1,18})\.state$", 1)
+    model = F.regexp_extract(path, r"_(\d{1,18})\.pth$", 1)
+    latest = F.col(path).rlike(r"latest[^/\\]*$")
     return files.withColumns(
         {
-            "folder": F.regexp_extract(F.replace(F.col(path), F.lit("\\"), F.lit("/")), r"^(.*?)/?[^/]*$", 1),
-            "kind": F.when(base.endswith(".state"), "state").when(base.endswith(".pth"), "model"),
-            "net": F.nullif(F.regexp_extract(base, r"^(.*)_[^_]*\.pth$", 1), F.lit("")),
-            "is_latest": base.contains("latest"),
-            "iter": F.when(~base.contains("latest"), number.cast("bigint")),
+            "folder": text.folder(F.col(path)),
+            "kind": F.when(F.endswith(path, F.lit(".state")), "state").when(F.endswith(path, F.lit(".pth")), "model"),
+            "net": F.nullif(F.regexp_extract(path, r"([^/\\]*)_[^/\\_]*\.pth$", 1), F.lit("")),
+            "is_latest": latest,
+            "iter": F.when(~latest, F.concat(state, model).try_cast("bigint")),
         }
     )
 

@@ -144,8 +144,8 @@ def _degrade_plane(p: np.ndarray, row, seed: int, kernel_size: int) -> np.ndarra
     r = kernel_size // 2
     # a small plane is mirrored as often as the kernel reaches
     padded = np.pad(p, r, mode="reflect" if min(h, w) > 1 else "edge")
-    windows = np.lib.stride_tricks.sliding_window_view(padded, (kernel_size, kernel_size))
-    blurred = np.einsum("yxij,ij->yx", windows, kernel)
+    windows = np.lib.stride_tricks.sliding_window_view(padded, (kernel_size, kernel_size), axis=(0, 1))
+    blurred = np.stack([np.tensordot(row, kernel, axes=2) for row in windows])
     sh, sw = max(1, int(h // row.scale)), max(1, int(w // row.scale))
     small = _area_matrix(h, sh) @ blurred @ _area_matrix(w, sw).T
     noise = np.random.Generator(np.random.Philox(key=[seed & (2**63 - 1), (int(row.img) * 16 + int(row.ch)) & (2**63 - 1)]))
@@ -171,14 +171,17 @@ def degrade(planes: DataFrame, plan: DataFrame, kernel_size: int = 41, seed: int
             yield rows[fields].assign(plane=out)
 
     schema = joined.select(*fields, F.col("plane").cast("array<double>").alias("plane")).schema
-    blurred = joined.mapInPandas(run, schema)
     shift = F.when(F.col("jitter"), F.coalesce(F.get(F.array("jitter_0", "jitter_1", "jitter_2"), F.col("ch")), F.lit(0.0))).otherwise(F.lit(0.0))
     limit = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(255.0))
-    jittered = blurred.withColumn("_s", shift).withColumn("plane", F.transform("plane", lambda v: limit(v + F.col("_s"))))
+
+    def jittered(rows: DataFrame) -> DataFrame:
+        moved = rows.mapInPandas(run, schema).withColumn("_s", shift)
+        return moved.withColumn("plane", F.transform("plane", lambda v: limit(v + F.col("_s"))))
+
     final = lambda p: F.transform(p, lambda v: limit(F.round(v)))
-    colour = jittered.where(~F.col("gray")).select("img", "ch", "h", "w", final(F.col("plane")).alias("plane"))
+    colour = jittered(joined.where(~F.col("gray"))).select("img", "ch", "h", "w", final(F.col("plane")).alias("plane"))
     weight = F.coalesce(F.get(F.lit(list(LUMA_GRAY)), F.col("ch")), F.lit(0.0))
-    grays = jittered.where("gray").select("img", "ch", "h", "w", weight.alias("_w"), "plane")
+    grays = jittered(joined.where("gray")).select("img", "ch", "h", "w", weight.alias("_w"), "plane")
     stacked = grays.groupBy("img").agg(
         F.collect_list(F.struct("ch", "h", "w")).alias("c"),
         F.sort_array(F.collect_list(F.struct("ch", F.transform("plane", lambda v: v * F.col("_w")).alias("p")))).alias("s"),

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.hashing import uniform
+from ..operators.ordering import widen
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +37,7 @@ def listing(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    e = widen(table(spark, sf_dir, "events"))
     n = F.col("event_id")
     box = e.select(
         F.col("user_id").alias("img"),
@@ -116,7 +117,7 @@ def enlarge(column: str, factor: int = 3, side: int = 8) -> Column:
 def large_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as 24 x 24 planes of the same image numbering as :func:`planes`."""
     cell = lambda p: F.get("embedding", (F.floor(p / 72) * 8 + F.floor((p % 24) / 3)).cast("int"))
-    return table(spark, sf_dir, "embeddings").select(
+    return widen(table(spark, sf_dir, "embeddings")).select(
         F.floor(F.col("vec_id") / 3).alias("img"), (F.col("vec_id") % 3).cast("int").alias("ch"), F.lit(24).alias("h"), F.lit(24).alias("w"),
         F.transform(F.sequence(F.lit(0), F.lit(575)), lambda p: _pixel(cell(p))).alias("plane"),
     )
@@ -148,7 +149,7 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training log text built from events; error events give lines without losses."""
-    e = table(spark, sf_dir, "events").select("event_id", "event_type", "value", (F.col("event_id") * 77 % 200000).alias("s"))
+    e = widen(table(spark, sf_dir, "events")).select("event_id", "event_type", "value", (F.col("event_id") * 77 % 200000).alias("s"))
     days = F.floor(F.col("s") / 86400)
     day_text = F.when(days == 0, F.lit("")).when(days == 1, F.lit("1 day, ")).otherwise(F.format_string("%d days, ", days))
     clock = F.format_string(

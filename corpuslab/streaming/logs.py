@@ -17,30 +17,32 @@ from ..functions.text import duration_seconds, micros
 WATERMARK = "10 minutes"
 LIVENESS_TIMEOUT_S = 180
 
-# Fixed formats: header and loss part of a training log line.
-HEAD_PATTERN = r"iter:\s*([\d,]+).*?eta:\s*(.*?),\s*time"
-TAIL_PATTERN = r"\]\s*([A-Za-z_]\w*: -?[\deE+\-.]+(?:\s+[A-Za-z_]\w*: -?[\deE+\-.]+)*)\s*$"
+# Fixed formats: iteration, remaining time and one "name: number" loss of a training log line.
+ITER_PATTERN = r"iter:\s*([\d,]+)"
+ETA_PATTERN = r"eta:\s*(.*?),\s*time"
+LOSS_PATTERN = r"^([A-Za-z_]\w*: [-+]?[\d.][\deE+\-.]*\s*)+$"
 DASHBOARD_LOSSES = ("l_g_pix", "l_g_percep", "l_g_identity")
 
 
 def parse_training_log(lines: DataFrame, line_col: str = "value", keep: list[str] | None = None) -> DataFrame:
     """``iteration, eta, eta_s, losses`` of every line with a header and a loss tail; others are skipped."""
     line = F.col(line_col)
-    tail = F.regexp_extract(line, TAIL_PATTERN, 1)
-    parts = F.str_to_map(F.regexp_replace(tail, r": ", ":"), F.lit(r"\s+"), F.lit(":"))
-    parsed = lines.select(
-        *(keep or []),
-        F.nullif(F.replace(F.regexp_extract(line, HEAD_PATTERN, 1), F.lit(","), F.lit("")), F.lit("")).try_cast("bigint").alias("iteration"),
-        F.trim(F.regexp_extract(line, HEAD_PATTERN, 2)).alias("eta"),
-        F.when(F.length(tail) > 0, parts).alias("_parts"),
+    likely = lines.where(line.contains("iter:") & line.contains("eta:") & line.contains("] "))
+    fields = F.struct(
+        F.replace(F.regexp_extract(line, ITER_PATTERN, 1), F.lit(","), F.lit("")).alias("n"),
+        F.trim(F.regexp_extract(line, ETA_PATTERN, 1)).alias("eta"),
+        F.trim(F.substring_index(line, "] ", -1)).alias("tail"),
     )
-    good = parsed.where(F.col("iteration").isNotNull() & F.col("_parts").isNotNull())
+    # generating the matched row, instead of filtering on it, runs each pattern once per line
+    whole = lambda f: (f["n"] != "") & (f["eta"] != "") & f["tail"].rlike(LOSS_PATTERN)
+    good = likely.select(*(keep or []), F.inline(F.filter(F.array(fields), whole)))
+    parts = F.str_to_map(F.replace(F.col("tail"), F.lit(": "), F.lit(":")), F.lit(r"\s+"), F.lit(":"))
     return good.select(
         *(keep or []),
-        "iteration",
+        F.col("n").try_cast("bigint").alias("iteration"),
         "eta",
         duration_seconds(F.col("eta")).alias("eta_s"),
-        F.transform_values("_parts", lambda _, v: v.try_cast("double")).alias("losses"),
+        F.transform_values(parts, lambda _, v: v.try_cast("double")).alias("losses"),
     )
 
 

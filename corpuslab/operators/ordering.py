@@ -85,22 +85,20 @@ def dense_position(df: DataFrame, order: list, block: Column, group: list[str] |
     ``order`` must be unique inside a group, otherwise ties fall in any order.
     """
     group = list(group or [])
-    keyed = df.withColumn("_block", block)
-    earlier = (
-        Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    ).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    # One struct key serves window, count and join, so the rows are shuffled once; struct equality
+    # also treats null groups as equal. Generating it keeps the optimizer from copying the block
+    # expression into inferred filters.
+    key = F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(group)], block.alias("b"))
+    keyed = df.select("*", F.explode(F.array(key)).alias("_key"))
+    part = [F.col(f"_key.g{i}") for i in range(len(group))] or [F.lit(0)]
+    earlier = Window.partitionBy(*part).orderBy("_key.b").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        keyed.groupBy(*group, F.col("_block").alias("_b"))
+        keyed.groupBy("_key")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], "_b", "_start")
+        .select("_key", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
     )
-    inside = Window.partitionBy(*group, "_block").orderBy(*order)
-    ranked = keyed.withColumn("_local", F.row_number().over(inside))
-    match = F.col("_block") == F.col("_b")
-    for i, name in enumerate(group):
-        match = match & F.col(name).eqNullSafe(F.col(f"_g{i}"))
-    placed = ranked.join(starts, match)
+    inside = Window.partitionBy("_key").orderBy(*order)
+    placed = keyed.withColumn("_local", F.row_number().over(inside)).join(starts, "_key")
     return placed.select(*df.columns, (F.col("_start") + F.col("_local") - 1).cast("bigint").alias(out))
 
 

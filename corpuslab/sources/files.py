@@ -16,9 +16,12 @@ def read_listing(
     path: str,
     suffixes: Iterable[str] | None = None,
     recursive: bool = False,
-    skip_hidden: bool = True,
 ) -> DataFrame:
-    """One row per file under ``path``. File contents are never read: the column is pruned."""
+    """One row per file under ``path``. File contents are never read: the column is pruned.
+
+    Names in a hidden folder are skipped here; Spark's file sources themselves never list names that
+    start with ``.`` or ``_``.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     root = path.rstrip("/")
     files = reader.load(root)
@@ -39,9 +42,7 @@ def read_listing(
         listing = listing.where(F.instr("rel_path", "/") == 0)
     if suffixes is not None:
         listing = listing.where(F.col("ext").isin([s.lower() for s in suffixes]))
-    if skip_hidden:
-        listing = listing.where(~F.col("rel_path").rlike(r"(^|/)\."))
-    return listing
+    return listing.where(~F.col("rel_path").rlike(r"(^|/)\."))
 
 
 def read_first_available(spark: SparkSession, uris: list[str], fmt: str = "parquet", **options) -> tuple[DataFrame, str]:

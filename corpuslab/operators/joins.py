@@ -32,20 +32,12 @@ def exclude_holdout(train: DataFrame, holdout: DataFrame | None, train_col: str
     return _with_key(train, train_col, root).join(banned, "_key", "left_anti").drop("_key")
 
 
-def _membership(train: DataFrame, holdout: DataFrame, train_col: str, holdout_col: str, root: str) -> DataFrame:
-    """Rows per normalised path on either side: one shuffle, with partial counts before it."""
-    left = _with_key(train, train_col, root).select("_key", F.lit(1).alias("t"), F.lit(0).alias("h"))
-    right = _with_key(holdout, holdout_col, root).select("_key", F.lit(0).alias("t"), F.lit(1).alias("h"))
-    return left.unionByName(right).groupBy("_key").agg(F.sum("t").alias("t"), F.max("h").alias("h"))
-
-
 def exclusion_report(train: DataFrame, holdout: DataFrame, train_col: str = "path", holdout_col: str = "path", root: str = "") -> DataFrame:
-    """One row: ``total``, ``removed`` and ``kept`` training rows."""
-    sides = _membership(train, holdout, train_col, holdout_col, root)
-    hit = F.when((F.col("h") == 1) & F.col("_key").isNotNull(), F.col("t")).otherwise(F.lit(0))
-    return sides.agg(
-        F.coalesce(F.sum("t"), F.lit(0)).cast("bigint").alias("total"),
-        F.coalesce(F.sum(hit), F.lit(0)).cast("bigint").alias("removed"),
+    """One row: ``total``, ``removed`` and ``kept`` training rows; the training side is not shuffled when the list is small."""
+    banned = _with_key(holdout, holdout_col, root).select("_key").distinct().withColumn("_held", F.lit(1))
+    marked = _with_key(train, train_col, root).select("_key").join(banned, "_key", "left")
+    return marked.agg(
+        F.count(F.lit(1)).alias("total"), F.count("_held").alias("removed")
     ).withColumn("kept", F.col("total") - F.col("removed"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text
-from .ordering import block_by_bounds, dense_position, group_limit_threshold, order_bounds, position_by
+from .ordering import block_by_bounds, cut_lineage, dense_position, group_limit_threshold, order_bounds, position_by
 
 
 def take_per_group(df: DataFrame, group: list[str], n: int, order: list, blocks: int | None = None) -> DataFrame:
@@ -202,22 +202,26 @@ def tail(log: DataFrame, n: int = 100, order: list | None = None) -> DataFrame:
     return log.orderBy(*[c.desc() for c in keys]).limit(n)
 
 
-def linear_scan(df: DataFrame, factor: float, series: list[str], position: str, value: str, out: str, block_rows: int = 512, levels: int = 1) -> DataFrame:
+def linear_scan(df: DataFrame, factor: float, series: list[str], position: str, value: str, out: str, block_rows: int = 512, levels: int = 1, carry: tuple[str, ...] = (), materialise: bool = True) -> DataFrame:
     """``y_p = factor * y_{p-1} + x_p`` with ``y_{-1} = 0``, for dense 0-based positions per series.
 
     Blocks of ``block_rows`` consecutive rows are folded from zero on their own; the value that
     enters a block obeys the same recurrence over block ends with ``factor ** block_rows``, so it
-    is found by the same scan one level up. No task ever holds a whole series.
+    is found by the same scan one level up. No task ever holds a whole series. ``carry`` columns
+    travel along. The folded blocks are read twice, so they are checkpointed, not computed twice.
     """
-    blocked = df.select(*series, F.col(position).alias("_p"), F.col(value).alias("_x")).withColumn("_blk", F.floor(F.col("_p") / block_rows))
-    packed = blocked.groupBy(*series, "_blk").agg(F.sort_array(F.collect_list(F.struct("_p", "_x"))).alias("items"))
+    extra = F.struct(F.lit(0).alias("_"), *carry).alias("_c")
+    blocked = df.select(*series, F.col(position).alias("_p"), F.col(value).alias("_x"), extra).withColumn("_blk", F.floor(F.col("_p") / block_rows))
+    packed = blocked.groupBy(*series, "_blk").agg(F.sort_array(F.collect_list(F.struct("_p", "_x", "_c"))).alias("items"))
     previous = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0))
     step = lambda acc, s: F.array_append(acc, F.lit(factor) * previous(acc) + s["_x"])
     folded = packed.withColumn("local", F.aggregate("items", F.array().cast("array<double>"), step))
+    if materialise:
+        folded = cut_lineage(folded)
     ends = folded.select(*series, "_blk", F.element_at("local", -1).alias("_end"))
     power = factor**block_rows
     if levels > 0:
-        carried = linear_scan(ends, power, series, "_blk", "_end", "_carry", block_rows, levels - 1)
+        carried = linear_scan(ends, power, series, "_blk", "_end", "_carry", block_rows, levels - 1, materialise=False)
     else:
         chain = ends.groupBy(*series).agg(F.sort_array(F.collect_list(F.struct("_blk", "_end"))).alias("chain"))
         fold = lambda acc, s: F.array_append(acc, F.lit(power) * previous(acc) + s["_end"])
@@ -230,16 +234,19 @@ def linear_scan(df: DataFrame, factor: float, series: list[str], position: str,
     return rows.select(
         *series,
         F.col("z.items._p").alias(position),
+        *[F.col(f"z.items._c.{c}").alias(c) for c in carry],
         (F.col("z.local") + F.pow(F.lit(factor), F.col("_k") + 1) * F.col("_carry")).alias(out),
     )
 
 
 def ema(df: DataFrame, decay: float, series: list[str], order: str, value: str, blocks: int | None = None, out: str = "ema") -> DataFrame:
     """``e_t = d e_{t-1} + (1-d) x_t`` with ``e_0 = x_0``, in ``order`` (unique per series)."""
-    placed = position_by(df.select(*series, order, value), order, series, "_pos", blocks)
+    # the series key is packed into one struct, so that null keys join as equal
+    keyed = df.select(F.struct(*series).alias("_s"), order, value)
+    placed = position_by(keyed, order, ["_s"], "_pos", blocks)
     term = F.when(F.col("_pos") == 0, F.col(value).cast("double")).otherwise(F.lit(1.0 - decay) * F.col(value))
-    scanned = linear_scan(placed.withColumn("_term", term), decay, series, "_pos", "_term", out)
-    return placed.join(scanned, [*series, "_pos"]).drop("_pos")
+    scanned = linear_scan(placed.withColumn("_term", term), decay, ["_s"], "_pos", "_term", out, carry=(order, value))
+    return scanned.select(*[F.col(f"_s.{c}").alias(c) for c in series], order, value, out)
 
 
 def eta(df: DataFrame, total: int, run: str = "run", iteration: str = "iteration", ts: str = "ts") -> DataFrame:

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-# A codebook up to this many numbers (256 MB of doubles) is copied to every worker.
-MAX_CODEBOOK_NUMBERS = 32_000_000
+# A codebook up to this many numbers (32 MB of doubles) is copied to every worker.
+MAX_CODEBOOK_NUMBERS = 4_000_000
 
 
 def score(

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import geometry, text
 from ..functions.hashing import uniform
 from ..operators import aggregates, boxes, joins, metrics, pixels, projections, ranking, sampling, scoring, validation
+from ..operators.ordering import cut_lineage
 from ..schemas import CLASS_WEIGHTS, PRESETS
 from ..sources import files, manifest as manifests, store, web
 from ..streaming import ingest, logs, progress
@@ -54,7 +55,7 @@ def curate(spark, sf):
 @query
 def training_plan(spark, sf):
     base = t.listing(spark, sf).select("rel_path", "category")
-    holdout = sampling.select_holdout(base, "rel_path", 50)
+    holdout = cut_lineage(sampling.select_holdout(base, "rel_path", 50))
     plan = corpus.training_plan(base, holdout, "rel_path", replicas=2, batch_size=8, ratio=1.5, epoch=3)
     return plan.select("rel_path", "rank", "rank_pos", "batch", "flip", "small_kernel", r("large_scale").alias("large_scale"))
 
@@ -489,7 +490,9 @@ def reduce_ranks(spark, sf):
 @query
 def detect_gray(spark, sf):
     out = pixels.detect_gray(t.planes(spark, sf), threshold=500.0)
-    return out.select("img", "channels", r("difference").alias("difference"), "is_gray")
+    # three variances of 64 whole numbers: a multiple of 1/12288, rounded exactly on both sides
+    exact = F.round(F.col("difference") * 12288) / 12288
+    return out.select("img", "channels", exact.alias("difference"), "is_gray")
 
 
 @query

@@ -321,7 +321,7 @@ O["reduce_ranks"] = f"SELECT event_id // 4 AS iteration, event_type AS metric, {
 O["detect_gray"] = with_(
     "pix bgr",
     f""", n AS (SELECT img, count(DISTINCT ch) AS channels FROM pix GROUP BY img)
-    SELECT img, channels, {r('(d1 + d2 + d3) / 3')} AS difference, CASE WHEN channels = 1 THEN true ELSE (d1 + d2 + d3) / 3 <= 500 END AS is_gray
+    SELECT img, channels, round((d1 + d2 + d3) / 3 * 12288) / 12288 AS difference, CASE WHEN channels = 1 THEN true ELSE (d1 + d2 + d3) / 3 <= 500 END AS is_gray
     FROM (SELECT img, var_pop(b - g) AS d1, var_pop(g - r) AS d2, var_pop(r - b) AS d3 FROM bgr GROUP BY img) JOIN n USING (img)""",
 )
 O["class_areas"] = """SELECT img, cls, count(*) AS pixels, sum(CASE WHEN p // 8 BETWEEN 1 AND 6 AND p % 8 BETWEEN 1 AND 6 AND cls NOT IN (0, 14, 16, 17, 18) THEN 255 ELSE 0 END)::BIGINT AS weight_sum

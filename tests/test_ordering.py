@@ -73,9 +73,13 @@ def test_linear_scan_over_tiny_blocks(spark, levels):
 
 
 def test_ema_single_row_and_start(spark):
-    df = spark.createDataFrame([("a", 5, 4.0), ("b", 1, 2.0), ("b", 9, 6.0)], "s string, i long, v double")
+    rows = [("a", 5, 4.0), (None, 1, 2.0), (None, 9, 6.0)]
+    df = spark.createDataFrame(rows, "s string, i long, v double")
     got = {(r["s"], r["i"]): r["ema"] for r in ranking.ema(df, 0.9, ["s"], "i", "v").collect()}
-    assert got == pytest.approx({("a", 5): 4.0, ("b", 1): 2.0, ("b", 9): 0.9 * 2 + 0.1 * 6})
+    assert got == pytest.approx({("a", 5): 4.0, (None, 1): 2.0, (None, 9): 0.9 * 2 + 0.1 * 6})
+    long = df.where("s IS NULL").select("s", F.explode(F.sequence(F.lit(0), F.lit(1500))).alias("i")).distinct()
+    got = ranking.ema(long.withColumn("v", F.lit(3.0)), 0.5, ["s"], "i", "v").where("i > 1490").collect()
+    assert len(got) == 10 and all(r["ema"] == pytest.approx(3.0) for r in got)
 
 
 def test_take_per_group_trims_before_the_shuffle(table):

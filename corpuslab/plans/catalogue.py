@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import geometry, text
 from ..functions.hashing import uniform
 from ..operators import aggregates, boxes, joins, metrics, pixels, projections, ranking, sampling, scoring, validation
-from ..operators.ordering import cut_lineage
+from ..operators.ordering import cut_lineage, widen
 from ..schemas import CLASS_WEIGHTS, PRESETS
 from ..sources import files, manifest as manifests, store, web
 from ..streaming import ingest, logs, progress
@@ -130,6 +130,41 @@ def read_store(spark, sf):
     return store.select_keys(packed, wanted).select("key", F.octet_length("payload").cast("bigint").alias("payload_bytes"), "h", "w")
 
 
+@query
+def write_packed(spark, sf):
+    packed = t.listing(spark, sf, text=True).select(
+        text.store_key(F.col("name")).alias("key"), F.encode("text", "UTF-8").alias("payload"), "h", "w"
+    )
+    path = t.scratch(spark, "store")
+    store.write_packed(packed, path)
+    wanted = t.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("key"))
+    return store.read_store(spark, path, wanted).select("key", F.sha2("payload", 256).alias("digest"), "h", "w")
+
+
+@query
+def write_manifest(spark, sf):
+    held = _holdout(spark, sf)
+    # the holdout has n rows, whatever the corpus size
+    ranked = held.select("category", F.col("rel_path").alias("key"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("order_key")).alias("rank"))
+    path = t.scratch(spark, "manifest")
+    manifests.write_manifest(ranked, path)
+    return manifests.read_manifest(spark, path, "/bench")
+
+
+@query
+def write_holdout(spark, sf):
+    path = t.scratch(spark, "holdout")
+    manifests.write_holdout(_holdout(spark, sf), path, "rel_path")
+    return manifests.read_holdout(spark, path)
+
+
+@query
+def read_listing(spark, sf):
+    path = t.scratch(spark, "tree")
+    t.listing(spark, sf).select("category", "rel_path").write.partitionBy("category").text(path)
+    return files.read_listing(spark, path, [".txt"], recursive=True).select("category", "ext").distinct()
+
+
 # --- projections --------------------------------------------------------------
 
 
@@ -832,7 +867,7 @@ def require(spark, sf):
 
 @query
 def read_training_log(spark, sf):
-    out = logs.dashboard_losses(logs.parse_training_log(t.log_lines(spark, sf)))
+    out = logs.dashboard_losses(logs.parse_training_log(t.log_lines(widen(t.table(spark, sf, "events")))))
     return out.select("iteration", "eta", "eta_s", *[r(c, 9).alias(c) for c in logs.DASHBOARD_LOSSES])
 
 
@@ -845,12 +880,12 @@ def run_liveness(spark, sf):
 
 @query
 def latest_progress(spark, sf):
-    return progress.latest_progress(t.progress_events(spark, sf), tie="event_id")
+    return progress.latest_progress(t.progress_events(t.table(spark, sf, "events")), tie="event_id")
 
 
 @query
 def stage_durations(spark, sf):
-    return progress.stage_durations(t.progress_events(spark, sf)).select("request", "stage", r("seconds").alias("seconds"))
+    return progress.stage_durations(t.progress_events(t.table(spark, sf, "events"))).select("request", "stage", r("seconds").alias("seconds"))
 
 
 @query
@@ -862,6 +897,36 @@ def ingest_batch(spark, sf):
     return ingest.ingest_batch(base, held, "key", "doc_id", limit, F.col("bytes") > 300).select("doc_id", "key", "item_id", "item_name")
 
 
+def _drained(query) -> None:
+    query.awaitTermination()
+
+
+@query
+def stream_training_log(spark, sf):
+    lines = t.log_lines(t.stream(spark, sf, "events"))
+    out, chk = t.scratch(spark, "log"), t.scratch(spark, "log-state")
+    losses = logs.dashboard_losses(logs.parse_training_log(lines))
+    _drained(losses.writeStream.format("parquet").option("checkpointLocation", chk).trigger(availableNow=True).start(out))
+    return spark.read.parquet(out).select("iteration", "eta", "eta_s", *[r(c, 9).alias(c) for c in logs.DASHBOARD_LOSSES])
+
+
+@query
+def stream_progress(spark, sf):
+    latest = progress.latest_progress(t.progress_events(t.stream(spark, sf, "events")), tie="event_id")
+    out, chk = t.scratch(spark, "progress"), t.scratch(spark, "progress-state")
+    save = lambda batch, _: batch.write.mode("overwrite").parquet(out)
+    _drained(latest.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", chk).trigger(availableNow=True).start())
+    return spark.read.parquet(out)
+
+
+@query
+def stream_ingest(spark, sf):
+    docs = t.stream(spark, sf, "documents").select("doc_id", F.md5("text").alias("key"), "n_chars")
+    out, chk = t.scratch(spark, "ingest"), t.scratch(spark, "ingest-state")
+    _drained(ingest.stream_ingest(docs, out, chk, "key", "doc_id", 500, F.col("n_chars") > 300))
+    return spark.read.parquet(out).select("doc_id", "key", "item_id", "item_name")
+
+
 # --- user functions -----------------------------------------------------------
 
 

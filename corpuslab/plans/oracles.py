@@ -157,6 +157,18 @@ O["read_store"] = with_(
     "listing",
     "SELECT CAST(doc_id AS VARCHAR) AS key, strlen(text) AS payload_bytes, h, w FROM listing WHERE doc_id IN (SELECT doc_id FROM labels)",
 )
+O["write_packed"] = with_(
+    "listing",
+    "SELECT CAST(doc_id AS VARCHAR) AS key, sha256(text) AS digest, h, w FROM listing WHERE doc_id IN (SELECT doc_id FROM labels)",
+)
+O["write_manifest"] = with_(
+    "held",
+    """SELECT 'portrait_' || lpad(k::VARCHAR, 4, '0') AS id, '/bench/inputs/portrait_' || lpad(k::VARCHAR, 4, '0') || '.jpg' AS input_path,
+    '/bench/references/portrait_' || lpad(k::VARCHAR, 4, '0') || ext AS reference_path, category, 'deterministic holdout' AS notes
+    FROM (SELECT held.category, ext, row_number() OVER (ORDER BY order_key) AS k FROM held JOIN listing USING (doc_id))""",
+)
+O["write_holdout"] = with_("held", "SELECT rel_path AS path FROM held")
+O["read_listing"] = "SELECT DISTINCT 'category=' || source AS category, '.txt' AS ext FROM documents"
 O["normalise_url"] = """SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://' || bare WHEN 1 THEN 'https://img.example.org/' || bare
     WHEN 2 THEN CASE WHEN bare LIKE 'http%' THEN bare ELSE 'https://img.example.org/' || bare END ELSE url END AS url
     FROM (SELECT page_id, url, regexp_replace(url, '^https?://', '') AS bare FROM pages)"""
@@ -535,8 +547,10 @@ O["require"] = with_("listing", "SELECT ext, count(*) AS items FROM listing GROU
 O["read_training_log"] = f"""SELECT event_id AS iteration, (CASE WHEN s >= 172800 THEN (s // 86400) || ' days, ' WHEN s >= 86400 THEN '1 day, ' ELSE '' END) || (s % 86400 // 3600) || ':' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS eta,
     s AS eta_s, {r("printf('%.4e', value / 1000)::DOUBLE", 9)} AS l_g_pix, {r("printf('%.4e', value / 1000 * 3)::DOUBLE", 9)} AS l_g_percep, {r("printf('%.4e', value / 1000 * 2)::DOUBLE", 9)} AS l_g_identity
     FROM (SELECT *, event_id * 77 % 200000 AS s FROM events WHERE event_type <> 'error')"""
+O["stream_training_log"] = O["read_training_log"]
 O["run_liveness"] = "SELECT user_id AS run, max(ts) AS last_ts, CASE WHEN epoch_us((SELECT max(ts) FROM events)) - epoch_us(max(ts)) < 36000000000 THEN 'running' ELSE 'paused' END AS status FROM events GROUP BY user_id"
 O["latest_progress"] = with_("prog", "SELECT request, stage, CASE WHEN stage = 'complete' THEN 1.0::DOUBLE ELSE progress END AS progress, message, ts FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY ts DESC, event_id DESC) AS k FROM prog) WHERE k = 1")
+O["stream_progress"] = O["latest_progress"]
 O["stage_durations"] = with_("prog", f"SELECT request, stage, {r('(epoch_us(lead(t) OVER (PARTITION BY request ORDER BY t, stage)) - epoch_us(t)) / 1000000')} AS seconds FROM (SELECT request, stage, min(ts) AS t FROM prog GROUP BY request, stage)")
 O["ingest_batch"] = with_(
     "listing",
@@ -545,6 +559,11 @@ O["ingest_batch"] = with_(
     z AS (SELECT doc_id, key, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM n WHERE key NOT IN (SELECT key FROM h))
     SELECT doc_id, key, k + 1 + (SELECT max(item_id) FROM h) AS item_id, 'item_' || lpad((k + 1 + (SELECT max(item_id) FROM h))::VARCHAR, 6, '0') || '.png' AS item_name FROM z WHERE k < greatest(0, 500 - (SELECT count(*) FROM h))""",
 )
+O["stream_ingest"] = with_(
+    "listing",
+    """, n AS (SELECT md5(text) AS key, min(doc_id) AS doc_id FROM listing WHERE bytes > 300 GROUP BY 1)
+    SELECT doc_id, key, k AS item_id, 'item_' || lpad(k::VARCHAR, 6, '0') || '.png' AS item_name FROM (SELECT doc_id, key, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM n) WHERE k < 500""",
+)
 O["score"] = f"""SELECT vec_id, f AS failed, pos::INTEGER AS pos, {r('CASE WHEN f THEN v ELSE v * 2 END')} AS v FROM (SELECT vec_id, embedding[1] < 0 AS f, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS pos FROM embeddings)"""
 O["human_bytes"] = """SELECT o_orderkey, printf('%.1f ', s / 1024.0::DOUBLE ** k) || ['', 'K', 'M', 'G', 'T', 'P', 'E', 'Z'][k + 1] || 'B' AS size FROM (
     SELECT *, (CASE WHEN s < 1024 THEN 0 WHEN s < 1048576 THEN 1 WHEN s < 1073741824 THEN 2 WHEN s < 1099511627776 THEN 3 ELSE 4 END)::INTEGER AS k FROM (

@@ -5,6 +5,9 @@ Every fixture uses whole tables; arithmetic on ids only makes values, it never p
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.hashing import uniform
@@ -147,9 +150,25 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table as a file stream."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """New folder path below the shared checkpoint folder of the session."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        base = tempfile.gettempdir()
+    return f"{base}/corpuslab-{uuid.uuid4().hex}/{name}"
+
+
+def log_lines(events: DataFrame) -> DataFrame:
     """Training log text built from events; error events give lines without losses."""
-    e = widen(table(spark, sf_dir, "events")).select("event_id", "event_type", "value", (F.col("event_id") * 77 % 200000).alias("s"))
+    e = events.select("event_id", "event_type", "value", (F.col("event_id") * 77 % 200000).alias("s"))
     days = F.floor(F.col("s") / 86400)
     day_text = F.when(days == 0, F.lit("")).when(days == 1, F.lit("1 day, ")).otherwise(F.format_string("%d days, ", days))
     clock = F.format_string(
@@ -181,10 +200,10 @@ def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def progress_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def progress_events(events: DataFrame) -> DataFrame:
     """Progress events: the event type names the stage, purchases complete a request."""
     stage = F.when(F.col("event_type") == "purchase", "complete").otherwise(F.col("event_type"))
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").alias("request"), stage.alias("stage"), (F.col("event_id") % 100 / 100).alias("progress"),
         F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("message"), "ts", "event_id",
     )

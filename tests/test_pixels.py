@@ -116,6 +116,32 @@ def test_degrade_without_effect_is_the_rounded_input(spark):
     assert got == pytest.approx(np.floor(a.ravel() + 0.5).tolist())
 
 
+@pytest.mark.parametrize("kernel", ["iso", "aniso"])
+def test_degrade_against_plain_loops(spark, kernel):
+    a, k, (sx, sy, theta), scale = rng.uniform(0, 255, (10, 12)), 5, (1.2, 0.6, 0.4), 2.0
+    if kernel == "iso":
+        sy, theta = sx, 0.0
+    cov = np.array([[np.cos(theta), -np.sin(theta)], [np.sin(theta), np.cos(theta)]])
+    inv = np.linalg.inv(cov @ np.diag([sx**2, sy**2]) @ cov.T)
+    taps = np.array([[math.exp(-0.5 * np.array([x, y]) @ inv @ np.array([x, y])) for x in range(-2, 3)] for y in range(-2, 3)])
+    taps /= taps.sum()
+    p = np.pad(a, 2, mode="reflect")
+    blurred = np.array([[(p[y : y + k, x : x + k] * taps).sum() for x in range(12)] for y in range(10)])
+    small = blurred.reshape(5, 2, 6, 2).mean(axis=(1, 3))
+    want = np.empty((10, 12))
+    for y in range(10):
+        for x in range(12):
+            fy, fx = min(max((y + 0.5) / 2 - 0.5, 0), 4), min(max((x + 0.5) / 2 - 0.5, 0), 5)
+            y0, x0 = int(fy), int(fx)
+            y1, x1 = min(y0 + 1, 4), min(x0 + 1, 5)
+            top = small[y0, x0] * (1 - fx + x0) + small[y0, x1] * (fx - x0)
+            low = small[y1, x0] * (1 - fx + x0) + small[y1, x1] * (fx - x0)
+            want[y, x] = top * (1 - fy + y0) + low * (fy - y0)
+    plan = spark.createDataFrame([(0, kernel, 1.2, 0.6, 0.4, scale, 0.0, False, 0.0, 0.0, 0.0, False)], "img long, kernel string, sigma_x double, sigma_y double, theta double, scale double, noise double, jitter boolean, jitter_0 double, jitter_1 double, jitter_2 double, gray boolean")
+    got = sampling.degrade(plane_df(spark, [(0, 0, a)]), plan, k).collect()[0]["plane"]
+    assert got == pytest.approx(np.round(want).ravel().tolist())
+
+
 def test_metric_registry(spark):
     with pytest.raises(KeyError):
         metrics.register_metric("psnr")(metrics.psnr)

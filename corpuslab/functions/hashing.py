@@ -6,8 +6,6 @@ re-execution, which ``rand(seed)`` is not.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, functions as F
 
 
@@ -34,12 +32,6 @@ def uniform_int(key: Column | str, tag: str, low: Column | int, high: Column | i
     return (low + F.floor(uniform(key, tag, seed) * (high - low + 1))).cast("bigint")
 
 
-def normal(key: Column | str, tag: str, seed: int = 0) -> Column:
-    """Standard normal by Box-Muller on two uniforms."""
-    first = F.greatest(uniform(key, f"{tag}:r", seed), F.lit(2.0**-33))
-    return F.sqrt(-2.0 * F.log(first)) * F.cos(2.0 * math.pi * uniform(key, f"{tag}:a", seed))
-
-
 def choose(key: Column | str, tag: str, weighted: list[tuple[str, float]], seed: int = 0) -> Column:
     """Pick a label by cumulative weight."""
     draw = uniform(key, tag, seed)

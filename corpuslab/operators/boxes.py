@@ -11,6 +11,9 @@ from .ranking import take_per_group
 
 CORNERS = ("x1", "y1", "x2", "y2")
 
+# A prior table up to this many rows (a few MB) may be broadcast.
+MAX_BROADCAST_PRIORS = 100_000
+
 
 def _cell_size(*tables: DataFrame) -> tuple[Column, Column]:
     """Grid cell = the larger root mean square box side of the tables, read in one aggregate.
@@ -48,7 +51,7 @@ def box_overlap(a: DataFrame, b: DataFrame, kind: str = "iou", on: tuple[str, ..
     return scored.where(F.col("overlap") > min_overlap).select(*on, "a_idx", "b_idx", "overlap")
 
 
-def _met_pairs(left: DataFrame, right: DataFrame, on: tuple[str, ...], kind: str, cell: tuple[Column, Column]) -> DataFrame:
+def _met_pairs(left: DataFrame, right: DataFrame, on: tuple[str, ...], kind: str, cell: tuple[Column, Column], wrap=lambda df: df) -> DataFrame:
     """Pairs of ``a_`` and ``b_`` boxes that share area, each once, with ``overlap``."""
     abox = tuple(F.col(f"a_{c}") for c in CORNERS)
     bbox = tuple(F.col(f"b_{c}") for c in CORNERS)
@@ -57,7 +60,7 @@ def _met_pairs(left: DataFrame, right: DataFrame, on: tuple[str, ...], kind: str
     here = (F.col("_cx") == F.floor(F.greatest(abox[0], bbox[0]) / cell[0])) & (
         F.col("_cy") == F.floor(F.greatest(abox[1], bbox[1]) / cell[1])
     )
-    met = left.join(right, [*on, "_cx", "_cy"]).where(here & (geometry.intersection(abox, bbox) > 0))
+    met = left.join(wrap(right), [*on, "_cx", "_cy"]).where(here & (geometry.intersection(abox, bbox) > 0))
     return met.withColumn("overlap", geometry.overlap_ratio(abox, bbox, kind))
 
 
@@ -91,41 +94,58 @@ def match_priors(truth: DataFrame, priors: DataFrame, threshold: float = 0.35, m
     ``truth``: ``img, det_idx, x1..y2, label``; ``priors``: ``prior_id`` 0..n-1 and ``cx, cy, w, h``.
     Images where no truth reaches ``min_best`` get label 0 and zero offsets throughout.
     """
+    size = priors.agg(F.count(F.lit(1)).alias("n"), F.max("prior_id").alias("last")).first()
+    if not size["n"]:
+        raise ValueError("no priors given")
+    # a checked size: a detector's priors are broadcast, a larger table is joined by shuffle
+    small = F.broadcast if size["n"] <= MAX_BROADCAST_PRIORS else (lambda df: df)
     corners = priors.select(
         F.col("prior_id").alias("det_idx"),
         *[v.alias(k) for k, v in geometry.centre_to_corners(*[F.col(c) for c in ("cx", "cy", "w", "h")]).items()],
     )
     # priors are the same for every image, so pairs meet on the grid cell alone
-    flat = truth.select(F.struct("img", "det_idx").alias("det_idx"), *CORNERS)
-    pairs = box_overlap(flat, corners, on=()).select("a_idx.img", "a_idx.det_idx", F.col("b_idx").alias("prior_id"), "overlap")
-
-    best = pairs.groupBy("img", "det_idx").agg(F.max(F.struct("overlap", -F.col("prior_id"))).alias("m")).select(
-        "img", "det_idx", F.col("m.overlap").alias("best"), (-F.col("m.col2")).alias("prior_id")
-    )
-    truths = truth.select("img", "det_idx").join(best, ["img", "det_idx"], "left").select(
-        "img", "det_idx", F.coalesce("best", F.lit(0.0)).alias("best"), F.coalesce("prior_id", F.lit(0)).alias("prior_id")
-    )
-    images = truths.groupBy("img").agg(F.min("det_idx").alias("_first"), (F.max("best") >= min_best).alias("_valid"))
-    claims = truths.groupBy("img", "prior_id").agg(
-        F.max("det_idx").alias("_claim"), F.max(F.col("best") >= min_best).alias("_lifted")
+    side = lambda df, tag: df.select(*[F.col(c).cast("double").alias(f"{tag}_{c}") for c in CORNERS], *[c for c in df.columns if c not in CORNERS])
+    met = _met_pairs(
+        side(truth.select("img", "det_idx", *CORNERS), "a"),
+        side(corners.withColumnRenamed("det_idx", "prior_id"), "b"),
+        (), "iou", _cell_size(truth, corners), small,
     )
-    per_prior = pairs.groupBy("img", "prior_id").agg(F.max(F.struct("overlap", -F.col("det_idx"))).alias("m")).select(
-        "img", "prior_id", F.col("m.overlap").alias("_overlap"), (-F.col("m.col2")).alias("_truth")
+    pairs = met.select("img", "det_idx", "prior_id", "overlap")
+
+    # best prior per truth; a truth that meets none falls to the first prior with overlap 0
+    none = F.struct(F.lit(0.0).alias("overlap"), F.lit(0).cast("bigint").alias("neg"))
+    found = F.struct("overlap", (-F.col("prior_id")).alias("neg"))
+    truths = (
+        pairs.select("img", "det_idx", found.alias("m"))
+        .unionByName(truth.select("img", "det_idx", none.alias("m")))
+        .groupBy("img", "det_idx")
+        .agg(F.max("m").alias("m"))
+        .select("img", "det_idx", F.col("m.overlap").alias("best"), (-F.col("m.neg")).alias("prior_id"))
     )
-    last = priors.agg(F.max("prior_id")).scalar()
-    grid = images.withColumn("_last", last).select(
-        "img", "_first", "_valid", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last"))).alias("prior_id")
+    good = F.col("best") >= min_best
+    images = truths.groupBy("img").agg(F.min("det_idx").alias("_first"), F.max(good).alias("_valid"))
+    # each prior of each image gathers its best truth, its claims and the image's defaults in one aggregate
+    fields = {"_m": "struct<overlap: double, neg: bigint>", "_claim": "bigint", "_lifted": "boolean", "_first": "bigint", "_valid": "boolean"}
+
+    def rows(df: DataFrame, **given: Column) -> DataFrame:
+        return df.select("img", "prior_id", *[given.get(c, F.lit(None)).cast(t).alias(c) for c, t in fields.items()])
+
+    every = images.withColumn("prior_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(size["last"]).cast("bigint"))))
+    gathered = (
+        rows(pairs, _m=F.struct("overlap", (-F.col("det_idx")).alias("neg")))
+        .unionByName(rows(truths, _claim=F.col("det_idx"), _lifted=good))
+        .unionByName(rows(every, _first=F.col("_first"), _valid=F.col("_valid")))
+        .groupBy("img", "prior_id")
+        .agg(*[F.max(c).alias(c) for c in fields])
     )
     chosen = (
-        grid.join(per_prior, ["img", "prior_id"], "left")
-        .join(claims, ["img", "prior_id"], "left")
-        .select(
+        gathered.select(
             "img", "prior_id", "_valid",
-            F.coalesce("_claim", "_truth", "_first").alias("det_idx"),
-            F.when(F.col("_lifted"), F.lit(2.0)).otherwise(F.coalesce("_overlap", F.lit(0.0))).alias("overlap"),
+            F.coalesce("_claim", -F.col("_m.neg"), "_first").alias("det_idx"),
+            F.when(F.col("_lifted"), F.lit(2.0)).otherwise(F.coalesce("_m.overlap", F.lit(0.0))).alias("overlap"),
         )
         .join(truth.select("img", "det_idx", "label", *CORNERS), ["img", "det_idx"])
-        .join(priors.select("prior_id", *[F.col(c).alias(f"_p{c}") for c in ("cx", "cy", "w", "h")]), "prior_id")
+        .join(small(priors.select("prior_id", *[F.col(c).alias(f"_p{c}") for c in ("cx", "cy", "w", "h")])), "prior_id")
     )
     loc = geometry.encode_offsets(
         tuple(F.col(c) for c in CORNERS), tuple(F.col(f"_p{c}") for c in ("cx", "cy", "w", "h")), variances
@@ -255,7 +275,7 @@ def suppress(
     top_k: int | None = None,
     merge: bool = False,
     redundant: bool = True,
-    group_cap: int = 20000,
+    group_cap: int = 50_000,
 ) -> DataFrame:
     """Greedy non-maximum suppression per image.
 

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
 MAX_BLOCKS = 4096
@@ -22,18 +23,25 @@ def default_blocks(df: DataFrame) -> int:
     return min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_BLOCKS)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one the session names for checkpoints."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        base = tempfile.gettempdir()
+    return f"{base.rstrip('/')}/corpuslab-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the session names."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="corpuslab-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to the shared folder and read it back.
+
+    Unlike ``checkpoint()``, which runs the job a second time to save it, the rows are computed once,
+    and later readers still prune columns.
+    """
+    path = f"{shared_folder(df.sparkSession)}/cut"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def widen(df: DataFrame) -> DataFrame:

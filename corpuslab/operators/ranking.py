@@ -208,7 +208,7 @@ def linear_scan(df: DataFrame, factor: float, series: list[str], position: str,
     Blocks of ``block_rows`` consecutive rows are folded from zero on their own; the value that
     enters a block obeys the same recurrence over block ends with ``factor ** block_rows``, so it
     is found by the same scan one level up. No task ever holds a whole series. ``carry`` columns
-    travel along. The folded blocks are read twice, so they are checkpointed, not computed twice.
+    travel along. The folded blocks are read twice, so they are written once, not computed twice.
     """
     extra = F.struct(F.lit(0).alias("_"), *carry).alias("_c")
     blocked = df.select(*series, F.col(position).alias("_p"), F.col(value).alias("_x"), extra).withColumn("_blk", F.floor(F.col("_p") / block_rows))

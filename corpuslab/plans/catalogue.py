@@ -30,6 +30,11 @@ def r(column: Column | str, digits: int = 6) -> Column:
     return F.round(column, digits) + F.lit(0.0)
 
 
+def _known(df: DataFrame, **fill) -> DataFrame:
+    """Whole numbers and flags without nulls, so that both sides of a comparison keep their types."""
+    return df.fillna(fill)
+
+
 # --- composed -----------------------------------------------------------------
 
 
@@ -113,7 +118,7 @@ def _sidecar(spark, sf) -> DataFrame:
 
 @query
 def read_meta_info(spark, sf):
-    return manifests.parse_meta_info(_sidecar(spark, sf))
+    return _known(manifests.parse_meta_info(_sidecar(spark, sf)), h=-1, w=-1, c=-1, level=-1)
 
 
 @query
@@ -188,7 +193,7 @@ def filter_name(spark, sf):
 @query
 def filter_size(spark, sf):
     sized = t.listing(spark, sf).withColumn("bytes", F.when(F.col("doc_id") % 9 == 0, F.lit(None)).otherwise(F.col("bytes")))
-    return projections.filter_size(sized, 4000, 200_000).select("doc_id", "bytes", "w", "h")
+    return _known(projections.filter_size(sized, 4000, 200_000).select("doc_id", "bytes", "w", "h"), bytes=-1)
 
 
 @query
@@ -662,7 +667,8 @@ def newest_run(spark, sf):
 
 @query
 def retention_plan(spark, sf):
-    return ranking.retention_plan(t.checkpoints(spark, sf), 5, "run_3").select("o_orderkey", "path", "iter", "action", "bytes")
+    plan = ranking.retention_plan(t.checkpoints(spark, sf), 5, "run_3")
+    return _known(plan.select("o_orderkey", "path", "iter", "action", "bytes"), iter=-1)
 
 
 @query
@@ -755,7 +761,8 @@ def degrade(spark, sf):
 def crop_plan(spark, sf):
     n = F.col("doc_id")
     pairs = t.listing(spark, sf).select("rel_path", F.col("h").alias("lq_h"), F.col("w").alias("lq_w"), (F.col("h") * 2 + F.when(n % 17 == 0, 1).otherwise(0)).alias("gt_h"), (F.col("w") * 2).alias("gt_w"))
-    return sampling.crop_plan(pairs, 256, 2, "rel_path", seed=3).select("rel_path", "status", "top", "left", "top_gt", "left_gt", "hflip", "vflip", "rot90")
+    plan = sampling.crop_plan(pairs, 256, 2, "rel_path", seed=3).select("rel_path", "status", "top", "left", "top_gt", "left_gt", "hflip", "vflip", "rot90")
+    return _known(plan, top=-1, left=-1, top_gt=-1, left_gt=-1, hflip=False, vflip=False, rot90=False)
 
 
 @query

@@ -146,8 +146,8 @@ O["extract_links_limited"] = f"""SELECT host, link, page_id, pos FROM (SELECT *,
     SELECT host, link, page_id, pos, row_number() OVER (PARTITION BY host, link ORDER BY page_id, pos) AS seen FROM ({_LINKS})) WHERE seen = 1) WHERE k <= 5"""
 O["read_meta_info"] = with_(
     "listing",
-    """SELECT name, CAST(doc_id AS VARCHAR) AS key, CASE WHEN doc_id % 3 = 0 THEN h END AS h, CASE WHEN doc_id % 3 = 0 THEN w END AS w,
-    CASE WHEN doc_id % 3 = 0 THEN 3 END::INTEGER AS c, CASE WHEN doc_id % 3 = 0 THEN doc_id % 10 WHEN doc_id % 3 = 1 THEN 1 END::INTEGER AS level FROM listing""",
+    """SELECT name, CAST(doc_id AS VARCHAR) AS key, CASE WHEN doc_id % 3 = 0 THEN h ELSE -1 END AS h, CASE WHEN doc_id % 3 = 0 THEN w ELSE -1 END AS w,
+    CASE WHEN doc_id % 3 = 0 THEN 3 ELSE -1 END::INTEGER AS c, CASE WHEN doc_id % 3 = 0 THEN doc_id % 10 WHEN doc_id % 3 = 1 THEN 1 ELSE -1 END::INTEGER AS level FROM listing""",
 )
 O["write_meta_info"] = with_(
     "listing",
@@ -180,7 +180,7 @@ O["filter_name"] = with_(
 )
 O["filter_size"] = with_(
     "listing",
-    """SELECT doc_id, b AS bytes, w, h FROM (SELECT *, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE bytes END AS b FROM listing)
+    """SELECT doc_id, coalesce(b, -1) AS bytes, w, h FROM (SELECT *, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE bytes END AS b FROM listing)
     WHERE (b IS NULL OR b <= 4000) AND w::BIGINT * h <= 200000""",
 )
 O["filter_resolution"] = with_("listing", "SELECT doc_id, w, h FROM listing WHERE least(w, h) >= 128")
@@ -407,7 +407,7 @@ O["newest_run"] = with_("ckpt", "SELECT run, max(mtime) AS mtime FROM ckpt GROUP
 _STALE = "iter IS NOT NULL AND iter NOT IN (top, top - 5)"
 O["retention_plan"] = with_(
     "ckpt",
-    f"SELECT o_orderkey, path, iter, CASE WHEN run <> 'run_3' OR ({_STALE}) THEN 'drop' ELSE 'keep' END AS action, bytes FROM (SELECT *, max(iter) OVER (PARTITION BY run, kind) AS top FROM ckpt)",
+    f"SELECT o_orderkey, path, coalesce(iter, -1) AS iter, CASE WHEN run <> 'run_3' OR ({_STALE}) THEN 'drop' ELSE 'keep' END AS action, bytes FROM (SELECT *, max(iter) OVER (PARTITION BY run, kind) AS top FROM ckpt)",
 )
 O["retention_summary"] = with_(
     "ckpt",
@@ -473,9 +473,9 @@ def _plan() -> str:
 O["degradation_plan"] = with_("listing", _plan())
 O["crop_plan"] = with_(
     "listing",
-    f"""SELECT rel_path, status, CASE WHEN ok THEN floor({u('rel_path', 'top', 3)} * (h - 128 + 1)) END::INTEGER AS top, CASE WHEN ok THEN floor({u('rel_path', 'left', 3)} * (w - 128 + 1)) END::INTEGER AS "left",
-    CASE WHEN ok THEN 2 * floor({u('rel_path', 'top', 3)} * (h - 128 + 1)) END::INTEGER AS top_gt, CASE WHEN ok THEN 2 * floor({u('rel_path', 'left', 3)} * (w - 128 + 1)) END::INTEGER AS left_gt,
-    CASE WHEN ok THEN {u('rel_path', 'hflip', 3)} < 0.5 END AS hflip, CASE WHEN ok THEN {u('rel_path', 'vflip', 3)} < 0.5 END AS vflip, CASE WHEN ok THEN {u('rel_path', 'rot90', 3)} < 0.5 END AS rot90
+    f"""SELECT rel_path, status, CASE WHEN ok THEN floor({u('rel_path', 'top', 3)} * (h - 128 + 1)) ELSE -1 END::INTEGER AS top, CASE WHEN ok THEN floor({u('rel_path', 'left', 3)} * (w - 128 + 1)) ELSE -1 END::INTEGER AS "left",
+    CASE WHEN ok THEN 2 * floor({u('rel_path', 'top', 3)} * (h - 128 + 1)) ELSE -1 END::INTEGER AS top_gt, CASE WHEN ok THEN 2 * floor({u('rel_path', 'left', 3)} * (w - 128 + 1)) ELSE -1 END::INTEGER AS left_gt,
+    CASE WHEN ok THEN {u('rel_path', 'hflip', 3)} < 0.5 ELSE false END AS hflip, CASE WHEN ok THEN {u('rel_path', 'vflip', 3)} < 0.5 ELSE false END AS vflip, CASE WHEN ok THEN {u('rel_path', 'rot90', 3)} < 0.5 ELSE false END AS rot90
     FROM (SELECT *, status = 'ok' AS ok FROM (SELECT *, CASE WHEN doc_id % 17 = 0 THEN 'scale_mismatch' WHEN h < 128 OR w < 128 THEN 'too_small' ELSE 'ok' END AS status FROM listing))""",
 )
 O["mod_crop"] = with_("listing", "SELECT doc_id, (h // 4 * 4)::INTEGER AS h, (w // 4 * 4)::INTEGER AS w FROM listing")

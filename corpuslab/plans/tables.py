@@ -5,13 +5,10 @@ Every fixture uses whole tables; arithmetic on ids only makes values, it never p
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.hashing import uniform
-from ..operators.ordering import widen
+from ..operators.ordering import shared_folder, widen
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -157,13 +154,7 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """New folder path below the shared checkpoint folder of the session."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.gettempdir()
-    return f"{base}/corpuslab-{uuid.uuid4().hex}/{name}"
+    return f"{shared_folder(spark)}/{name}"
 
 
 def log_lines(events: DataFrame) -> DataFrame:

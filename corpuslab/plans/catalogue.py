@@ -35,6 +35,11 @@ def _known(df: DataFrame, **fill) -> DataFrame:
     return df.fillna(fill)
 
 
+def exact_avg(column: str) -> Column:
+    """Mean of a two-decimal column from whole hundredths: the same double on both sides."""
+    return F.sum(F.round(F.col(column) * 100).cast("bigint")) / F.count(column) / F.lit(100.0)
+
+
 # --- composed -----------------------------------------------------------------
 
 
@@ -270,7 +275,7 @@ def to_luma(spark, sf):
 
 @query
 def melt_metrics(spark, sf):
-    s = t.table(spark, sf, "lineitem").groupBy("l_partkey").agg(r(F.avg("l_quantity")).alias("qty"), r(F.avg("l_discount")).alias("disc"), r(F.avg("l_tax")).alias("tax"))
+    s = t.table(spark, sf, "lineitem").groupBy("l_partkey").agg(*[r(exact_avg(c), 8).alias(n) for c, n in (("l_quantity", "qty"), ("l_discount", "disc"), ("l_tax", "tax"))])
     return projections.melt_metrics(s.withColumnRenamed("l_partkey", "iteration"), ["qty", "disc", "tax"])
 
 
@@ -430,7 +435,7 @@ def sweep(spark, sf):
 def _scores(spark, sf) -> DataFrame:
     return (
         t.table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("variant"), F.col("l_partkey").alias("sample"))
-        .agg(F.round(F.avg("l_extendedprice") / 1000, 4).alias("value"), F.round(F.avg("l_quantity"), 4).alias("latency_s"))
+        .agg(exact_avg("l_extendedprice").alias("value"), exact_avg("l_quantity").alias("latency_s"))
     )
 
 
@@ -576,11 +581,11 @@ def warm_latency(spark, sf):
 @query
 def acceptance_gate(spark, sf):
     li = t.table(spark, sf, "lineitem").groupBy("l_returnflag", F.col("l_partkey").alias("sample")).agg(
-        F.round(F.avg("l_extendedprice") / 1000, 4).alias("psnr"), F.round(F.avg("l_discount"), 4).alias("ssim"), F.round(F.avg("l_tax"), 4).alias("identity")
+        exact_avg("l_extendedprice").alias("psnr"), exact_avg("l_discount").alias("ssim"), exact_avg("l_tax").alias("identity")
     )
     s = li.select("l_returnflag", "sample", F.concat(F.lit("cat_"), (F.col("sample") % 4).cast("string")).alias("category"), F.when(F.col("sample") % 10 != 0, F.col("psnr")).alias("psnr"), "ssim", "identity")
     out = aggregates.acceptance_gate(s.where("l_returnflag = 'A'"), s.where("l_returnflag = 'N'"))
-    return out.select("category", "samples", "accepted", *[r(c).alias(c) for c in ("cand_psnr_median", "base_psnr_median", "cand_ssim_median", "base_ssim_median", "cand_identity_mean", "base_identity_mean")])
+    return out.select("category", "samples", "accepted", *[r(c, 8).alias(c) for c in ("cand_psnr_median", "base_psnr_median", "cand_ssim_median", "base_ssim_median", "cand_identity_mean", "base_identity_mean")])
 
 
 # --- ranking ------------------------------------------------------------------

@@ -18,6 +18,11 @@ def r(expr: str, digits: int = 6) -> str:
     return f"(round({expr}, {digits}) + 0.0::DOUBLE)"
 
 
+def mean(column: str) -> str:
+    """Mean of a two-decimal column from whole hundredths."""
+    return f"(sum(round({column} * 100)::BIGINT)::DOUBLE / count({column}) / 100.0::DOUBLE)"
+
+
 EXT = "list_extract(['png','jpg','webp','bmp','txt'], CAST(doc_id % 5 AS INTEGER) + 1)"
 PIXEL = "round(least(greatest((e::DOUBLE + 1) * 127.5, 0), 255))"
 
@@ -62,8 +67,8 @@ CTE = {
         UNION SELECT '/data/references/' || doc_id || '.PNG' FROM documents WHERE doc_id % 4 <> 0""",
     "judged": """SELECT doc_id, CASE WHEN doc_id % 23 = 0 THEN 'unreadable' WHEN w < 128 OR h < 128 THEN 'low_res' WHEN doc_id % 4 = 0 THEN 'no_face'
         WHEN doc_id % 100 / 100 < 0.15 THEN 'small_face' WHEN bytes % 300 < 80 THEN 'blurry' ELSE 'ok' END AS reason FROM listing""",
-    "lscore": """SELECT l_returnflag AS variant, l_partkey AS sample, round(avg(l_extendedprice) / 1000, 4) AS value,
-        round(avg(l_quantity), 4) AS latency_s FROM lineitem GROUP BY ALL""",
+    "lscore": f"""SELECT l_returnflag AS variant, l_partkey AS sample, {mean('l_extendedprice')} AS value,
+        {mean('l_quantity')} AS latency_s FROM lineitem GROUP BY l_returnflag, l_partkey""",
     "idp": """SELECT a.vec_id, a.label, 1 - list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS distance
         FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings) a JOIN (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings) b
         ON b.vec_id = a.vec_id + 1 AND a.label = b.label""",
@@ -214,7 +219,7 @@ O["to_luma"] = with_(
     "bgr",
     f"""SELECT img, p::INTEGER AS pos, {r('b / 255 * 24.966 + g / 255 * 128.553 + r / 255 * 65.481 + 16')} AS bt601, {r('b * 0.1140 + g * 0.5870 + r * 0.2989')} AS gray FROM bgr WHERE b IS NOT NULL AND g IS NOT NULL AND r IS NOT NULL""",
 )
-O["melt_metrics"] = f"""SELECT l_partkey AS iteration, metric, value FROM (UNPIVOT (SELECT l_partkey, {r('avg(l_quantity)')} AS qty, {r('avg(l_discount)')} AS disc, {r('avg(l_tax)')} AS tax
+O["melt_metrics"] = f"""SELECT l_partkey AS iteration, metric, value FROM (UNPIVOT (SELECT l_partkey, {r(mean('l_quantity'), 8)} AS qty, {r(mean('l_discount'), 8)} AS disc, {r(mean('l_tax'), 8)} AS tax
     FROM lineitem GROUP BY l_partkey) ON qty, disc, tax INTO NAME metric VALUE value)"""
 O["rescale_planes"] = with_(
     "pix",
@@ -343,12 +348,12 @@ O["identity_loss"] = with_("idp", f"SELECT label, {r('avg(distance) * 0.1')} AS
 O["summarise_metrics"] = f"""SELECT l_returnflag, metric, {r('avg(value)')} AS mean_value, count(*) AS samples FROM (UNPIVOT (SELECT l_returnflag, l_quantity, l_discount, l_tax FROM lineitem)
     ON l_quantity, l_discount, l_tax INTO NAME metric VALUE value) GROUP BY l_returnflag, metric"""
 O["warm_latency"] = f"""SELECT event_type, {r('avg(value)')} AS warm_latency_s, count(*) AS warm_calls FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events) WHERE k > 1 GROUP BY event_type"""
-O["acceptance_gate"] = f"""WITH s AS (SELECT l_returnflag AS f, l_partkey AS sample, 'cat_' || (l_partkey % 4) AS category, round(avg(CASE WHEN l_partkey % 10 <> 0 THEN l_extendedprice END) / 1000, 4) AS psnr,
-    round(avg(l_discount), 4) AS ssim, round(avg(l_tax), 4) AS idt FROM lineitem GROUP BY ALL),
+O["acceptance_gate"] = f"""WITH s AS (SELECT l_returnflag AS f, l_partkey AS sample, 'cat_' || (l_partkey % 4) AS category, CASE WHEN l_partkey % 10 <> 0 THEN {mean('l_extendedprice')} END AS psnr,
+    {mean('l_discount')} AS ssim, {mean('l_tax')} AS idt FROM lineitem GROUP BY l_returnflag, l_partkey),
     p AS (SELECT c.category, c.psnr AS cp, b.psnr AS bp, c.ssim AS cs, b.ssim AS bs, c.idt AS ci, b.idt AS bi FROM s c JOIN s b USING (sample) WHERE c.f = 'A' AND b.f = 'N'),
     a AS (SELECT coalesce(category, '(all)') AS category, count(*) AS samples, median(cp) AS cpm, median(bp) AS bpm, median(cs) AS csm, median(bs) AS bsm, avg(ci) AS cim, avg(bi) AS bim FROM p GROUP BY ROLLUP (category))
-    SELECT category, samples, cpm >= bpm AND csm >= bsm AND cim <= bim AS accepted, {r('cpm')} AS cand_psnr_median, {r('bpm')} AS base_psnr_median, {r('csm')} AS cand_ssim_median, {r('bsm')} AS base_ssim_median,
-    {r('cim')} AS cand_identity_mean, {r('bim')} AS base_identity_mean FROM a"""
+    SELECT category, samples, cpm >= bpm AND csm >= bsm AND cim <= bim AS accepted, {r('cpm', 8)} AS cand_psnr_median, {r('bpm', 8)} AS base_psnr_median, {r('csm', 8)} AS cand_ssim_median, {r('bsm', 8)} AS base_ssim_median,
+    {r('cim', 8)} AS cand_identity_mean, {r('bim', 8)} AS base_identity_mean FROM a"""
 O["take_per_group"] = with_("listing", "SELECT doc_id, category FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY doc_id) AS k FROM listing) WHERE k <= 7")
 O["take_per_group_large"] = "SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events) WHERE k <= 1500"
 O["take_quota"] = with_(

@@ -491,7 +491,7 @@ def transfer_moments(spark, sf):
     p = t.planes(spark, sf)
     style = p.withColumn("img", F.col("img") - 1)
     out = pixels.transfer_moments(p, style, blend=0.7)
-    return out.select("img", "ch", F.posexplode("plane").alias("pos", "v")).select("img", "ch", "pos", r("v").alias("v"))
+    return out.select("img", "ch", F.posexplode("plane").alias("pos", "v")).select("img", "ch", "pos", r("v", 7).alias("v"))
 
 
 @query
@@ -713,7 +713,9 @@ def tail(spark, sf):
 
 @query
 def ema(spark, sf):
-    return ranking.ema(t.series(spark, sf), 0.9, ["run"], "iteration", "value").select("run", "iteration", r("ema").alias("ema"))
+    # sevenths have no finite decimal form, so no value sits on a rounding edge
+    sevenths = t.series(spark, sf).withColumn("value", F.col("value") / 7)
+    return ranking.ema(sevenths, 0.9, ["run"], "iteration", "value").select("run", "iteration", r("ema").alias("ema"))
 
 
 @query

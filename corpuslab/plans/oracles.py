@@ -318,7 +318,7 @@ O["channel_moments"] = with_("pix", f"SELECT img, ch, {r('avg(v)')} AS mean, {r(
 O["transfer_moments"] = with_(
     "pix",
     f""", m AS (SELECT img, ch, avg(v) AS m, stddev_pop(v) AS s FROM pix GROUP BY img, ch)
-    SELECT p.img, p.ch, p::INTEGER AS pos, {r('v * (1.0::DOUBLE - 0.7) + least(greatest((v - c.m) * (t.s / greatest(c.s, 0.00001)) + t.m, 0), 255) * 0.7')} AS v
+    SELECT p.img, p.ch, p::INTEGER AS pos, {r('v * (1.0::DOUBLE - 0.7) + least(greatest((v - c.m) * (t.s / greatest(c.s, 0.00001)) + t.m, 0), 255) * 0.7', 7)} AS v
     FROM pix p JOIN m c USING (img, ch) JOIN m t ON t.img = p.img + 1 AND t.ch = p.ch""",
 )
 O["pair_loss"] = with_(
@@ -432,7 +432,7 @@ O["gather_frames"] = """WITH f AS (SELECT conv_id AS clip, turn::INTEGER AS fram
 O["tail"] = with_("ser", f"SELECT run, iteration, {r('value')} AS value FROM ser ORDER BY iteration DESC LIMIT 100")
 O["ema"] = with_(
     "ser",
-    f""", n AS (SELECT run, iteration, value, row_number() OVER (PARTITION BY run ORDER BY iteration) AS k FROM ser),
+    f""", n AS (SELECT run, iteration, value / 7 AS value, row_number() OVER (PARTITION BY run ORDER BY iteration) AS k FROM ser),
     e(run, k, iteration, e) AS (SELECT run, k, iteration, value FROM n WHERE k = 1 UNION ALL SELECT n.run, n.k, n.iteration, 0.9 * e.e + 0.1 * n.value FROM e JOIN n ON n.run = e.run AND n.k = e.k + 1)
     SELECT run, iteration, {r('e')} AS ema FROM e""",
     recursive=True,

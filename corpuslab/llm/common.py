@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators.ordering import cut_lineage
+from ..operators.ordering import shared_folder
 
 #: The white space of all word definitions here; a word is a run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,7 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def saved(df: DataFrame) -> DataFrame:
     """Written once to the shared folder and read back: computed once, safe against lost executors."""
-    return cut_lineage(df)
+    path = f"{shared_folder(df.sparkSession)}/saved"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def text_of(column: Column | str) -> Column:

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, mixing, quality, simhash
+from . import decontaminate, exact, fuzzy_lines, mixing, passages, quality, secrets, simhash, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {"op9_exact_dedup": exact.ORACLE}
+ORACLES: dict[str, str] = {"op3_line_hashing": passages.ORACLE, "op9_exact_dedup": exact.ORACLE}
 
 
 def query(fn: Query) -> Query:
@@ -43,3 +43,23 @@ def op9_exact_dedup(spark, sf_dir):
 @query
 def op10_decontaminate(spark, sf_dir):
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op2_token_counts(spark, sf_dir):
+    return tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_line_hashing(spark, sf_dir):
+    return passages.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_fuzzy_lines(spark, sf_dir):
+    return fuzzy_lines.per_document(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_secrets(spark, sf_dir):
+    return secrets.per_document(table(spark, sf_dir, "documents"))

@@ -170,4 +170,4 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """The documents whose id names their component; rows that share an id are one document."""
     groups = near_groups(docs, id_col, text_col, width, radius)
     stay = groups.where(same(F.col("doc_id"), F.col("component_id"))).select(F.col("doc_id").alias("_stays"))
-    return docs.join(stay, same(docs[id_col], F.col("_stays")), "left_semi")
+    return docs.join(stay, same(docs[id_col], stay["_stays"]), "left_semi")

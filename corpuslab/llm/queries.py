@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, fuzzy_lines, mixing, passages, quality, secrets, simhash, tokens
+from . import decontaminate, exact, fuzzy_lines, mixing, passages, quality, secrets, simhash, suffix, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,3 +63,8 @@ def op7_fuzzy_lines(spark, sf_dir):
 @query
 def op5_secrets(spark, sf_dir):
     return secrets.per_document(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_suffix_dedup(spark, sf_dir):
+    return suffix.digests(table(spark, sf_dir, "documents"))

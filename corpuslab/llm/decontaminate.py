@@ -93,7 +93,8 @@ class Matcher:
             for k, offset in places:
                 starts[k].add(end + 1 - size - offset)
         out = []
-        for k, found in starts.items():
+        for k in sorted(starts):
+            found = starts[k]
             key, item, limit = self.items[k]
             if k not in self.masks:
                 self.masks[k] = peq(item)
@@ -104,7 +105,7 @@ class Matcher:
                     best = got
             if best:
                 out.append((key, *best))
-        return sorted(out)
+        return out
 
 
 def _spans(starts: list[int], length: int, limit: int) -> list[tuple[int, int]]:

@@ -27,7 +27,7 @@ SLOTS = (CHUNK - WIDTH) // STRIDE + 1
 AT_ONCE = 512
 #: Bounds of the training sample: labelled documents, and evenly spaced chunks of each.
 SAMPLE_DOCS, SAMPLE_CHUNKS = 2000, 8
-EPOCHS, BATCH_DOCS, RATE = 5, 32, 5e-3
+STEPS, BATCH_DOCS, RATE = 320, 32, 5e-3
 
 
 def chunked(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -141,17 +141,17 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> d
     p["c"][0] = np.log(share / (1 - share))
     m = {k: np.zeros_like(v) for k, v in p.items()}
     v = {k: np.zeros_like(x) for k, x in p.items()}
-    step = 0
-    for epoch in range(EPOCHS):
-        order = rng.permutation(len(samples))
-        for k in range(0, len(order), BATCH_DOCS):
-            step += 1
-            grads = _gradients(p, [samples[i] for i in order[k : k + BATCH_DOCS]])
-            rate = RATE * (1 - epoch / EPOCHS) * (1 - 0.999**step) ** 0.5 / (1 - 0.9**step)
-            for name, g in grads.items():
-                m[name] = 0.9 * m[name] + 0.1 * g
-                v[name] = 0.999 * v[name] + 0.001 * g * g
-                p[name] -= (rate * m[name] / (np.sqrt(v[name]) + 1e-8)).astype(np.float32)
+    order = np.empty(0, np.int64)
+    for step in range(1, STEPS + 1):
+        if len(order) < BATCH_DOCS:
+            order = np.concatenate((order, rng.permutation(len(samples))))
+        batch, order = order[:BATCH_DOCS], order[BATCH_DOCS:]
+        grads = _gradients(p, [samples[i] for i in batch])
+        rate = RATE * (1 - (step - 1) / STEPS) * (1 - 0.999**step) ** 0.5 / (1 - 0.9**step)
+        for name, g in grads.items():
+            m[name] = 0.9 * m[name] + 0.1 * g
+            v[name] = 0.999 * v[name] + 0.001 * g * g
+            p[name] -= (rate * m[name] / (np.sqrt(v[name]) + 1e-8)).astype(np.float32)
     return p
 
 

@@ -11,7 +11,7 @@ from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {"op3_line_hashing": passages.ORACLE, "op9_exact_dedup": exact.ORACLE}
+ORACLES: dict[str, str] = {"op3_line_hashing": passages.ORACLE, "op4_suffix_dedup": suffix.ORACLE, "op5_secrets": secrets.ORACLE, "op9_exact_dedup": exact.ORACLE}
 
 
 def query(fn: Query) -> Query:

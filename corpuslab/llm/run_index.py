@@ -28,12 +28,14 @@ def suffix_order(text: np.ndarray, lengths: tuple[int, ...] = ()) -> tuple[np.nd
         key = (key << _BITS) | padded[k : k + n]
     order, rank = _ranked(key)
     size, wanted = _PACKED, {}
+    # Ranks that a wanted length is made of.
     ranks = {size: rank}
     # An end mark past the text is lower than all, so the last suffixes come out right.
     while rank[order[-1]] < n - 1:
         order, rank = _ranked(_paired(rank, size, n))
         size *= 2
-        ranks[size] = rank
+        if size <= max(lengths, default=0):
+            ranks[size] = rank
     for length in lengths:
         below = max(s for s in ranks if s <= length)
         gap = length - below
@@ -43,7 +45,7 @@ def suffix_order(text: np.ndarray, lengths: tuple[int, ...] = ()) -> tuple[np.nd
 
 
 def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     placed = key[order]
     rank = np.empty(len(key), np.int64)
     rank[order] = np.cumsum(np.concatenate(([0], placed[1:] != placed[:-1])))

@@ -127,3 +127,32 @@ def per_document(docs: DataFrame) -> DataFrame:
         count(lambda s: (s["kind"] != "live") & (s["owners"] >= COPIED)).alias("n_copied"),
         count(lambda s: s["owners"] < COPIED).alias("n_live"),
     )
+
+
+def _oracle() -> str:
+    """The same in DuckDB: matches between marks, offsets as running lengths."""
+    parts = []
+    for nr, (kind, pattern) in enumerate(PATTERNS.items()):
+        head = VALUE[kind].replace("'", "''") if kind == "assign" else "^"
+        pattern = pattern.replace("'", "''")
+        parts.append(f"""SELECT doc_id, owner, '{kind}' AS kind, {nr} AS nr, lo, lo + length(part) AS hi, regexp_replace(part, '{head}', '') AS value FROM (
+          SELECT doc_id, owner, part, k, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY k) - length(part) AS lo FROM (
+            SELECT doc_id, owner, unnest(p) AS part, unnest(range(len(p))) AS k FROM (
+              SELECT doc_id, owner, string_split(regexp_replace(t, '({pattern})', chr(57344) || '\\1' || chr(57344), 'g'), chr(57344)) AS p FROM d)))
+        WHERE k % 2 = 1 AND length(regexp_replace(part, '{head}', '')) >= {LEAST[kind]}""")
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(source, '') AS owner, replace(coalesce(text, ''), chr(57344), chr(57345)) AS t FROM documents),
+    found AS ({' UNION ALL '.join(parts)}),
+    base AS (SELECT * FROM found WHERE kind <> 'live'),
+    live AS (SELECT * FROM found f WHERE kind = 'live' AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')
+      AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = f.doc_id AND b.lo < f.hi AND f.lo < b.hi)),
+    candidates AS (SELECT * FROM base UNION ALL SELECT * FROM live),
+    owned AS (SELECT value, count(DISTINCT owner) AS owners FROM candidates GROUP BY value),
+    spans AS (SELECT c.*, owners, kind || ':' || lo || ':' || hi AS s FROM candidates c JOIN owned USING (value) WHERE kind <> 'live' OR owners < {COPIED})
+    SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+      sha256(coalesce(string_agg(s, ',' ORDER BY lo, nr) FILTER (kind <> 'live'), '')) AS base_sha256, coalesce(string_agg(s, ',' ORDER BY lo, nr), '') AS spans,
+      count(*) FILTER (kind <> 'live' AND owners >= {COPIED}) AS n_copied, count(*) FILTER (owners < {COPIED}) AS n_live
+    FROM d LEFT JOIN spans USING (doc_id) GROUP BY doc_id"""
+
+
+ORACLE = _oracle()

@@ -8,7 +8,7 @@ all strings (a passage in a third of all documents) are ranked behind all others
 within such a passage still go by them; those are equal strings and collapse before the shuffle.
 
 In a bucket, strings that no other document's string can meet are set aside by the 31 bytes to either
-side of the seed. Strings that can be the earlier one are indexed (:mod:`run_index`), the others are streamed
+side of the seed, and equal strings are one. Strings that can be the earlier one are indexed (:mod:`run_index`), the others are streamed
 against the index, and where a match reaches 50 bytes the least document among the indexed suffixes
 with those 50 bytes decides. Marks go back to their documents, whose texts are shuffled once, compressed.
 """
@@ -33,7 +33,11 @@ SEEDS = MATCH - SEED + 1
 WIDTH = 2 * MATCH - SEED
 SIDE = (MATCH - SEED) // 2
 #: Text worked on at once, strings packed at once, and bytes of strings in a bucket.
-PIECE, FLUSH, BUCKET = 1 << 18, 400_000, 128 << 20
+PIECE, FLUSH, BUCKET = 1 << 18, 400_000, 96 << 20
+#: Buckets of a small table.
+FEWEST = 16
+#: Bytes of strings in one index, unless one seed has more.
+INDEX = 1 << 20
 #: Seeds fall in so many classes; a class with more than this part of all strings is ranked last.
 CLASSES, OUTSIZED = 1 << 16, 1 / 1024
 
@@ -97,7 +101,7 @@ def distinct(strings: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.nd
         for k, word in enumerate(strings.view(np.uint64).T):
             code = (code ^ word) * _WORDS[k]
             code ^= code >> _U(32)
-    order = np.argsort(code, kind="stable")
+    order = np.argsort(code)
     code, placed = code[order], strings[order]
     new = (code[1:] != code[:-1]) | (placed[1:] != placed[:-1]).any(axis=1) | (length[order][1:] != length[order][:-1])
     return order, np.cumsum(np.concatenate(([0], new)))[: len(order)]
@@ -257,7 +261,7 @@ def _met(sides: list[tuple[np.ndarray, np.ndarray]], rank: np.ndarray) -> tuple[
     for which, code in sides:
         if not len(which):
             continue
-        order = np.argsort(code, kind="stable")
+        order = np.argsort(code)
         heads = np.flatnonzero(np.concatenate(([True], code[order][1:] != code[order][:-1])))
         own = rank[which[order]]
         sizes = np.diff(np.concatenate((heads, [len(order)])))
@@ -274,8 +278,25 @@ def _unflat(flat: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def search(strings: np.ndarray, length: np.ndarray, rank: np.ndarray, source: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """(n, windows) flags: does the window also start in a string of a smaller rank? The strings are distinct."""
+def search(strings: np.ndarray, length: np.ndarray, seed: np.ndarray, rank: np.ndarray, source: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """(n, windows) flags: does the window also start in a string of a smaller rank? The strings are distinct.
+
+    Strings with one seed are in one index; an index has about INDEX bytes.
+    """
+    covered = np.zeros((len(strings), WIDTH - MATCH + 1), bool)
+    if not len(strings):
+        return covered
+    views = sliding_window_view(strings, SEED, axis=1)[np.arange(len(strings)), seed]
+    order = np.lexsort(np.ascontiguousarray(views).view(np.uint32).T)
+    new = np.concatenate(([True], (views[order][1:] != views[order][:-1]).any(axis=1)))
+    heads = np.flatnonzero(new)
+    block = (np.cumsum(length[order].astype(np.int64)) // INDEX)[heads]
+    for part in np.split(order, heads[1:][block[1:] != block[:-1]]):
+        covered[part] = _search(strings[part], length[part], rank[part], source[part], query[part])
+    return covered
+
+
+def _search(strings: np.ndarray, length: np.ndarray, rank: np.ndarray, source: np.ndarray, query: np.ndarray) -> np.ndarray:
     covered = np.zeros((len(strings), WIDTH - MATCH + 1), bool)
     if not source.any() or not query.any():
         return covered
@@ -322,16 +343,20 @@ def _bucket(table: pa.Table) -> pa.Table:
         rank, tag, size, seed, flat, step, owner, place, mark_owner, mark_place, mark_size = _unpack(blob.as_py())
         found.append((rank[mark_owner], tag[mark_owner], mark_place, mark_place + mark_size))
         mine = keep[head : head + len(size)]
-        kept.append((_unflat(flat, size)[mine], size[mine]))
-    strings, length = (np.concatenate(x) for x in zip(*kept))
+        kept.append((_unflat(flat[np.repeat(mine, size)], size[mine]), size[mine], seed[mine]))
+    strings, length, seeds = (np.concatenate(x) for x in zip(*kept))
     if len(strings):
         at = np.flatnonzero(keep)
         order, group = distinct(strings, length)
         start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
         one = order[start]
         least = np.minimum.reduceat(rank_of[at][order], start)
-        some = lambda flags: np.logical_or.reduceat(flags[at][order], start)
-        covered = search(strings[one], length[one], least, some(met[0]), some(met[1]))
+        strings, length, seeds = strings[one], length[one], seeds[one]
+        # A string that only meets copies of itself is decided by its first document.
+        later, earlier = _met(_sides(strings, seeds, length), least)
+        covered = np.zeros((len(one), WIDTH - MATCH + 1), bool)
+        shared = np.flatnonzero(later | earlier)
+        covered[shared] = search(strings[shared], length[shared], seeds[shared], least[shared], later[shared], earlier[shared])
         number = np.full(base, -1, np.int64)
         number[at[order]] = group
         row, low, high = _runs(covered)
@@ -425,7 +450,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     total = keyed.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0)).alias("n")).first()["n"]
     # A string has about 68 bytes for 20 bytes of text.
-    buckets = max(1, -(-total * 7 // 2 // bucket_bytes))
+    buckets = max(FEWEST, -(-total * 7 // 2 // bucket_bytes))
     late = np.zeros(CLASSES, bool)
     texts = keyed.select("rank", "tag", "text")
     counts = texts.mapInArrow(_classes(late), "class long, n long").groupBy("class").agg(F.sum("n").alias("n"))
@@ -446,3 +471,26 @@ def digests(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of :func:`drop_repeats`."""
     done = drop_repeats(docs)
     return done.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: All windows of all texts, as hexadecimal strings; for tables of a few megabytes.
+ORACLE = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), w AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM d)
+), first AS (
+  SELECT s, min(doc_id) AS first_id FROM w GROUP BY s
+), late AS (
+  SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, true) AS new FROM w JOIN first USING (s) WHERE first_id < doc_id
+), spans AS (
+  SELECT doc_id, min(i) AS lo, max(i) + 50 AS hi FROM (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM late) GROUP BY doc_id, k
+), pieces AS (
+  SELECT doc_id, lo, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS since FROM (
+    SELECT doc_id, lo, hi FROM spans UNION ALL SELECT doc_id, n, n FROM d)
+), kept AS (
+  SELECT doc_id, coalesce(string_agg(substr(h, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo, since), '') AS k FROM pieces JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, n - length(k) // 2 AS n_removed, count(lo) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN spans USING (doc_id) GROUP BY doc_id, n, k
+"""

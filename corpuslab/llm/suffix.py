@@ -33,7 +33,9 @@ SEEDS = MATCH - SEED + 1
 WIDTH = 2 * MATCH - SEED
 SIDE = (MATCH - SEED) // 2
 #: Text worked on at once, strings packed at once, and bytes of strings in a bucket.
-PIECE, FLUSH, BUCKET = 1 << 18, 400_000, 96 << 20
+PIECE, FLUSH, BUCKET = 1 << 18, 250_000, 96 << 20
+#: Parts of a bucket, by the seed, that are worked on one after another.
+PARTS = 4
 #: Buckets of a small table.
 FEWEST = 16
 #: Bytes of strings in one index, unless one seed has more.
@@ -320,59 +322,11 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _bucket(table: pa.Table) -> pa.Table:
-    """Marks of one bucket: a row per document with its spans."""
-    blobs = table.column("blob")
-    heads, sides, ranks = [], [[], []], []
-    base = 0
-    for blob in blobs:
-        rank, tag, size, seed, flat, step, owner, *_ = _unpack(blob.as_py())
-        which = np.cumsum(step)
-        own = np.empty(len(size), np.int64)
-        own[which] = rank[owner]
-        for k, (at, code) in enumerate(_sides(_unflat(flat, size), seed, size)):
-            sides[k].append((at + base, code))
-        ranks.append(own)
-        heads.append(base)
-        base += len(size)
-    rank_of = np.concatenate(ranks)
-    met = _met([tuple(np.concatenate(x) for x in zip(*side)) for side in sides], rank_of)
-    keep = met[0] | met[1]
-    found: list[tuple] = []
-    kept = []
-    for blob, head in zip(blobs, heads):
-        rank, tag, size, seed, flat, step, owner, place, mark_owner, mark_place, mark_size = _unpack(blob.as_py())
-        found.append((rank[mark_owner], tag[mark_owner], mark_place, mark_place + mark_size))
-        mine = keep[head : head + len(size)]
-        kept.append((_unflat(flat[np.repeat(mine, size)], size[mine]), size[mine], seed[mine]))
-    strings, length, seeds = (np.concatenate(x) for x in zip(*kept))
-    if len(strings):
-        at = np.flatnonzero(keep)
-        order, group = distinct(strings, length)
-        start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        one = order[start]
-        least = np.minimum.reduceat(rank_of[at][order], start)
-        strings, length, seeds = strings[one], length[one], seeds[one]
-        # A string that only meets copies of itself is decided by its first document.
-        later, earlier = _met(_sides(strings, seeds, length), least)
-        covered = np.zeros((len(one), WIDTH - MATCH + 1), bool)
-        shared = np.flatnonzero(later | earlier)
-        covered[shared] = search(strings[shared], length[shared], seeds[shared], least[shared], later[shared], earlier[shared])
-        number = np.full(base, -1, np.int64)
-        number[at[order]] = group
-        row, low, high = _runs(covered)
-        edges = np.searchsorted(row, np.arange(len(one) + 1))
-        for blob, head in zip(blobs, heads):
-            rank, tag, size, seed, flat, step, owner, place, *_ = _unpack(blob.as_py())
-            which = np.cumsum(step)
-            of = number[which + head]
-            hit = np.flatnonzero(of >= 0)
-            whole = hit[rank[owner[hit]] > least[of[hit]]]
-            found.append((rank[owner[whole]], tag[owner[whole]], place[whole], place[whole] + size[which[whole]]))
-            part = hit[rank[owner[hit]] == least[of[hit]]]
-            times = edges[of[part] + 1] - edges[of[part]]
-            again = np.repeat(part, times)
-            span = np.repeat(edges[of[part]] - np.cumsum(times) + times, times) + np.arange(len(again))
-            found.append((rank[owner[again]], tag[owner[again]], place[again] + low[span], place[again] + high[span] + MATCH - 1))
+    """Marks of one bucket: a row per document with its spans. A part of the strings is at work at a time."""
+    blobs = [x.as_py() for x in table.column("blob")]
+    found = [_marks(blob) for blob in blobs]
+    for part in range(PARTS):
+        found += _part_marks(*_part(blobs, part))
     rank, tag, low, high = (np.concatenate(x) for x in zip(*found))
     order = np.lexsort((low, tag, rank))
     rank, tag = rank[order], tag[order]
@@ -383,6 +337,68 @@ def _bucket(table: pa.Table) -> pa.Table:
     return pa.table({"rank": pa.array(rank[new], pa.int64()), "tag": pa.array(tag[new], pa.int64()), "spans": pa.array(pieces, pa.binary())})
 
 
+def _marks(blob: bytes) -> tuple[np.ndarray, ...]:
+    """rank, tag, start and end of what was decided before the shuffle."""
+    rank, tag, *_, owner, place, size = _unpack(blob)
+    return rank[owner], tag[owner], place, place + size
+
+
+def _part(blobs: list[bytes], part: int) -> tuple:
+    """Strings, lengths and seeds of one part, and the string, rank, tag and place of each occurrence."""
+    parts, base = [], 0
+    for blob in blobs:
+        rank, tag, size, seed, flat, step, owner, place, *_ = _unpack(blob)
+        starts = np.cumsum(size, dtype=np.int64) - size + seed
+        code = np.zeros(len(size), np.uint64)
+        for k in range(SEED):
+            code = code * _ODD + flat[starts + k]
+        mine = ((code ^ (code >> _U(29))) * _MIX >> _U(40)) % _U(PARTS) == part
+        which = np.cumsum(step)
+        seen = mine[which]
+        number = np.cumsum(mine) - 1 + base
+        owner = owner[seen]
+        parts.append((_unflat(flat[np.repeat(mine, size)], size[mine]), size[mine], seed[mine], number[which[seen]], rank[owner], tag[owner], place[seen]))
+        base += int(mine.sum())
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _part_marks(strings, length, seed, which, rank, tag, place) -> list[tuple[np.ndarray, ...]]:
+    """rank, tag, start and end of the marks of the occurrences."""
+    if not len(strings):
+        return []
+    least = np.full(len(strings), np.iinfo(np.int64).max)
+    np.minimum.at(least, which, rank)
+    keep = np.logical_or(*_met(_sides(strings, seed, length), least))
+    at = np.flatnonzero(keep)
+    if not len(at):
+        return []
+    order, group = distinct(strings[at], length[at])
+    start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    one = at[order[start]]
+    least = np.minimum.reduceat(least[at][order], start)
+    number = np.full(len(strings), -1, np.int64)
+    number[at[order]] = group
+    strings, length, seed = strings[one], length[one], seed[one]
+    # A string that only meets copies of itself is decided by its first document.
+    later, earlier = _met(_sides(strings, seed, length), least)
+    covered = np.zeros((len(one), WIDTH - MATCH + 1), bool)
+    shared = np.flatnonzero(later | earlier)
+    covered[shared] = search(strings[shared], length[shared], seed[shared], least[shared], later[shared], earlier[shared])
+    row, low, high = _runs(covered)
+    edges = np.searchsorted(row, np.arange(len(one) + 1))
+    of = number[which]
+    hit = np.flatnonzero(of >= 0)
+    whole = hit[rank[hit] > least[of[hit]]]
+    part = hit[rank[hit] == least[of[hit]]]
+    times = edges[of[part] + 1] - edges[of[part]]
+    again = np.repeat(part, times)
+    span = np.repeat(edges[of[part]] - np.cumsum(times) + times, times) + np.arange(len(again))
+    return [
+        (rank[whole], tag[whole], place[whole], place[whole] + length[of[whole]]),
+        (rank[again], tag[again], place[again] + low[span], place[again] + high[span] + MATCH - 1),
+    ]
+
+
 def _delta(spans: np.ndarray) -> bytes:
     """Spans of at most 255 bytes: the starts as 32-bit steps when they fit, and the sizes."""
     step = np.diff(spans[:, 0], prepend=0)

@@ -66,15 +66,18 @@ def safe_filename(path: Column) -> Column:
     return F.concat(F.lit("enhanced_"), F.coalesce(F.nullif(cleaned, F.lit("")), F.lit("portrait")), F.lit(".png"))
 
 
+# Binary units.
+UNITS = ("B", "KB", "MB", "GB", "TB", "PB", "EB")
+
+
 def human_bytes(size: Column) -> Column:
-    """One-decimal size in binary units; halves go to the even digit."""
-    text, scale = None, 1.0
-    for unit in ("", "K", "M", "G", "T", "P", "E", "Z"):
-        label = F.format_string("%.1f %sB", F.bround(size.cast("double") / F.lit(scale), 1), F.lit(unit))
-        small = F.abs(size) < F.lit(scale * 1024.0)
-        text = F.when(small, label) if text is None else text.when(small, label)
-        scale *= 1024.0
-    return text.otherwise(F.format_string("%.1f YB", F.bround(size.cast("double") / F.lit(scale), 1)))
+    """One-decimal size of a whole number of bytes in binary units; halves go to the even digit.
+
+    The unit is the tenth part of the position of the highest bit.
+    """
+    step = F.floor((F.length(F.bin(F.abs(size))) - 1) / 10).cast("int")
+    scaled = F.bround(size.cast("double") / F.pow(F.lit(1024.0), step), 1)
+    return F.format_string("%.1f %s", scaled, F.get(F.lit(list(UNITS)), step))
 
 
 def micros(ts: Column) -> Column:

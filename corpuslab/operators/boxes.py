@@ -235,16 +235,22 @@ def _suppress_crowded(boxes: DataFrame, limit: float, group_cap: int) -> DataFra
     In a round, a box that has the best score in every cell it touches outranks all boxes it could
     overlap, so it is kept for certain; it then removes the boxes it overlaps. A cell has at most
     one such box, hence the join that removes never multiplies rows. Each round is checkpointed.
-    The rest is finished greedily once it is small.
+    The rest is finished greedily once it is small. A box without area, or with a null corner, overlaps
+    none, so it is kept at once. The best box left always leads, so every round decides one at least.
     """
-    undecided = cut_lineage(boxes.select(*_SLIM))
-    kept = None
     corners = _SLIM[3:]
+    solid = F.coalesce((F.col("_x2") > F.col("_x1")) & (F.col("_y2") > F.col("_y1")), F.lit(False))
+    undecided = cut_lineage(boxes.where(solid).select(*_SLIM))
+    kept = boxes.where(~solid).select("img", "det_idx")
+    before = None
     while True:
         left = undecided.count()
+        if left == before:
+            raise RuntimeError(f"a round decided none of {left} boxes")
+        before = left
         if left <= group_cap:
             rest = _keep_sorted(undecided, limit)
-            return rest if kept is None else kept.unionByName(rest)
+            return kept.unionByName(rest)
         cell_w, cell_h = _cell_size(undecided.select(*[F.col(f"_{c}").alias(c) for c in CORNERS]))
         cells = _spread(undecided, corners, cell_w, cell_h)
         x1, y1, x2, y2 = (F.col(c) for c in corners)
@@ -264,7 +270,7 @@ def _suppress_crowded(boxes: DataFrame, limit: float, group_cap: int) -> DataFra
         gone = (F.col("det_idx") == F.col("_lead")) | (ratio > limit)
         decided = cells.join(lead_cells, ["img", "_cx", "_cy"]).where(gone).select("img", "det_idx").distinct()
         chosen = leaders.select("img", F.col("_lead").alias("det_idx"))
-        kept = chosen if kept is None else kept.unionByName(chosen)
+        kept = kept.unionByName(chosen)
         undecided = cut_lineage(undecided.join(decided, ["img", "det_idx"], "left_anti").select(*_SLIM))
 
 
@@ -280,10 +286,13 @@ def suppress(
     """Greedy non-maximum suppression per image.
 
     Boxes of an image are read in rank order against the ones kept so far; images with more than
-    ``group_cap`` boxes go through an exact distributed method instead. ``merge`` replaces each kept box by the score-weighted mean of the boxes it
-    overlaps, and with ``redundant`` drops kept boxes that overlap no other.
+    ``group_cap`` boxes go through an exact distributed method instead, with the same result. ``merge``
+    replaces each kept box by the score-weighted mean of the boxes it overlaps, and with ``redundant``
+    drops kept boxes that overlap no other.
     """
-    pool = boxes if top_k is None else take_per_group(boxes, ["img"], top_k, [F.desc("score"), F.col("det_idx")])
+    if iou < 0:
+        raise ValueError("iou must not be negative")
+    pool = boxes if top_k is None else take_per_group(boxes, ["img"], top_k, ["score desc", "det_idx"])
     # Fixed value: class offset that keeps boxes of different classes apart.
     offset = F.col("cls").cast("double") * 4096.0 if class_aware else F.lit(0.0)
     moved = pool.withColumns({f"_{c}": F.col(c).cast("double") + offset for c in CORNERS})

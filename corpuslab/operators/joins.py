@@ -134,10 +134,15 @@ def component_boxes(components: DataFrame, gt_size: int = 512, in_size: int = 51
 
 
 def attach_annotations(samples: DataFrame, codes: DataFrame, components: DataFrame, gt_size: int = 512, in_size: int = 512) -> DataFrame:
-    """Code map by (name, flip) and component boxes for each sample, one row per component."""
-    coded = samples.select("name", "flip").join(codes, ["name", "flip"])
+    """Code map by (name, flip) and component boxes for each sample, one row per component.
+
+    Every sample is returned: ``status`` is ``ok``, ``no_codes`` or ``no_components``, the missing columns null.
+    """
+    coded = samples.select("name", "flip").join(codes.withColumn("_coded", F.lit(True)), ["name", "flip"], "left")
     flagged = samples.select("name", "flip").join(components.select("name", "part", "cx", "cy", "half"), "name")
-    return coded.join(component_boxes(flagged, gt_size, in_size), ["name", "flip"])
+    whole = coded.join(component_boxes(flagged, gt_size, in_size).withColumn("_boxed", F.lit(True)), ["name", "flip"], "left")
+    status = F.when(F.col("_coded").isNull(), "no_codes").when(F.col("_boxed").isNull(), "no_components").otherwise("ok")
+    return whole.withColumn("status", status).drop("_coded", "_boxed")
 
 
 def _preset_lookup(presets: Mapping[str, Mapping], field: str) -> Column:

@@ -18,6 +18,11 @@ from pyspark.sql import types as T
 MAX_BLOCKS = 4096
 
 
+def order_columns(order: list) -> list[Column]:
+    """Sort columns of ``"name"``, ``"name desc"`` or columns."""
+    return [o if isinstance(o, Column) else F.desc(o[:-5]) if o.endswith(" desc") else F.col(o) for o in order]
+
+
 def default_blocks(df: DataFrame) -> int:
     """As many blocks as the session shuffles into, within a bound."""
     return min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_BLOCKS)
@@ -27,6 +32,7 @@ def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one the session names for checkpoints."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        # Local runs only; session.local_session names a folder of its own.
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         base = tempfile.gettempdir()
@@ -68,10 +74,18 @@ def order_bounds(df: DataFrame, column: str, blocks: int | None = None) -> list:
     return sorted(row["low"] for row in minima.collect())[1:]
 
 
-def block_by_bounds(column: Column, bounds: list) -> Column:
-    """Number of bounds at or below the value, by a two-level search over literal arrays."""
-    if not bounds:
-        return F.lit(0)
+def block_by_bounds(column: Column, bounds: list, descending: bool = False) -> Column:
+    """Block number that never decreases along ``column``, by a two-level search over literal arrays.
+
+    Nulls are before all values, or after them when ``descending``, as Spark sorts them.
+    """
+    found = _bounds_below(column, bounds) if bounds else F.lit(0)
+    placed = F.lit(len(bounds)) - found if descending else found
+    return F.when(column.isNull(), F.lit(len(bounds) + 1 if descending else -1)).otherwise(placed)
+
+
+def _bounds_below(column: Column, bounds: list) -> Column:
+    """Number of bounds at or below the value."""
     step = max(1, math.isqrt(len(bounds)))
     chunks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
     value = F.coalesce(column, F.lit(bounds[0]))

@@ -323,12 +323,20 @@ def stitch(tiles: DataFrame, scale: int = 1) -> DataFrame:
     return flat.where(core).select("img", "ch", oy.cast("int").alias("y"), ox.cast("int").alias("x"), "v")
 
 
-def stitch_coverage(pixels: DataFrame, images: DataFrame, scale: int = 1) -> DataFrame:
-    """Images whose stitched pixels are missing or doubled: empty when every pixel is covered once."""
+def stitch_coverage(pixels: DataFrame, images: DataFrame, scale: int = 1, channels: list[int] | None = None) -> DataFrame:
+    """Images whose stitched pixels are missing or doubled: empty when every pixel is covered once.
+
+    Every image is expected in every one of ``channels``, by default those seen anywhere in ``pixels``
+    (or channel 0), so an image or channel without any pixel is reported too.
+    """
+    if channels is None:
+        channels = sorted(row["ch"] for row in pixels.select("ch").distinct().collect()) or [0]
     per_pixel = pixels.groupBy("img", "ch", "y", "x").agg(F.count(F.lit(1)).alias("n"))
     seen = per_pixel.groupBy("img", "ch").agg(F.count(F.lit(1)).alias("distinct"), F.max("n").alias("most"))
     want = F.col("h").cast("bigint") * F.col("w") * scale * scale
-    return seen.join(images.select("img", "h", "w"), "img").where((F.col("distinct") != want) | (F.col("most") > 1))
+    due = images.select("img", "h", "w", F.explode(F.lit(channels)).alias("ch"))
+    found = due.join(seen, ["img", "ch"], "left").fillna(0, ["distinct", "most"])
+    return found.select("img", "ch", "distinct", "most", "h", "w").where((F.col("distinct") != want) | (F.col("most") > 1))
 
 
 def composite(base: DataFrame, layers: DataFrame, block: int = 256) -> DataFrame:

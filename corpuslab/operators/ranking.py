@@ -7,26 +7,28 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text
-from .ordering import block_by_bounds, cut_lineage, dense_position, group_limit_threshold, order_bounds, position_by
+from .ordering import block_by_bounds, cut_lineage, dense_position, group_limit_threshold, order_bounds, order_columns, position_by
 
 
 def take_per_group(df: DataFrame, group: list[str], n: int, order: list, blocks: int | None = None) -> DataFrame:
-    """First ``n`` rows of each group.
+    """First ``n`` rows of each group, in Spark's order: nulls first, or last in a descending key.
 
-    Small ``n``: ``row_number() <= n``, which Spark trims on the map side, so a hot group ships at
-    most ``n`` rows per task. Larger ``n`` with a plain ascending first key: block positions.
+    ``order`` holds ``"name"``, ``"name desc"`` or columns. Small ``n``: ``row_number() <= n``, which Spark
+    trims on the map side, so a hot group ships at most ``n`` rows per task. Larger ``n``: block positions
+    along the first key, if it is named; a column as first key leaves a group in one task. The rows are the
+    same either way.
     """
-    head = order[0]
-    if n > group_limit_threshold(df) and isinstance(head, str):
+    if n > group_limit_threshold(df) and isinstance(order[0], str):
         placed = _positions_with_ties(df, group, order, blocks)
         return placed.where(F.col("_pos") < n).drop("_pos")
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order_columns(order)))
     return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
 def _positions_with_ties(df: DataFrame, group: list[str], order: list, blocks: int | None) -> DataFrame:
-    bounds = order_bounds(df, order[0], blocks)
-    return dense_position(df, order, block_by_bounds(F.col(order[0]), bounds), group, "_pos")
+    head, descending = order[0].removesuffix(" desc"), order[0].endswith(" desc")
+    bounds = order_bounds(df, head, blocks)
+    return dense_position(df, order_columns(order), block_by_bounds(F.col(head), bounds, descending), group, "_pos")
 
 
 def take_quota(
@@ -49,7 +51,7 @@ def take_quota(
     if largest > group_limit_threshold(df) and isinstance(order[0], str):
         ranked = _positions_with_ties(df, [tag], order, None).withColumn("_rank", F.col("_pos") + 1).drop("_pos")
     else:
-        ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(tag).orderBy(*order)))
+        ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(tag).orderBy(*order_columns(order))))
     ranked = ranked.where(F.col("_rank") <= int(largest))
     return ranked.join(left, tag).where(F.col("_rank") <= F.col("_left")).drop("_rank", "_left")
 
@@ -188,10 +190,10 @@ def neighbour_frames(frames: DataFrame, k: int, padding: str = "reflection", cli
 
 
 def gather_frames(frames: DataFrame, k: int, padding: str = "reflection", clip: str = "clip", index: str = "frame_idx", payload: str = "payload") -> DataFrame:
-    """The ``k`` payloads of each frame in slot order, by one join on (clip, frame)."""
+    """The ``k`` payloads of each frame in slot order, by one join on (clip, frame); an absent frame is a null."""
     slots = neighbour_frames(frames, k, padding, clip, index)
     source = frames.select(clip, F.col(index).alias("source_idx"), F.col(payload).alias("_payload"))
-    joined = slots.join(source, [clip, "source_idx"])
+    joined = slots.join(source, [clip, "source_idx"], "left")
     window = F.sort_array(F.collect_list(F.struct("slot", "_payload")))
     return joined.groupBy(clip, index).agg(F.transform(window, lambda s: s["_payload"]).alias("window"))
 
@@ -240,13 +242,19 @@ def linear_scan(df: DataFrame, factor: float, series: list[str], position: str,
 
 
 def ema(df: DataFrame, decay: float, series: list[str], order: str, value: str, blocks: int | None = None, out: str = "ema") -> DataFrame:
-    """``e_t = d e_{t-1} + (1-d) x_t`` with ``e_0 = x_0``, in ``order`` (unique per series)."""
+    """``e_t = d e_{t-1} + (1-d) x_t`` with ``e_0 = x_0``, in ``order`` (unique per series).
+
+    A null value is no term of its series: its row gets null and the next row follows the last value.
+    """
     # the series key is packed into one struct, so that null keys join as equal
-    keyed = df.select(F.struct(*series).alias("_s"), order, value)
+    every = df.select(F.struct(*series).alias("_s"), order, value)
+    keyed = every.where(F.col(value).isNotNull())
     placed = position_by(keyed, order, ["_s"], "_pos", blocks)
     term = F.when(F.col("_pos") == 0, F.col(value).cast("double")).otherwise(F.lit(1.0 - decay) * F.col(value))
     scanned = linear_scan(placed.withColumn("_term", term), decay, ["_s"], "_pos", "_term", out, carry=(order, value))
-    return scanned.select(*[F.col(f"_s.{c}").alias(c) for c in series], order, value, out)
+    absent = every.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("double"))
+    whole = scanned.select("_s", order, value, out).unionByName(absent)
+    return whole.select(*[F.col(f"_s.{c}").alias(c) for c in series], order, value, out)
 
 
 def eta(df: DataFrame, total: int, run: str = "run", iteration: str = "iteration", ts: str = "ts") -> DataFrame:

@@ -157,9 +157,12 @@ def degrade(planes: DataFrame, plan: DataFrame, kernel_size: int = 41, seed: int
     """Apply blur, down- and up-scaling, noise, jitter and gray of a plan to planes in [0, 255].
 
     ``plan``: ``img, kernel, sigma_x, sigma_y, theta, scale, noise, jitter, jitter_0..2, gray``.
-    Noise depends on (seed, image, channel) alone. The JPEG step of a plan is not applied.
+    Noise depends on (seed, image, channel) alone. The JPEG step of a plan is not applied. A null coin is
+    false; a plane whose image has no plan row ends the job.
     """
-    joined = planes.join(plan, "img")
+    joined = planes.join(plan, "img", "left")
+    joined = joined.withColumn("kernel", F.coalesce("kernel", F.raise_error(F.lit("an image has no degradation plan"))))
+    joined = joined.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("gray", "jitter")})
     fields = [c for c in joined.columns if c != "plane"]
 
     def run(batches):
@@ -227,12 +230,18 @@ def mod_crop(h: Column, w: Column, scale: int) -> tuple[Column, Column]:
 
 
 def calibration_sample(df: DataFrame, n: int, order: str = "path", readable: Column | None = None, fallback: int = 10, seed: int = 42, size: int = 8) -> DataFrame:
-    """First ``n`` readable items in ``order``; if there are none, ``fallback`` seeded uniform rows in [-1, 1]."""
+    """First ``n`` readable items in ``order``; if there are none, ``fallback`` seeded uniform rows in [-1, 1].
+
+    The columns are those of ``df`` and ``values``, which only the seeded rows have; those have no others but ``order``.
+    """
     pool = df if readable is None else df.where(readable)
-    if pool.limit(1).count():
-        return pool.orderBy(order).limit(n)
+    drawn = pool.orderBy(order).limit(n).withColumn("values", F.lit(None).cast("array<double>"))
+    if not drawn.isEmpty():
+        return drawn
     cells = F.transform(
         F.sequence(F.lit(0), F.lit(size - 1)),
         lambda i: uniform(F.col("id"), F.concat(F.lit("calib:"), i.cast("string")), seed) * 2.0 - 1.0,
     )
-    return df.sparkSession.range(fallback).select(F.format_string("synthetic_%02d", "id").alias(order), cells.alias("values"))
+    seeded = df.sparkSession.range(fallback).select(F.format_string("synthetic_%02d", "id").alias(order), cells.alias("values"))
+    absent = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields if f.name != order]
+    return seeded.select("*", *absent).select(*df.columns, "values")

@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-# A codebook up to this many numbers (32 MB of doubles) is copied to every worker.
+from .ordering import cut_lineage
+
+# Numbers of a codebook block (32 MB of doubles) that is copied to every worker.
 MAX_CODEBOOK_NUMBERS = 4_000_000
 
 
@@ -20,12 +22,14 @@ def score(
     batch_size: int = 64,
     on_error: str = "passthrough",
     out: str = "scored",
+    out_type: T.DataType | str | None = None,
 ) -> DataFrame:
     """Run a user model over ``column``; adds ``out`` and ``failed``.
 
     ``make_model`` runs once per task and returns a function from a batch to its results. When a
     batch fails its rows are tried one at a time; a row that fails gets its input back and
-    ``failed`` = true, or ends the job with ``on_error="raise"``.
+    ``failed`` = true, or ends the job with ``on_error="raise"``. Results have the type of the input, or
+    ``out_type``; with a type of its own, a row that fails gets null.
     """
     if on_error not in ("passthrough", "raise"):
         raise ValueError(f"unknown on_error: {on_error}")
@@ -37,9 +41,12 @@ def score(
             for start in range(0, len(rows), batch_size):
                 part = rows.iloc[start : start + batch_size]
                 values, failed = _run_batch(model, part[column], on_error)
-                yield part[names].assign(**{out: values, "failed": failed})
+                if out_type is not None:
+                    values = [None if bad else v for v, bad in zip(values, failed)]
+                yield part[names].assign(**{out: pd.Series(values, index=part.index, dtype=object), "failed": failed})
 
-    schema = T.StructType(df.schema.fields + [T.StructField(out, df.schema[column].dataType), T.StructField("failed", T.BooleanType())])
+    kind = df.schema[column].dataType if out_type is None else T._parse_datatype_string(out_type) if isinstance(out_type, str) else out_type
+    schema = T.StructType(df.schema.fields + [T.StructField(out, kind), T.StructField("failed", T.BooleanType())])
     return df.mapInPandas(run, schema)
 
 
@@ -69,67 +76,49 @@ def _nearest(block: np.ndarray, ids: np.ndarray, norms: np.ndarray, x: np.ndarra
     rough = norms[None, :] - 2.0 * (x @ block.T)
     best = rough.min(axis=1, keepdims=True)
     slack = 1e-9 * (1.0 + np.abs(best) + (x * x).sum(axis=1, keepdims=True) + norms.max())
-    codes, dist = np.empty(len(x), dtype=np.int64), np.empty(len(x))
-    for i, near in enumerate(rough <= best + slack):
-        close = np.flatnonzero(near)
+    near = rough <= best + slack
+    first = near.argmax(axis=1)
+    codes, dist = ids[first].copy(), ((x - block[first]) ** 2).sum(axis=1)
+    for i in np.flatnonzero(near.sum(axis=1) > 1):
+        close = np.flatnonzero(near[i])
         exact = ((x[i] - block[close]) ** 2).sum(axis=1)
         k = np.lexsort((ids[close], exact))[0]
         codes[i], dist[i] = ids[close[k]], exact[k]
     return codes, dist
 
 
-def nearest_code(vectors: DataFrame, codebook: DataFrame, vec: str = "vec", max_numbers: int = MAX_CODEBOOK_NUMBERS, rows_per_group: int = 50_000) -> DataFrame:
-    """Adds the ``code_id`` of the nearest code by squared distance, and ``distance``.
+def nearest_code(vectors: DataFrame, codebook: DataFrame, vec: str = "vec", max_numbers: int = MAX_CODEBOOK_NUMBERS) -> DataFrame:
+    """Adds the ``code_id`` of the nearest code by squared distance, and ``distance``; ties go to the lowest id.
 
-    A codebook within ``max_numbers`` is copied to the workers and vectors stream past it. A larger
-    one is cut into blocks that meet salted slices of the vectors in groups of bounded size; the
-    best code over all blocks is then taken.
+    The codebook is cut into blocks of about ``max_numbers`` numbers. Each is copied to the workers and all
+    vectors stream past it, unshuffled, carrying the best code so far; between two blocks they are written.
     """
     size = codebook.agg(F.sum(F.size("vec").cast("bigint"))).first()[0] or 0
     if size == 0:
         raise ValueError("codebook is empty")
-    if size <= max_numbers:
-        rows = codebook.select("code_id", "vec").orderBy("code_id").collect()
-        ids = np.array([r["code_id"] for r in rows], dtype=np.int64)
-        block = np.array([r["vec"] for r in rows], dtype=float)
-        norms = (block * block).sum(axis=1)
-
-        @F.pandas_udf("struct<code_id: bigint, distance: double>")
-        def assign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            for v in batches:
-                codes, dist = _nearest(block, ids, norms, np.stack([np.asarray(a, dtype=float) for a in v]))
-                yield pd.DataFrame({"code_id": codes, "distance": dist})
-
-        found = vectors.withColumn("_n", assign(vec))
-        return found.select(*vectors.columns, "_n.code_id", "_n.distance")
-    return _nearest_blocked(vectors, codebook, vec, size, max_numbers, rows_per_group)
-
-
-def _nearest_blocked(vectors: DataFrame, codebook: DataFrame, vec: str, size: int, max_numbers: int, rows_per_group: int) -> DataFrame:
-    blocks = -(-size // max_numbers) + 1
-    slices = max(1, -(-vectors.count() // rows_per_group))
-    left = (
-        vectors.select("vec_id", vec)
-        .withColumn("_slice", F.pmod(F.xxhash64("vec_id"), F.lit(slices)))
-        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    )
-    right = codebook.withColumn("_block", F.pmod(F.xxhash64("code_id"), F.lit(blocks)).cast("int")).withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint")))
-    )
-
-    def meet(v: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if v.empty or c.empty:
-            return pd.DataFrame({"vec_id": [], "code_id": [], "distance": []})
-        c = c.sort_values("code_id")
-        block = np.stack([np.asarray(a, dtype=float) for a in c["vec"]])
-        codes, dist = _nearest(block, c["code_id"].to_numpy(), (block * block).sum(axis=1), np.stack([np.asarray(a, dtype=float) for a in v[vec]]))
-        return pd.DataFrame({"vec_id": v["vec_id"].to_numpy(), "code_id": codes, "distance": dist})
-
-    partial = left.groupBy("_block", "_slice").cogroup(right.groupBy("_block", "_slice")).applyInPandas(
-        meet, "vec_id long, code_id long, distance double"
-    )
-    best = partial.groupBy("vec_id").agg(F.min(F.struct("distance", "code_id")).alias("b"))
-    return vectors.join(best, "vec_id").select(*vectors.columns, "b.code_id", "b.distance")
+    count = -(-size // max_numbers)
+    columns = vectors.columns
+    best = vectors.withColumn("_best", F.lit(None).cast("struct<distance: double, code_id: bigint>"))
+    for nr in range(count):
+        rows = codebook.where(F.pmod(F.xxhash64("code_id"), F.lit(count)) == nr).select("code_id", "vec").orderBy("code_id").collect()
+        if rows:
+            found = _block_search(np.array([r["code_id"] for r in rows], dtype=np.int64), np.array([r["vec"] for r in rows], dtype=float))
+            best = best.withColumn("_new", found(vec)).withColumn("_best", F.least("_best", "_new")).drop("_new")
+            if nr < count - 1:
+                best = cut_lineage(best)
+    return best.select(*columns, "_best.code_id", "_best.distance")
+
+
+def _block_search(ids: np.ndarray, block: np.ndarray) -> Callable:
+    norms = (block * block).sum(axis=1)
+
+    @F.pandas_udf("struct<distance: double, code_id: bigint>")
+    def assign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for v in batches:
+            codes, dist = _nearest(block, ids, norms, np.stack([np.asarray(a, dtype=float) for a in v]))
+            yield pd.DataFrame({"distance": dist, "code_id": codes})
+
+    return assign
 
 
 def schedule_value(iteration: Column, kind: str, base: float, warmup: int = 0, **spec) -> Column:

@@ -172,7 +172,9 @@ def write_holdout(spark, sf):
 def read_listing(spark, sf):
     path = t.scratch(spark, "tree")
     t.listing(spark, sf).select("category", "rel_path").write.partitionBy("category").text(path)
-    return files.read_listing(spark, path, [".txt"], recursive=True).select("category", "ext").distinct()
+    listing = files.read_listing(spark, path, [".txt"], recursive=True)
+    whole = F.col("rel_path") == F.concat_ws("/", "category", "name")
+    return listing.groupBy("category", "ext").agg(F.sum("bytes").alias("bytes"), F.bool_and(whole).alias("relative"))
 
 
 # --- projections --------------------------------------------------------------
@@ -410,6 +412,13 @@ def schedule_value(spark, sf):
     return o
 
 
+@query
+def nearest_code_blocked(spark, sf):
+    """Blocks of about 640 numbers."""
+    v = t.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    return scoring.nearest_code(v, t.codebook(spark, sf), max_numbers=640).select("vec_id", "code_id", r("distance").alias("distance"))
+
+
 @query
 def nearest_code(spark, sf):
     v = t.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
@@ -654,6 +663,13 @@ def suppress(spark, sf):
     return boxes.suppress(t.detections(spark, sf), 0.4).select("img", "det_idx", r("score").alias("score"))
 
 
+@query
+def suppress_crowded(spark, sf):
+    """The method for crowded images, with a few boxes that have no area or lack a corner."""
+    d = t.detections(spark, sf).withColumn("x2", F.when(F.col("det_idx") % 50 == 0, F.col("x1") - 5).when(F.col("det_idx") % 50 != 1, F.col("x2")))
+    return boxes.suppress(d, 0.4, group_cap=4).select("img", "det_idx", r("score").alias("score"))
+
+
 @query
 def suppress_classes(spark, sf):
     d = projections.filter_detections(t.detections(spark, sf), 0.25, None)
@@ -928,9 +944,8 @@ def stream_training_log(spark, sf):
 def stream_progress(spark, sf):
     latest = progress.latest_progress(t.progress_events(t.stream(spark, sf, "events")), tie="event_id")
     out, chk = t.scratch(spark, "progress"), t.scratch(spark, "progress-state")
-    save = lambda batch, _: batch.write.mode("overwrite").parquet(out)
-    _drained(latest.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", chk).trigger(availableNow=True).start())
-    return spark.read.parquet(out)
+    _drained(progress.stream_progress(latest, out, chk))
+    return progress.read_progress(spark, out)
 
 
 @query
@@ -941,6 +956,31 @@ def stream_ingest(spark, sf):
     return spark.read.parquet(out).select("doc_id", "key", "item_id", "item_name")
 
 
+@query
+def stream_ingest_again(spark, sf):
+    """Items stored elsewhere, and a second query with a checkpoint of its own, which must add to the first."""
+    docs = t.stream(spark, sf, "documents").select("doc_id", F.md5("text").alias("key"), "n_chars")
+    toxic = t.table(spark, sf, "labels").where("toxic = 1").select("doc_id")
+    held = t.table(spark, sf, "documents").join(toxic, "doc_id", "left_semi").select(F.md5("text").alias("key"), (F.col("doc_id") % 40).alias("item_id"))
+    out = t.scratch(spark, "ingest")
+    _drained(ingest.stream_ingest(docs.where("doc_id % 2 = 0"), out, t.scratch(spark, "first"), "key", "doc_id", None, F.col("n_chars") > 300, existing=held))
+    _drained(ingest.stream_ingest(docs, out, t.scratch(spark, "second"), "key", "doc_id", None, F.col("n_chars") > 300, existing=held))
+    return spark.read.parquet(out).select("doc_id", "key", "item_id", "item_name")
+
+
+@query
+def stream_liveness(spark, sf):
+    """The last status of each run once the stream is drained: those the watermark has left behind are paused."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    events = t.stream(spark, sf, "events").withColumn("run", F.col("user_id"))
+    status = logs.stream_liveness(events.select("run", "ts"), 36_000, watermark="0 seconds")
+    out, chk = t.scratch(spark, "liveness"), t.scratch(spark, "liveness-state")
+    save = lambda batch, nr: batch.withColumn("nr", F.lit(nr)).write.mode("overwrite").parquet(f"{out}/batch={nr}")
+    _drained(status.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", chk).trigger(availableNow=True).start())
+    last = spark.read.parquet(out).groupBy("run").agg(F.max_by(F.struct("last_ts", "status"), "nr").alias("s"))
+    return last.select(F.col("run").cast("bigint").alias("run"), "s.last_ts", "s.status")
+
+
 # --- user functions -----------------------------------------------------------
 
 

@@ -173,7 +173,7 @@ O["write_manifest"] = with_(
     FROM (SELECT held.category, ext, row_number() OVER (ORDER BY order_key) AS k FROM held JOIN listing USING (doc_id))""",
 )
 O["write_holdout"] = with_("held", "SELECT rel_path AS path FROM held")
-O["read_listing"] = "SELECT DISTINCT 'category=' || source AS category, '.txt' AS ext FROM documents"
+O["read_listing"] = with_("listing", "SELECT 'category=' || category AS category, '.txt' AS ext, sum(strlen(rel_path) + 1)::BIGINT AS bytes, true AS relative FROM listing GROUP BY category")
 O["normalise_url"] = """SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://' || bare WHEN 1 THEN 'https://img.example.org/' || bare
     WHEN 2 THEN CASE WHEN bare LIKE 'http%' THEN bare ELSE 'https://img.example.org/' || bare END ELSE url END AS url
     FROM (SELECT page_id, url, regexp_replace(url, '^https?://', '') AS bare FROM pages)"""
@@ -228,8 +228,13 @@ O["rescale_planes"] = with_(
 )
 O["skip_existing"] = with_("listing", "SELECT doc_id, rel_path FROM listing WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 O["exclude_holdout"] = with_("listing held", "SELECT doc_id FROM listing WHERE doc_id NOT IN (SELECT doc_id FROM held)")
-O["exclusion_report"] = "SELECT count(*) AS total, 50::BIGINT AS removed, count(*) - 50 AS kept FROM documents"
-O["audit_leakage"] = "SELECT count(*) - 50 AS train_rows, 0::BIGINT AS overlap_rows, 'clean' AS \"case\" FROM documents UNION ALL SELECT count(*), 50, 'dirty' FROM documents"
+O["exclusion_report"] = with_("listing held", "SELECT count(*) AS total, count(held.rel_path) AS removed, count(*) - count(held.rel_path) AS kept FROM listing LEFT JOIN held USING (rel_path)")
+O["audit_leakage"] = with_(
+    "listing held",
+    """, b AS (SELECT l.rel_path, h.rel_path IS NOT NULL AS held FROM listing l LEFT JOIN held h USING (rel_path))
+    SELECT count(*) FILTER (NOT held) AS train_rows, count(*) FILTER (held AND NOT held) AS overlap_rows, 'clean' AS "case" FROM b
+    UNION ALL SELECT count(*), count(*) FILTER (held), 'dirty' FROM b""",
+)
 O["pair_lq_gt"] = with_(
     "listing",
     """SELECT doc_id || '_x2' || ext AS lq_name, CASE WHEN ext <> '.bmp' THEN 'lq/' || doc_id || '_x2' || ext END AS lq_path,
@@ -285,6 +290,7 @@ O["schedule_value"] = f"""SELECT o_orderkey AS iteration,
     {r("CASE WHEN o_orderkey <= 5000 THEN 0.001 + 0.5 * 1.999::DOUBLE * (1 + cos(pi() * (o_orderkey / 5000))) WHEN o_orderkey <= 10000 THEN 0.001 + 0.25 * 1.999::DOUBLE * (1 + cos(pi() * ((o_orderkey - 5000) / 5000))) WHEN o_orderkey <= 15000 THEN 0.001 + 0.125 * 1.999::DOUBLE * (1 + cos(pi() * ((o_orderkey - 10000) / 5000))) END")} AS cosine,
     {r("CASE WHEN o_orderkey < 500 THEN 2.0::DOUBLE / 500 * o_orderkey ELSE 2.0 END")} AS warmup FROM orders"""
 O["nearest_code"] = with_("near", f"SELECT vec_id, code_id::BIGINT AS code_id, {r('distance')} AS distance FROM near")
+O["nearest_code_blocked"] = O["nearest_code"]
 O["resolve_presets"] = """SELECT event_id, ['Modern Portrait', 'Old Photo Restoration', 'Game / Anime Character', 'Custom'][k + 1] AS preset,
     CASE WHEN k < 3 THEN [0.6, 0.85, 0.3][k + 1]::DOUBLE ELSE event_id % 10 / 10 END AS w,
     CASE WHEN k < 3 THEN [0.15, 0.05, 0.0][k + 1]::DOUBLE ELSE event_id % 7 / 10 END AS skin_grain,
@@ -397,6 +403,11 @@ def _greedy(source: str, limit: float) -> str:
 
 
 O["suppress"] = with_("det", f", {_greedy('det', 0.4)} SELECT keep.img, b.id AS det_idx, {r('score')} AS score FROM keep JOIN det ON det.det_idx = b.id", recursive=True)
+O["suppress_crowded"] = with_(
+    "det",
+    f", odd AS (SELECT * REPLACE (CASE WHEN det_idx % 50 = 0 THEN x1 - 5 WHEN det_idx % 50 <> 1 THEN x2 END AS x2) FROM det), {_greedy('odd', 0.4)} SELECT keep.img, b.id AS det_idx, {r('score')} AS score FROM keep JOIN det ON det.det_idx = b.id",
+    recursive=True,
+)
 O["suppress_classes"] = with_(
     "det",
     f""", top AS (SELECT * FROM (SELECT img, det_idx, score, cls, x1 + cls * 4096 AS x1, y1 + cls * 4096 AS y1, x2 + cls * 4096 AS x2, y2 + cls * 4096 AS y2,
@@ -499,7 +510,8 @@ def _tiles(size: int, pad: int, step: int, mode: str) -> str:
 
 O["tile"] = with_("listing", _tiles(400, 40, 320, "overlap") + " UNION ALL " + _tiles(200, 10, 200, "fixed"))
 O["stitch"] = with_("pix", "SELECT img, ch, y::INTEGER AS y, x::INTEGER AS x, v * 2 AS v FROM pix")
-O["stitch_coverage"] = with_("pix", """SELECT img, ch, count(*) AS "distinct" FROM pix WHERE (img + ch + x * y) % 97 <> 0 GROUP BY img, ch HAVING count(*) <> 64""")
+O["stitch_coverage"] = with_("pix", """, due AS (SELECT img, ch::INTEGER AS ch FROM (SELECT DISTINCT img FROM pix), range(3) t(ch)), seen AS (SELECT img, ch, count(*) AS n FROM pix WHERE (img + ch + x * y) % 97 <> 0 GROUP BY img, ch)
+    SELECT img, ch, coalesce(n, 0) AS "distinct" FROM due LEFT JOIN seen USING (img, ch) WHERE coalesce(n, 0) <> 64""")
 O["composite"] = with_(
     "pix",
     f"""SELECT img, 0 AS ch, y::INTEGER AS y, x::INTEGER AS x, {r('least(greatest(CASE WHEN v2 IS NULL THEN b1 ELSE m2 * v2 + (1 - m2) * b1 END, 0), 255)')} AS v FROM (
@@ -569,6 +581,16 @@ O["stream_ingest"] = with_(
     """, n AS (SELECT md5(text) AS key, min(doc_id) AS doc_id FROM listing WHERE bytes > 300 GROUP BY 1)
     SELECT doc_id, key, k AS item_id, 'item_' || lpad(k::VARCHAR, 6, '0') || '.png' AS item_name FROM (SELECT doc_id, key, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM n) WHERE k < 500""",
 )
+O["stream_ingest_again"] = with_(
+    "listing",
+    """, h AS (SELECT md5(text) AS key, doc_id % 40 AS item_id FROM listing WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+    a AS (SELECT md5(text) AS key, min(doc_id) AS doc_id FROM listing WHERE bytes > 300 AND doc_id % 2 = 0 AND md5(text) NOT IN (SELECT key FROM h) GROUP BY 1),
+    b AS (SELECT md5(text) AS key, min(doc_id) AS doc_id FROM listing WHERE bytes > 300 AND md5(text) NOT IN (SELECT key FROM h UNION ALL SELECT key FROM a) GROUP BY 1),
+    z AS (SELECT doc_id, key, (SELECT max(item_id) FROM h) + row_number() OVER (ORDER BY part, doc_id) AS k FROM (SELECT *, 1 AS part FROM a UNION ALL SELECT *, 2 FROM b))
+    SELECT doc_id, key, k AS item_id, 'item_' || lpad(k::VARCHAR, 6, '0') || '.png' AS item_name FROM z""",
+)
+O["stream_liveness"] = """SELECT user_id AS run, make_timestamp(epoch_us(max(ts)) // 1000 * 1000) AS last_ts,
+    CASE WHEN epoch_us((SELECT max(ts) FROM events)) // 1000 - epoch_us(max(ts)) // 1000 >= 36000000 THEN 'paused' ELSE 'running' END AS status FROM events GROUP BY user_id"""
 O["score"] = f"""SELECT vec_id, f AS failed, pos::INTEGER AS pos, {r('CASE WHEN f THEN v ELSE v * 2 END')} AS v FROM (SELECT vec_id, embedding[1] < 0 AS f, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS pos FROM embeddings)"""
 O["human_bytes"] = """SELECT o_orderkey, printf('%.1f ', s / 1024.0::DOUBLE ** k) || ['', 'K', 'M', 'G', 'T', 'P', 'E', 'Z'][k + 1] || 'B' AS size FROM (
     SELECT *, (CASE WHEN s < 1024 THEN 0 WHEN s < 1048576 THEN 1 WHEN s < 1073741824 THEN 2 WHEN s < 1099511627776 THEN 3 ELSE 4 END)::INTEGER AS k FROM (

@@ -19,24 +19,25 @@ def read_listing(
 ) -> DataFrame:
     """One row per file under ``path``. File contents are never read: the column is pruned.
 
-    Names in a hidden folder are skipped here; Spark's file sources themselves never list names that
-    start with ``.`` or ``_``.
+    Names in a hidden folder (``.``) are skipped. Spark's file sources list neither names that start with
+    ``_`` nor empty files; those are looked up through the file system and added.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    root = path.rstrip("/")
-    files = reader.load(root)
-    rel = F.regexp_replace(F.col("path"), "^file:/+", "/")
-    marker = root.split("://", 1)[-1].strip("/") + "/"
-    rel = F.substring_index(rel, marker, -1)
-    folder = F.regexp_extract(rel, r"^([^/]+)/", 1)
+    root, unlisted = _unlisted(spark, path, recursive)
+    files = reader.load(path).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime"))
+    if unlisted:
+        more = spark.createDataFrame(unlisted, "path string, bytes bigint, ms bigint")
+        files = files.unionByName(more.select("path", "bytes", F.timestamp_millis("ms").alias("mtime")))
+    rel = F.substring(F.col("path"), len(root) + 2, 2**31 - 1)
+    files = files.withColumn("rel_path", rel)
     listing = files.select(
         "path",
-        rel.alias("rel_path"),
-        folder.alias("category"),
+        "rel_path",
+        F.regexp_extract("rel_path", r"^([^/]+)/", 1).alias("category"),
         text.basename(F.col("path")).alias("name"),
         text.suffix(F.col("path")).alias("ext"),
-        F.col("length").alias("bytes"),
-        F.col("modificationTime").alias("mtime"),
+        "bytes",
+        "mtime",
     )
     if not recursive:
         listing = listing.where(F.instr("rel_path", "/") == 0)
@@ -45,6 +46,21 @@ def read_listing(
     return listing.where(~F.col("rel_path").rlike(r"(^|/)\."))
 
 
+def _unlisted(spark: SparkSession, path: str, recursive: bool) -> tuple[str, list[tuple[str, int, int]]]:
+    """The qualified root, and path, size and time of empty files below it and of those with a part that starts with ``_``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    root = system.makeQualified(folder).toString().rstrip("/")
+    found, files = [], system.listFiles(folder, recursive)
+    while files.hasNext():
+        status = files.next()
+        name = status.getPath().toString()
+        # Spark lists a part with an equals sign: it may be a partition.
+        if not status.getLen() or any(part.startswith("_") and "=" not in part for part in name[len(root) + 1 :].split("/")):
+            found.append((name, status.getLen(), status.getModificationTime()))
+    return root, found
+
+
 def read_first_available(spark: SparkSession, uris: list[str], fmt: str = "parquet", **options) -> tuple[DataFrame, str]:
     """The first source whose schema resolves, with its URI; only metadata is read here."""
     failures = []

@@ -26,8 +26,11 @@ def write_packed(df: DataFrame, path: str, partitions: int | None = None) -> Non
 
 
 def read_store(spark: SparkSession, path: str, keys: DataFrame, key: str = "key") -> DataFrame:
-    """Payloads of the given keys. Spark broadcasts ``keys`` only when their measured size allows it."""
-    store = spark.read.parquet(path)
+    """Payloads of the given keys. Only row groups within the range of the keys are read; Spark broadcasts
+    ``keys`` only when their measured size allows it.
+    """
+    ends = keys.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
+    store = spark.read.parquet(path).where(F.col("key").between(F.lit(ends["low"]), F.lit(ends["high"])))
     return select_keys(store, keys, key)
 
 

@@ -1,15 +1,25 @@
-"""Ingest of an unbounded source: skip stored items, number the rest densely, stop at the limit."""
+"""Ingest of an unbounded source: skip stored items, number the rest densely, stop at the limit.
+
+Every batch has two folders of its own, named by the query and the batch: its rows, and in a ledger one
+line with how many they are and the highest id. Totals come from the ledger alone; of the stored rows
+only the key column is read.
+"""
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.joins import skip_existing
 from ..operators.ordering import position_by
 from ..operators.ranking import dedupe
 
+# Hidden from readers of the rows.
+LEDGER = "_ledger"
+_PLACE = [T.StructField("run", T.StringType()), T.StructField("batch", T.LongType())]
+
 
 def read_stored(spark: SparkSession, path: str, schema) -> DataFrame:
     """What is stored so far; an empty table before the first batch."""
@@ -21,17 +31,25 @@ def read_stored(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def ingest_batch(batch: DataFrame, stored: DataFrame, key: str, order: str, limit: int | None, valid: Column | None = None, prefix: str = "item", blocks: int | None = None) -> DataFrame:
-    """New, valid, distinct rows of one batch with ids that continue the stored ones, up to ``limit`` in all."""
+def _totals(stored: DataFrame) -> tuple[int, int]:
+    """Stored items and the highest id, -1 when there is none."""
+    held = stored.agg(F.count(F.lit(1)).alias("n"), F.max("item_id").alias("top")).first()
+    return held["n"], -1 if held["top"] is None else held["top"]
+
+
+def ingest_batch(batch: DataFrame, stored: DataFrame, key: str, order: str, limit: int | None, valid: Column | None = None, prefix: str = "item", blocks: int | None = None, totals: tuple[int, int] | None = None) -> DataFrame:
+    """New, valid, distinct rows of one batch with ids that continue the stored ones, up to ``limit`` in all.
+
+    ``totals`` are the number and highest id of what is stored, counted in ``stored`` if not given.
+    """
     good = batch if valid is None else batch.where(F.coalesce(valid, F.lit(False)))
     good = good.where(F.col(key).isNotNull())
     fresh = skip_existing(dedupe(good, [key], [order]), stored, key)
-    held = stored.agg(F.count(F.lit(1)).alias("n"), F.max("item_id").alias("top")).first()
-    first = (held["top"] if held["top"] is not None else -1) + 1
+    held, top = totals or _totals(stored)
     placed = position_by(fresh, order, None, "_pos", blocks)
     if limit is not None:
-        placed = placed.where(F.col("_pos") < max(0, limit - held["n"]))
-    ident = F.lit(first) + F.col("_pos")
+        placed = placed.where(F.col("_pos") < max(0, limit - held))
+    ident = F.lit(top + 1) + F.col("_pos")
     named = placed.withColumn("item_id", ident.cast("bigint"))
     return named.withColumn("item_name", F.format_string(f"{prefix}_%06d.png", "item_id")).drop("_pos")
 
@@ -45,21 +63,35 @@ def stream_ingest(
     limit: int | None = None,
     valid: Column | None = None,
     prefix: str = "item",
+    existing: DataFrame | None = None,
 ) -> StreamingQuery:
     """Drain what the source holds now into Parquet under ``path``.
 
-    Each batch writes its own folder ``batch=<id>`` in overwrite mode and ignores that folder when it
-    looks up what is stored, so a batch that is run again after a failure gives the same rows once.
+    A batch writes ``run=<query id>/batch=<batch id>`` and ignores only that folder when it looks up what
+    is stored, so a batch that runs again after a failure gives the same rows once, and a query with a new
+    checkpoint never touches the folders of another. ``existing`` are items stored elsewhere, with ``key``
+    and optionally ``item_id``: they are skipped, count toward the limit, and ids continue after theirs.
     """
-    from pyspark.sql import types as T
-
-    fields = list(stream.schema.fields) + [T.StructField("item_id", T.LongType()), T.StructField("item_name", T.StringType())]
-    schema = T.StructType(fields + [T.StructField("batch", T.LongType())])
+    held = 0, -1
+    if existing is not None:
+        numbered = existing if "item_id" in existing.columns else existing.withColumn("item_id", F.lit(None).cast("bigint"))
+        held = _totals(numbered)
+    keys = T.StructType([stream.schema[key], *_PLACE])
+    lines = T.StructType([T.StructField("n", T.LongType()), T.StructField("top", T.LongType()), *_PLACE])
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        stored = read_stored(batch.sparkSession, path, schema).where(F.col("batch") < batch_id)
-        rows = ingest_batch(batch, stored, key, order, limit, valid, prefix)
-        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        run = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        folder = f"run={run}/batch={batch_id}"
+        other = ~((F.col("run") == run) & (F.col("batch") == batch_id))
+        stored = read_stored(spark, path, keys).where(other).select(key)
+        if existing is not None:
+            stored = stored.unionByName(existing.select(key))
+        done = read_stored(spark, f"{path}/{LEDGER}", lines).where(other).agg(F.sum("n").alias("n"), F.max("top").alias("top")).first()
+        count, top = held[0] + (done["n"] or 0), max(held[1], -1 if done["top"] is None else done["top"])
+        ingest_batch(batch, stored, key, order, limit, valid, prefix, totals=(count, top)).write.mode("overwrite").parquet(f"{path}/{folder}")
+        written = spark.read.parquet(f"{path}/{folder}")
+        written.agg(F.count(F.lit(1)).alias("n"), F.max("item_id").alias("top")).write.mode("overwrite").parquet(f"{path}/{LEDGER}/{folder}")
 
     return (
         stream.writeStream.foreachBatch(write)

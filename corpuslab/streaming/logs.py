@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.text import duration_seconds, micros
@@ -17,35 +17,50 @@ from ..functions.text import duration_seconds, micros
 WATERMARK = "10 minutes"
 LIVENESS_TIMEOUT_S = 180
 
-# Fixed formats: iteration, remaining time and one "name: number" loss of a training log line.
-ITER_PATTERN = r"iter:\s*([\d,]+)"
-ETA_PATTERN = r"eta:\s*(.*?),\s*time"
-LOSS_PATTERN = r"^([A-Za-z_]\w*: [-+]?[\d.][\deE+\-.]*\s*)+$"
+# Names of the losses shown.
 DASHBOARD_LOSSES = ("l_g_pix", "l_g_percep", "l_g_identity")
 
 
 def parse_training_log(lines: DataFrame, line_col: str = "value", keep: list[str] | None = None) -> DataFrame:
-    """``iteration, eta, eta_s, losses`` of every line with a header and a loss tail; others are skipped."""
+    """``iteration, eta, eta_s, losses`` of every line with a header and a loss tail; others are skipped.
+
+    A line is bracketed groups of ``name: value`` fields, then pairs of a loss name with a colon and a
+    number. Values hold commas of their own, but none that a space and a letter follow.
+    """
     line = F.col(line_col)
-    likely = lines.where(line.contains("iter:") & line.contains("eta:") & line.contains("] "))
-    fields = F.struct(
-        F.replace(F.regexp_extract(line, ITER_PATTERN, 1), F.lit(","), F.lit("")).alias("n"),
-        F.trim(F.regexp_extract(line, ETA_PATTERN, 1)).alias("eta"),
-        F.trim(F.substring_index(line, "] ", -1)).alias("tail"),
-    )
-    # generating the matched row, instead of filtering on it, runs each pattern once per line
-    whole = lambda f: (f["n"] != "") & (f["eta"] != "") & f["tail"].rlike(LOSS_PATTERN)
-    good = likely.select(*(keep or []), F.inline(F.filter(F.array(fields), whole)))
-    parts = F.str_to_map(F.replace(F.col("tail"), F.lit(": "), F.lit(":")), F.lit(r"\s+"), F.lit(":"))
-    return good.select(
+    likely = lines.where(line.contains("iter:") & line.contains("eta:"))
+    groups = F.split(line, "]", -1)
+    inside = F.transform(F.slice(groups, 1, F.size(groups) - 1), lambda g: F.substring_index(g, "[", -1))
+    fields = F.flatten(F.transform(inside, lambda g: F.split(g, ", (?=[a-z])")))
+    pairs = F.filter(F.split(F.element_at(groups, -1), " "), lambda word: word != "")
+    # generating the parsed row keeps the optimizer from copying its expressions into filters
+    parsed = F.struct(_field(fields, "iter").alias("n"), _field(fields, "eta").alias("eta"), pairs.alias("pairs"))
+    good = likely.select(*(keep or []), F.inline(F.array(parsed)))
+    half = F.sequence(F.lit(0), F.size("pairs") - 2, F.lit(2))
+    losses = F.transform(half, lambda k: F.struct(F.rtrim(F.get("pairs", k), F.lit(":")).alias("name"), F.get("pairs", k + 1).try_cast("double").alias("value")))
+    even = (F.size("pairs") >= 2) & (F.size("pairs") % 2 == 0)
+    good = good.withColumn("pairs", F.when(even & F.forall(F.sequence(F.lit(0), F.size("pairs") - 1), _alternates), losses))
+    finite = F.forall("pairs", lambda p: p["value"].isNotNull() & ~F.isnan(p["value"]) & (F.abs(p["value"]) < float("inf")))
+    return good.where((F.col("n") != "") & (F.col("eta") != "") & finite).select(
         *(keep or []),
-        F.col("n").try_cast("bigint").alias("iteration"),
+        F.replace("n", F.lit(","), F.lit("")).try_cast("bigint").alias("iteration"),
         "eta",
         duration_seconds(F.col("eta")).alias("eta_s"),
-        F.transform_values(parts, lambda _, v: v.try_cast("double")).alias("losses"),
+        F.map_from_entries("pairs").alias("losses"),
     )
 
 
+def _field(fields: Column, name: str) -> Column:
+    """Value of the first field with the name, empty when there is none."""
+    found = F.get(F.filter(fields, lambda f: F.ltrim(f).startswith(f"{name}:")), F.lit(0))
+    return F.coalesce(F.trim(F.substring(F.ltrim(found), len(name) + 2, 2**31 - 1)), F.lit(""))
+
+
+def _alternates(at: Column) -> Column:
+    """Names end with a colon, numbers do not."""
+    return F.get(F.col("pairs"), at).endswith(":") == (at % 2 == 0)
+
+
 def dashboard_losses(parsed: DataFrame, names: tuple[str, ...] = DASHBOARD_LOSSES) -> DataFrame:
     """Fixed loss columns; lines that lack one of them are skipped."""
     others = [c for c in parsed.columns if c != "losses"]

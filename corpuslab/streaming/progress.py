@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import micros
 
@@ -29,3 +30,19 @@ def stage_durations(events: DataFrame, request: str = "request") -> DataFrame:
     following = F.lead("started").over(Window.partitionBy(request).orderBy("started", "stage"))
     seconds = (micros(following) - micros(F.col("started"))) / F.lit(1e6)
     return starts.withColumn("seconds", seconds)
+
+
+def stream_progress(latest: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append the requests that changed in each batch to Parquet under ``path``; a batch that runs again replaces its folder."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return latest.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_progress(spark: SparkSession, path: str, request: str = "request") -> DataFrame:
+    """The last state of each request that :func:`stream_progress` has written."""
+    rows = spark.read.parquet(path)
+    columns = [c for c in rows.columns if c not in (request, "batch")]
+    return rows.groupBy(request).agg(F.max_by(F.struct(*columns), "batch").alias("s")).select(request, "s.*")

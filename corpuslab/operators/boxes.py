@@ -89,10 +89,12 @@ def prior_grid(spark, image_h: int, image_w: int, steps: list[int], min_sizes: l
 
 
 def match_priors(truth: DataFrame, priors: DataFrame, threshold: float = 0.35, min_best: float = 0.2, variances=(0.1, 0.2)) -> DataFrame:
-    """Label and encoded box of every prior in every image that has truths.
+    """Label, encoded box and encoded landmarks of every prior in every image that has truths.
 
-    ``truth``: ``img, det_idx, x1..y2, label``; ``priors``: ``prior_id`` 0..n-1 and ``cx, cy, w, h``.
-    Images where no truth reaches ``min_best`` get label 0 and zero offsets throughout.
+    ``truth``: ``img, det_idx, x1..y2, label`` and optionally ``points``, an array of ``struct<x, y>``;
+    ``priors``: ``prior_id`` 0..n-1 and ``cx, cy, w, h``. Images where no truth reaches ``min_best`` get
+    label 0 and zero offsets throughout. Only pairs that share area are shuffled; a truth travels with
+    its pairs, and the priors of an image are made from its one row at the end.
     """
     size = priors.agg(F.count(F.lit(1)).alias("n"), F.max("prior_id").alias("last")).first()
     if not size["n"]:
@@ -103,57 +105,52 @@ def match_priors(truth: DataFrame, priors: DataFrame, threshold: float = 0.35, m
         F.col("prior_id").alias("det_idx"),
         *[v.alias(k) for k, v in geometry.centre_to_corners(*[F.col(c) for c in ("cx", "cy", "w", "h")]).items()],
     )
+    carried = ["label", *CORNERS, *(["points"] if "points" in truth.columns else [])]
+    whole = truth.select("img", "det_idx", *CORNERS, F.struct("det_idx", *carried).alias("_t"))
     # priors are the same for every image, so pairs meet on the grid cell alone
     side = lambda df, tag: df.select(*[F.col(c).cast("double").alias(f"{tag}_{c}") for c in CORNERS], *[c for c in df.columns if c not in CORNERS])
-    met = _met_pairs(
-        side(truth.select("img", "det_idx", *CORNERS), "a"),
-        side(corners.withColumnRenamed("det_idx", "prior_id"), "b"),
-        (), "iou", _cell_size(truth, corners), small,
-    )
-    pairs = met.select("img", "det_idx", "prior_id", "overlap")
+    met = _met_pairs(side(whole, "a"), side(corners.withColumnRenamed("det_idx", "prior_id"), "b"), (), "iou", _cell_size(truth, corners), small)
+    pairs = met.select("img", "det_idx", "prior_id", "overlap", "_t")
 
     # best prior per truth; a truth that meets none falls to the first prior with overlap 0
     none = F.struct(F.lit(0.0).alias("overlap"), F.lit(0).cast("bigint").alias("neg"))
     found = F.struct("overlap", (-F.col("prior_id")).alias("neg"))
     truths = (
-        pairs.select("img", "det_idx", found.alias("m"))
-        .unionByName(truth.select("img", "det_idx", none.alias("m")))
+        pairs.select("img", "det_idx", found.alias("m"), "_t")
+        .unionByName(whole.select("img", "det_idx", none.alias("m"), "_t"))
         .groupBy("img", "det_idx")
-        .agg(F.max("m").alias("m"))
-        .select("img", "det_idx", F.col("m.overlap").alias("best"), (-F.col("m.neg")).alias("prior_id"))
+        .agg(F.max("m").alias("m"), F.first("_t").alias("_t"))
+        .select("img", (-F.col("m.neg")).alias("prior_id"), (F.col("m.overlap") >= min_best).alias("_good"), "_t")
     )
-    good = F.col("best") >= min_best
-    images = truths.groupBy("img").agg(F.min("det_idx").alias("_first"), F.max(good).alias("_valid"))
-    # each prior of each image gathers its best truth, its claims and the image's defaults in one aggregate
-    fields = {"_m": "struct<overlap: double, neg: bigint>", "_claim": "bigint", "_lifted": "boolean", "_first": "bigint", "_valid": "boolean"}
-
-    def rows(df: DataFrame, **given: Column) -> DataFrame:
-        return df.select("img", "prior_id", *[given.get(c, F.lit(None)).cast(t).alias(c) for c, t in fields.items()])
-
-    every = images.withColumn("prior_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(size["last"]).cast("bigint"))))
-    gathered = (
-        rows(pairs, _m=F.struct("overlap", (-F.col("det_idx")).alias("neg")))
-        .unionByName(rows(truths, _claim=F.col("det_idx"), _lifted=good))
-        .unionByName(rows(every, _first=F.col("_first"), _valid=F.col("_valid")))
+    # a prior with pairs or claims: its last claim, or else its best truth
+    claim = F.struct(F.lit(1).alias("claims"), F.lit(0.0).alias("overlap"), F.col("_t.det_idx").alias("turn"))
+    pair = F.struct(F.lit(0).alias("claims"), "overlap", (-F.col("det_idx")).alias("turn"))
+    matched = (
+        pairs.select("img", "prior_id", pair.alias("_rank"), "overlap", F.lit(False).alias("_good"), "_t")
+        .unionByName(truths.select("img", "prior_id", claim.alias("_rank"), F.lit(0.0).alias("overlap"), "_good", "_t"))
         .groupBy("img", "prior_id")
-        .agg(*[F.max(c).alias(c) for c in fields])
-    )
-    chosen = (
-        gathered.select(
-            "img", "prior_id", "_valid",
-            F.coalesce("_claim", -F.col("_m.neg"), "_first").alias("det_idx"),
-            F.when(F.col("_lifted"), F.lit(2.0)).otherwise(F.coalesce("_m.overlap", F.lit(0.0))).alias("overlap"),
-        )
-        .join(truth.select("img", "det_idx", "label", *CORNERS), ["img", "det_idx"])
-        .join(small(priors.select("prior_id", *[F.col(c).alias(f"_p{c}") for c in ("cx", "cy", "w", "h")])), "prior_id")
+        .agg(F.max_by("_t", "_rank").alias("t"), F.max("overlap").alias("overlap"), F.max("_good").alias("lifted"))
     )
-    loc = geometry.encode_offsets(
-        tuple(F.col(c) for c in CORNERS), tuple(F.col(f"_p{c}") for c in ("cx", "cy", "w", "h")), variances
+    matched = matched.select("img", F.struct("prior_id", F.when(F.col("lifted"), 2.0).otherwise(F.col("overlap")).alias("overlap"), "t").alias("m"))
+    # the row of an image: what its priors have, and the first truth for all others
+    default = truths.groupBy("img").agg(F.min_by("_t", "_t.det_idx").alias("_first"), F.max("_good").alias("_valid"))
+    images = matched.groupBy("img").agg(F.collect_list("m").alias("ms")).join(default, "img")
+    ids = F.sequence(F.lit(0).cast("bigint"), F.lit(size["last"]).cast("bigint"))
+    others = F.array_except(ids, F.transform("ms", lambda m: m["prior_id"]))
+    blank = F.transform(others, lambda k: F.struct(k.alias("prior_id"), F.lit(0.0).alias("overlap"), F.col("_first").alias("t")))
+    chosen = images.select("img", "_valid", F.inline(F.concat("ms", blank))).join(
+        small(priors.select("prior_id", *[F.col(c).alias(f"_p{c}") for c in ("cx", "cy", "w", "h")])), "prior_id"
     )
-    label = F.when(F.col("_valid") & (F.col("overlap") >= threshold), F.col("label")).otherwise(F.lit(0))
+    prior = tuple(F.col(f"_p{c}") for c in ("cx", "cy", "w", "h"))
+    loc = geometry.encode_offsets(tuple(F.col(f"t.{c}") for c in CORNERS), prior, variances)
+    if "points" in carried:
+        zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+        points = F.when(F.col("_valid"), geometry.encode_points(F.col("t.points"), prior, variances)).otherwise(F.transform("t.points", lambda _: zero))
+    label = F.when(F.col("_valid") & (F.col("overlap") >= threshold), F.col("t.label")).otherwise(F.lit(0))
     return chosen.select(
-        "img", "prior_id", "det_idx", label.cast("int").alias("label"),
+        "img", "prior_id", F.col("t.det_idx").alias("det_idx"), label.cast("int").alias("label"),
         *[F.when(F.col("_valid"), v).otherwise(F.lit(0.0)).alias(k) for k, v in loc.items()],
+        *([points.alias("points")] if "points" in carried else []),
     )
 
 

@@ -395,9 +395,12 @@ def box_overlap_iof(spark, sf):
 def match_priors(spark, sf):
     d = t.detections(spark, sf)
     truth = d.select("img", "det_idx", *[(F.col(c) / 512).alias(c) for c in ("x1", "y1", "x2", "y2")], (1 + F.col("det_idx") % 3).cast("int").alias("label"))
+    at = lambda a, b: F.struct((F.col("x1") + (F.col("x2") - F.col("x1")) * a).alias("x"), (F.col("y1") + (F.col("y2") - F.col("y1")) * b).alias("y"))
+    truth = truth.withColumn("points", F.array(at(0.25, 0.3), at(0.75, 0.3), at(0.5, 0.5), at(0.3, 0.8), at(0.7, 0.8)))
     priors = boxes.prior_grid(spark, 512, 512, [64, 128], [[48, 80], [120]])
     out = boxes.match_priors(truth, priors)
-    return out.select("img", "prior_id", "det_idx", "label", *[r(c).alias(c) for c in ("dx", "dy", "dw", "dh")])
+    point = [r(F.get("points", F.lit(k))[c], 4).alias(f"l{c}{k}") for k in range(5) for c in "xy"]
+    return out.select("img", "prior_id", "det_idx", "label", *[r(c).alias(c) for c in ("dx", "dy", "dw", "dh")], *point)
 
 
 @query

@@ -266,6 +266,11 @@ O["box_overlap_iof"] = with_(
     SELECT img, a_idx, b_idx, {r('i / greatest(sa, 1)')} AS overlap FROM (SELECT a.img, a.det_idx AS a_idx, b.det_idx AS b_idx, {INTER} AS i,
     (a.x2 - a.x1) * (a.y2 - a.y1) AS sa FROM det a JOIN big b USING (img)) WHERE i > 0 AND i / greatest(sa, 1) > 0.5""",
 )
+_LANDMARKS = ", ".join(
+    f"{r(f'CASE WHEN valid THEN ({c}1 + ({c}2 - {c}1) * {v}::DOUBLE - c{c}) / (0.1 * w) ELSE 0 END', 4)} AS l{c}{k}"
+    for k, pair in enumerate([(0.25, 0.3), (0.75, 0.3), (0.5, 0.5), (0.3, 0.8), (0.7, 0.8)])
+    for c, v in zip("xy", pair)
+)
 O["match_priors"] = with_(
     "det",
     f""", pr AS (SELECT (i * 8 + j) * 2 + s AS prior_id, (j + 0.5::DOUBLE) * 64 / 512 AS cx, (i + 0.5::DOUBLE) * 64 / 512 AS cy, [48, 80][s + 1]::DOUBLE / 512 AS w
@@ -282,7 +287,7 @@ O["match_priors"] = with_(
     ch AS (SELECT img, prior_id, valid, coalesce(claim, bt.det_idx) AS det_idx, CASE WHEN lifted THEN 2 ELSE o END AS o FROM bt JOIN va USING (img) LEFT JOIN cl USING (img, prior_id))
     SELECT ch.img, ch.prior_id, ch.det_idx, (CASE WHEN valid AND o >= 0.35 THEN label ELSE 0 END)::INTEGER AS label,
     {r("CASE WHEN valid THEN ((x1 + x2) / 2 - cx) / (0.1 * w) ELSE 0 END")} AS dx, {r("CASE WHEN valid THEN ((y1 + y2) / 2 - cy) / (0.1 * w) ELSE 0 END")} AS dy,
-    {r("CASE WHEN valid THEN ln((x2 - x1) / w) / 0.2 ELSE 0 END")} AS dw, {r("CASE WHEN valid THEN ln((y2 - y1) / w) / 0.2 ELSE 0 END")} AS dh
+    {r("CASE WHEN valid THEN ln((x2 - x1) / w) / 0.2 ELSE 0 END")} AS dw, {r("CASE WHEN valid THEN ln((y2 - y1) / w) / 0.2 ELSE 0 END")} AS dh, {_LANDMARKS}
     FROM ch JOIN tr USING (img, det_idx) JOIN pr USING (prior_id)""",
 )
 O["schedule_value"] = f"""SELECT o_orderkey AS iteration,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text
-from .ordering import block_by_bounds, dense_position, order_bounds
+from .ordering import block_by_bounds, cut_lineage, dense_position, order_bounds
 
 
 def composition(df: DataFrame, by: str = "category", is_new: Column | None = None) -> DataFrame:
@@ -105,9 +105,10 @@ def exact_median(df: DataFrame, group: list[str], value: str, tie: str, blocks:
     """Median per group by distributed rank.
 
     ``median()`` merges all values of a group in one task; here only the one or two middle rows of
-    each group are picked, by position, so a group may be of any size.
+    each group are picked, by position, so a group may be of any size. The values are read more than
+    once, so they are written first.
     """
-    present = df.where(F.col(value).isNotNull())
+    present = cut_lineage(df.where(F.col(value).isNotNull()).select(*group, value, tie))
     bounds = order_bounds(present, value, blocks)
     placed = dense_position(present, [value, tie], block_by_bounds(F.col(value), bounds), group, "_pos")
     sizes = present.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
@@ -127,7 +128,7 @@ def acceptance_gate(candidate: DataFrame, baseline: DataFrame, sample: str = "sa
     base = baseline.select(sample, *[F.col(m).alias(f"base_{m}") for m in metrics])
     paired = candidate.select(sample, "category", *[F.col(m).alias(f"cand_{m}") for m in metrics]).join(base, sample)
     scoped = paired.withColumn("category", F.explode(F.array(F.col("category"), F.lit("(all)"))))
-    tidy = scoped.where(F.col("category").isNotNull())
+    tidy = cut_lineage(scoped.where(F.col("category").isNotNull()))
     values = [
         F.struct(F.lit(f"{side}_{m}").alias("kind"), F.when(F.col(f"cand_{m}").isNotNull() & F.col(f"base_{m}").isNotNull(), F.col(f"{side}_{m}")).cast("double").alias("value"))
         for m in ("psnr", "ssim")

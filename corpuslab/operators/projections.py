@@ -66,6 +66,16 @@ def filter_detections(df: DataFrame, min_score: float = 0.8, min_eye_dist: float
     return kept.where(gap >= min_eye_dist)
 
 
+def expand_classes(df: DataFrame, threshold: float, objectness: str = "objectness", scores: str = "class_scores", classes: list[int] | None = None) -> DataFrame:
+    """One row per class whose confidence, object score times class score, exceeds ``threshold``: adds ``cls`` and ``score``.
+
+    ``classes`` keeps only those. A null score of either kind gives no row.
+    """
+    rows = df.select(*[c for c in df.columns if c != scores], F.posexplode(scores).alias("cls", "_s"))
+    rows = rows.withColumn("score", F.col(objectness) * F.col("_s")).where(F.col("score") > threshold)
+    return (rows if classes is None else rows.where(F.col("cls").isin(classes))).drop("_s")
+
+
 def curation_rules(
     min_side: int = MIN_SIDE, min_coverage: float = MIN_COVERAGE, min_sharpness: float = MIN_SHARPNESS
 ) -> list[tuple[str, Column]]:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text
 from ..functions.hashing import choose, order_key, uniform, uniform_int, uniform_range
 from ..schemas import DEGRADATION, IMAGE_SUFFIXES
-from .ordering import block_by_uniform, default_blocks, dense_position, position_by
+from .ordering import block_by_uniform, cut_lineage, default_blocks, dense_position, position_by
 from .pixels import LUMA_GRAY
 
 # Fixed value: seed of the published holdout.
@@ -49,14 +49,15 @@ def epoch_sample(df: DataFrame, key: str, ratio: float = 1, replicas: int = 1, e
     ``total = ceil(n ratio / replicas) * replicas`` positions index the items modulo ``n`` and are
     permuted by a hash of (epoch, position); every ``replicas``-th goes to a rank.
     """
-    total_items = df.count()
+    keys = cut_lineage(df.select(key))
+    total_items = keys.count()
     if total_items == 0:
         raise ValueError("no items to sample")
     total = math.ceil(total_items * ratio / replicas) * replicas
-    items = position_by(df.select(key), key, None, "_idx", blocks)
+    items = position_by(keys, key, None, "_idx", blocks)
     copies = F.sequence(F.col("_idx"), F.lit(total - 1).cast("bigint"), F.lit(total_items).cast("bigint"))
     placed = items.where(F.col("_idx") < total).select(key, F.explode(copies).alias("copy_pos"))
-    drawn = placed.withColumn("_u", uniform("copy_pos", "epoch", epoch))
+    drawn = cut_lineage(placed.withColumn("_u", uniform("copy_pos", "epoch", epoch)))
     ordered = dense_position(drawn, ["_u", "copy_pos"], block_by_uniform(F.col("_u"), blocks or default_blocks(df)), None, "position")
     ranked = ordered.drop("_u").withColumns(
         {
@@ -68,7 +69,11 @@ def epoch_sample(df: DataFrame, key: str, ratio: float = 1, replicas: int = 1, e
 
 
 def batch(sample: DataFrame, size: int, drop_last: bool = True) -> DataFrame:
-    """Consecutive batches per rank; a short last batch is dropped unless asked for."""
+    """Consecutive batches per rank; a short last batch is dropped unless asked for.
+
+    To know which is short the sample is read twice, so it is written first.
+    """
+    sample = sample if not drop_last else cut_lineage(sample)
     batched = sample.withColumn("batch", F.floor(F.col("rank_pos") / size).cast("bigint"))
     if not drop_last:
         return batched

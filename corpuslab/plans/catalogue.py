@@ -666,6 +666,12 @@ def suppress(spark, sf):
     return boxes.suppress(t.detections(spark, sf), 0.4).select("img", "det_idx", r("score").alias("score"))
 
 
+@query
+def expand_classes(spark, sf):
+    d = t.detections(spark, sf).select("img", "det_idx", F.col("score").alias("objectness"), F.array(*[uniform("det_idx", f"class{k}", 3) for k in range(3)]).alias("class_scores"))
+    return projections.expand_classes(d, 0.25, classes=[0, 2]).select("img", "det_idx", "cls", r("score").alias("score"))
+
+
 @query
 def suppress_crowded(spark, sf):
     """The method for crowded images, with a few boxes that have no area or lack a corner."""

@@ -408,6 +408,10 @@ def _greedy(source: str, limit: float) -> str:
 
 
 O["suppress"] = with_("det", f", {_greedy('det', 0.4)} SELECT keep.img, b.id AS det_idx, {r('score')} AS score FROM keep JOIN det ON det.det_idx = b.id", recursive=True)
+O["expand_classes"] = with_(
+    "det",
+    ", s AS (" + " UNION ALL ".join(f"SELECT img, det_idx, {k} AS cls, score * {u('det_idx', f'class{k}', 3)} AS score FROM det" for k in (0, 2)) + f") SELECT img, det_idx, cls, {r('score')} AS score FROM s WHERE score > 0.25",
+)
 O["suppress_crowded"] = with_(
     "det",
     f", odd AS (SELECT * REPLACE (CASE WHEN det_idx % 50 = 0 THEN x1 - 5 WHEN det_idx % 50 <> 1 THEN x2 END AS x2) FROM det), {_greedy('odd', 0.4)} SELECT keep.img, b.id AS det_idx, {r('score')} AS score FROM keep JOIN det ON det.det_idx = b.id",

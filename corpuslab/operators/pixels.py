@@ -11,6 +11,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 # Luma weights in B, G, R order.
 LUMA_BT601 = (24.966, 128.553, 65.481)
@@ -32,16 +33,23 @@ def channels_wide(planes: DataFrame) -> DataFrame:
     return wide.select("img", "channels", shape["h"].alias("h"), shape["w"].alias("w"), *[F.col(f"_{c}.plane").alias(f"p{c}") for c in range(3)])
 
 
-def to_luma(planes: DataFrame, mode: str = "bt601") -> DataFrame:
-    """Luma plane of each image from its B, G, R planes in [0, 255]; null when a channel is missing."""
-    if mode not in ("bt601", "gray"):
+def to_luma(planes: DataFrame, mode: str | list[str] = "bt601") -> DataFrame:
+    """Luma plane of each image from its B, G, R planes in [0, 255]; null when a channel is missing.
+
+    Several modes give a column each, named by the mode, from one pass.
+    """
+    modes = [mode] if isinstance(mode, str) else mode
+    if not set(modes) <= {"bt601", "gray"}:
         raise ValueError(f"unknown luma mode: {mode}")
-    weights, scale, base = (LUMA_BT601, 255.0, 16.0) if mode == "bt601" else (LUMA_GRAY, 1.0, 0.0)
-    bgr = F.arrays_zip("p0", "p1", "p2")
-    mix = F.transform(
-        bgr, lambda p: p["p0"] / scale * weights[0] + p["p1"] / scale * weights[1] + p["p2"] / scale * weights[2] + base
-    )
-    return channels_wide(planes).select("img", "h", "w", mix.alias("plane"))
+
+    def mix(mode: str) -> Column:
+        weights, scale, base = (LUMA_BT601, 255.0, 16.0) if mode == "bt601" else (LUMA_GRAY, 1.0, 0.0)
+        return F.transform(
+            F.arrays_zip("p0", "p1", "p2"),
+            lambda p: p["p0"] / scale * weights[0] + p["p1"] / scale * weights[1] + p["p2"] / scale * weights[2] + base,
+        )
+
+    return channels_wide(planes).select("img", "h", "w", *[mix(m).alias("plane" if isinstance(mode, str) else m) for m in modes])
 
 
 def rescale_planes(planes: DataFrame, mean: list[float], std: list[float], inverse: bool = False, swap: bool = False) -> DataFrame:
@@ -58,13 +66,13 @@ def rescale_planes(planes: DataFrame, mean: list[float], std: list[float], inver
     return moved.withColumn("plane", F.transform("plane", lambda v: (v / 255.0 - m) / s))
 
 
-def channel_moments(planes: DataFrame, ddof: int = 1, eps: float = 1e-5) -> DataFrame:
-    """Mean and ``sqrt(variance + eps)`` of each channel of each image."""
-    spread = F.var_samp("v") if ddof == 1 else F.var_pop("v")
+def channel_moments(planes: DataFrame, ddof: int = 1, eps: float = 1e-5, also: dict[str, tuple[int, float]] | None = None) -> DataFrame:
+    """Mean and ``sqrt(variance + eps)`` of each channel of each image; ``also`` names further (ddof, eps) columns."""
+    spread = lambda ddof, eps: F.sqrt((F.var_samp("v") if ddof == 1 else F.var_pop("v")) + F.lit(eps))
     return (
         planes.select("img", "ch", F.explode("plane").alias("v"))
         .groupBy("img", "ch")
-        .agg(F.avg("v").alias("mean"), F.sqrt(spread + F.lit(eps)).alias("std"))
+        .agg(F.avg("v").alias("mean"), spread(ddof, eps).alias("std"), *[spread(*v).alias(k) for k, v in (also or {}).items()])
     )
 
 
@@ -107,34 +115,49 @@ LOSSES: dict[str, Callable[[Column], Column]] = {
 
 def pair_loss(pairs: DataFrame, kind: str, keys: list[str], weight: str | None = None, reduction: str = "mean") -> DataFrame:
     """Loss of each group of plane pairs; a weighted mean divides by the sum of weights."""
-    if kind not in LOSSES or reduction not in ("mean", "sum"):
-        raise ValueError(f"unknown loss or reduction: {kind}, {reduction}")
-    pixels = pair_pixels(pairs, keys, extra=(weight,) if weight else ())
-    loss = LOSSES[kind](F.col("a") - F.col("b"))
-    if weight is None:
-        total = F.avg(loss) if reduction == "mean" else F.sum(loss)
-    else:
+    return pair_losses(pairs, {"loss": (kind, weight, reduction)}, keys)
+
+
+def pair_losses(pairs: DataFrame, losses: dict[str, tuple[str, str | None, str]], keys: list[str]) -> DataFrame:
+    """Several losses, name -> (kind, weight column or none, reduction), from one pass over the pixels."""
+    for kind, _, reduction in losses.values():
+        if kind not in LOSSES or reduction not in ("mean", "sum"):
+            raise ValueError(f"unknown loss or reduction: {kind}, {reduction}")
+    weights = dict.fromkeys(weight for _, weight, _ in losses.values() if weight)
+    pixels = pair_pixels(pairs, keys, extra=tuple(weights))
+
+    def total(kind: str, weight: str | None, reduction: str) -> Column:
+        loss = LOSSES[kind](F.col("a") - F.col("b"))
+        if weight is None:
+            return F.avg(loss) if reduction == "mean" else F.sum(loss)
         weighted = F.sum(loss * F.col(weight))
-        total = F.try_divide(weighted, F.sum(weight)) if reduction == "mean" else weighted
-    return pixels.groupBy(*keys).agg(total.alias("loss"))
+        return F.try_divide(weighted, F.sum(weight)) if reduction == "mean" else weighted
+
+    return pixels.groupBy(*keys).agg(*[total(*spec).alias(name) for name, spec in losses.items()])
 
 
 def gram(features: DataFrame) -> DataFrame:
     """``F F^T / (c h w)`` per image as rows ``img, c1, c2, value``.
 
-    The channel values that share a position meet once; their products are summed before the
-    shuffle.
+    The planes of an image, which must be of one size, meet as arrays and are multiplied in Arrow batches.
     """
-    sized = features.select("img", "ch", F.col("plane"), F.size("plane").alias("hw"))
-    pixels = sized.select("img", "ch", "hw", F.posexplode("plane").alias("pos", "v"))
-    stacked = pixels.groupBy("img", "pos").agg(
-        F.sort_array(F.collect_list(F.struct("ch", "v"))).alias("f"), F.max("hw").alias("hw")
-    )
-    left = stacked.select("img", "hw", "f", F.size("f").alias("c"), F.explode("f").alias("l"))
-    both = left.select("img", "hw", "c", "l", F.explode("f").alias("r"))
-    return both.groupBy("img", F.col("l.ch").alias("c1"), F.col("r.ch").alias("c2")).agg(
-        (F.sum(F.col("l.v") * F.col("r.v")) / F.max(F.col("c") * F.col("hw"))).alias("value")
-    )
+    stacked = features.groupBy("img").agg(F.sort_array(F.collect_list(F.struct("ch", "plane"))).alias("f"))
+    whole = F.size(F.array_distinct(F.transform("f", lambda p: F.size(p["plane"])))) == 1
+    checked = stacked.withColumn("f", F.when(whole, F.col("f")).otherwise(F.raise_error(F.lit("planes of an image differ in size"))))
+    rows = checked.select("img", F.col("f.ch").alias("ch"), F.col("f.plane").alias("planes"))
+
+    def multiply(frames):
+        for frame in frames:
+            out = []
+            for img, ch, planes in zip(frame["img"], frame["ch"], frame["planes"]):
+                f = np.stack([np.asarray(p, dtype=float) for p in planes])
+                value = f @ f.T / f.size
+                out += [(img, a, b, value[i, j]) for i, a in enumerate(ch) for j, b in enumerate(ch)]
+            yield pd.DataFrame(out, columns=["img", "c1", "c2", "value"])
+
+    kind = {f.name: f.dataType for f in features.schema.fields}
+    schema = T.StructType([T.StructField("img", kind["img"]), T.StructField("c1", kind["ch"]), T.StructField("c2", kind["ch"]), T.StructField("value", T.DoubleType())])
+    return rows.mapInPandas(multiply, schema)
 
 
 def detect_gray(planes: DataFrame, threshold: float = 10.0) -> DataFrame:

@@ -187,9 +187,11 @@ def degrade(planes: DataFrame, plan: DataFrame, kernel_size: int = 41, seed: int
         return moved.withColumn("plane", F.transform("plane", lambda v: limit(v + F.col("_s"))))
 
     final = lambda p: F.transform(p, lambda v: limit(F.round(v)))
-    colour = jittered(joined.where(~F.col("gray"))).select("img", "ch", "h", "w", final(F.col("plane")).alias("plane"))
+    # Written once; colour and gray images part afterwards.
+    moved = cut_lineage(jittered(joined).select("img", "ch", "h", "w", "gray", "plane"))
+    colour = moved.where(~F.col("gray")).select("img", "ch", "h", "w", final(F.col("plane")).alias("plane"))
     weight = F.coalesce(F.get(F.lit(list(LUMA_GRAY)), F.col("ch")), F.lit(0.0))
-    grays = jittered(joined.where("gray")).select("img", "ch", "h", "w", weight.alias("_w"), "plane")
+    grays = moved.where("gray").select("img", "ch", "h", "w", weight.alias("_w"), "plane")
     stacked = grays.groupBy("img").agg(
         F.collect_list(F.struct("ch", "h", "w")).alias("c"),
         F.sort_array(F.collect_list(F.struct("ch", F.transform("plane", lambda v: v * F.col("_w")).alias("p")))).alias("s"),

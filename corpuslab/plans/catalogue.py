@@ -261,18 +261,19 @@ def box_convert(spark, sf):
 
 @query
 def box_fit(spark, sf):
+    corners = ("x1", "y1", "x2", "y2")
     d = t.detections(spark, sf)
-    a = projections.box_fit(d, net_size=(320, 320))
-    b = projections.box_fit(d, grow=0.15).select("det_idx", *[F.col(c).alias(f"grown_{c}") for c in ("x1", "y1", "x2", "y2")])
-    return a.join(b, "det_idx").select("img", "det_idx", *[r(c).alias(c) for c in ("x1", "y1", "x2", "y2")], *[f"grown_{c}" for c in ("x1", "y1", "x2", "y2")])
+    d = d.select("*", *[F.col(c).alias(f"raw_{c}") for c in corners])
+    fitted = projections.box_fit(d, net_size=(320, 320)).withColumnsRenamed({c: f"fit_{c}" for c in corners})
+    grown = projections.box_fit(fitted.withColumnsRenamed({f"raw_{c}": c for c in corners}), grow=0.15)
+    return grown.select("img", "det_idx", *[r(f"fit_{c}").alias(c) for c in corners], *[F.col(c).alias(f"grown_{c}") for c in corners])
 
 
 @query
 def to_luma(spark, sf):
-    p = t.planes(spark, sf)
-    a = pixels.to_luma(p, "bt601").select("img", F.posexplode("plane").alias("pos", "bt601"))
-    b = pixels.to_luma(p, "gray").select("img", F.posexplode("plane").alias("pos", "gray"))
-    return a.join(b, ["img", "pos"]).select("img", "pos", r("bt601").alias("bt601"), r("gray").alias("gray"))
+    both = pixels.to_luma(t.planes(spark, sf), ["bt601", "gray"])
+    flat = both.select("img", F.posexplode(F.arrays_zip("bt601", "gray")).alias("pos", "v"))
+    return flat.select("img", "pos", r("v.bt601").alias("bt601"), r("v.gray").alias("gray"))
 
 
 @query
@@ -284,10 +285,9 @@ def melt_metrics(spark, sf):
 @query
 def rescale_planes(spark, sf):
     p = pixels.rescale_planes(t.planes(spark, sf), [0.5, 0.4, 0.3], [0.5, 0.25, 0.2], swap=True)
-    back = pixels.rescale_planes(p, [0.5, 0.4, 0.3], [0.5, 0.25, 0.2], inverse=True)
-    one = p.select("img", "ch", F.posexplode("plane").alias("pos", "v"))
-    two = back.select("img", "ch", F.posexplode("plane").alias("pos", "back"))
-    return one.join(two, ["img", "ch", "pos"]).select("img", "ch", "pos", r("v").alias("v"), (F.col("back") + 0.0).alias("back"))
+    back = pixels.rescale_planes(p.withColumn("scaled", F.col("plane")), [0.5, 0.4, 0.3], [0.5, 0.25, 0.2], inverse=True)
+    flat = back.select("img", "ch", F.posexplode(F.arrays_zip("scaled", "plane")).alias("pos", "z"))
+    return flat.select("img", "ch", "pos", r("z.scaled").alias("v"), (F.col("z.plane") + 0.0).alias("back"))
 
 
 # --- joins --------------------------------------------------------------------
@@ -492,10 +492,8 @@ def reclaim_plan(spark, sf):
 
 @query
 def channel_moments(spark, sf):
-    p = t.planes(spark, sf)
-    a = pixels.channel_moments(p)
-    b = pixels.channel_moments(p, ddof=0, eps=0.0).withColumnRenamed("std", "std_pop").drop("mean")
-    return a.join(b, ["img", "ch"]).select("img", "ch", *[r(c).alias(c) for c in ("mean", "std", "std_pop")])
+    both = pixels.channel_moments(t.planes(spark, sf), also={"std_pop": (0, 0.0)})
+    return both.select("img", "ch", *[r(c).alias(c) for c in ("mean", "std", "std_pop")])
 
 
 @query
@@ -509,10 +507,8 @@ def transfer_moments(spark, sf):
 @query
 def pair_loss(spark, sf):
     p = t.plane_pairs(spark, sf).withColumn("wt", F.transform("a", lambda v: v / 255.0))
-    l1 = pixels.pair_loss(p, "l1", ["pair"]).withColumnRenamed("loss", "l1")
-    mse = pixels.pair_loss(p, "mse", ["pair"], reduction="sum").withColumnRenamed("loss", "mse_sum")
-    ch = pixels.pair_loss(p, "charbonnier", ["pair"], weight="wt").withColumnRenamed("loss", "charbonnier_weighted")
-    return l1.join(mse, "pair").join(ch, "pair").select("pair", *[r(c).alias(c) for c in ("l1", "mse_sum", "charbonnier_weighted")])
+    losses = {"l1": ("l1", None, "mean"), "mse_sum": ("mse", None, "sum"), "charbonnier_weighted": ("charbonnier", "wt", "mean")}
+    return pixels.pair_losses(p, losses, ["pair"]).select("pair", *[r(c).alias(c) for c in ("l1", "mse_sum", "charbonnier_weighted")])
 
 
 @query

@@ -158,7 +158,7 @@ def test_nearest_code_ties_and_blocks(spark):
     want = {i: int(((v - book) ** 2).sum(1).argmin()) for i, v in enumerate(vecs)}
     assert want[60] == 4
     whole = {r["vec_id"]: r["code_id"] for r in scoring.nearest_code(df, codes).collect()}
-    cut = {r["vec_id"]: r["code_id"] for r in scoring.nearest_code(df, codes, max_numbers=50, rows_per_group=10).collect()}
+    cut = {r["vec_id"]: r["code_id"] for r in scoring.nearest_code(df, codes, max_numbers=50).collect()}
     assert whole == want and cut == want
 
 

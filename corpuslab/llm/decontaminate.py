@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import text_of
 
 #: Edits allowed per character of an item.
-BUDGET = 0.05
+BUDGET = 0.08
 #: Characters of benchmark text that one pass looks for.
 BLOCK_CHARS = 1 << 20
 HITS = "array<struct<item_id: long, distance: int, match_end: long>>"

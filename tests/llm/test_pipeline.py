@@ -59,7 +59,7 @@ def test_benchmark_stage(spark, sf_dir, steps):
     left = {r["doc_id"]: decontaminate.normalise(r["text"]) for r in steps[3].collect()}
     kept = set(ids(steps[4]))
     assert all(not any(i in left[d] for i in items) for d in kept)
-    # What went holds an item, edited by a twentieth at most: most of its words are there.
+    # What went holds an item with few edits: most of its words are there.
     for d in set(left) - kept:
         assert any(sum(w in left[d] for w in i.split()) >= 0.7 * len(i.split()) for i in items)
 

@@ -175,3 +175,22 @@ def test_ingest_with_a_new_checkpoint_and_a_replayed_batch(spark, tmp_path):
         crc.rename(tmp_path / "lost.crc")
     assert run("b") == second
     assert t0
+
+
+def test_epochs_batches_and_medians_read_their_input_once(spark, sf_dir):
+    """The plan that is left reads only what was written from the input."""
+    from corpuslab.operators import aggregates
+
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    sample = sampling.epoch_sample(orders, "o_orderkey", 1.5, 4)
+    medians = aggregates.exact_median(orders, ["o_orderpriority"], "o_totalprice", "o_orderkey")
+    for out in (sample, sampling.batch(sample, 8), medians):
+        assert out.inputFiles() and not any("orders.parquet" in f for f in out.inputFiles())
+
+
+def test_pixel_queries_do_not_join_exploded_planes(spark, sf_dir):
+    from corpuslab.plans.catalogue import QUERIES
+
+    for name in ("to_luma", "rescale_planes", "channel_moments", "pair_loss", "gram", "box_fit"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan, name

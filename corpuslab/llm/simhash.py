@@ -27,7 +27,7 @@ BITS, PARTS, SEED = 64, 4, 42
 #: Population counts of one fingerprint take at most this many values: 17 for each of four 16-bit parts.
 MAX_CELLS = 17**PARTS
 #: Comparisons held in memory at once.
-BLOCK = 1 << 21
+BLOCK = 1 << 18
 
 _SHIFTS = np.arange(8, dtype=np.uint64)
 _LANES = np.uint64(0x0101010101010101)

@@ -33,23 +33,30 @@ _SHIFTS = np.arange(8, dtype=np.uint64)
 _LANES = np.uint64(0x0101010101010101)
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """Unsigned SimHash of the shingles of ``width`` words; 0 for a text without words.
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """Hashes of the shingles of ``width`` words, none for a text without words.
 
-    A-Z are lower-cased, a word is a run of bytes other than 0x20 and 0x09-0x0D, shingles count as often
+    A-Z are lower-cased, a word is a run of bytes other than 0x20 and 0x09-0x0D, shingles come as often
     as they occur, and a text of fewer words is one shingle.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= width:
-        return digest(joined, SEED)
+        return np.array([digest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[: -width] + 1)).tolist()
     stops = ends[width - 1 :].tolist()
-    hashes = np.fromiter((digest(joined[i:j], SEED) for i, j in zip(starts, stops)), np.uint64, len(starts))
+    return np.fromiter((digest(joined[i:j], SEED) for i, j in zip(starts, stops)), np.uint64, len(starts))
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """Unsigned SimHash of :func:`shingles`; 0 for a text without words."""
+    hashes = shingles(text, width)
+    if len(hashes) < 2:
+        return int(hashes.sum())
     # Eight bytes of a word count eight bits at a time; a byte holds 255 rows.
     lanes = (hashes[:, None] >> _SHIFTS) & _LANES
     sums = np.add.reduceat(lanes, np.arange(0, len(hashes), 255), axis=0)

@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, fuzzy_lines, mixing, passages, quality, secrets, simhash, suffix, tokens
+from . import decontaminate, exact, fuzzy_lines, language, lexical, merkle, mixing, passages, quality, secrets, simhash, suffix, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {"op3_line_hashing": passages.ORACLE, "op4_suffix_dedup": suffix.ORACLE, "op5_secrets": secrets.ORACLE, "op9_exact_dedup": exact.ORACLE}
+ORACLES: dict[str, str] = {
+    "op3_line_hashing": passages.ORACLE,
+    "op4_suffix_dedup": suffix.ORACLE,
+    "op5_secrets": secrets.ORACLE,
+    "op9_exact_dedup": exact.ORACLE,
+    "op12_merkle_manifest": merkle.ORACLE,
+    "op13_lexical_search": lexical.ORACLE,
+}
 
 
 def query(fn: Query) -> Query:
@@ -68,3 +75,19 @@ def op5_secrets(spark, sf_dir):
 @query
 def op4_suffix_dedup(spark, sf_dir):
     return suffix.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
+@query
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_lexical_search(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

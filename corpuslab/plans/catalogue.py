@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import geometry, text
 from ..functions.hashing import uniform
-from ..operators import aggregates, boxes, joins, metrics, pixels, projections, ranking, sampling, scoring, validation
+from ..operators import aggregates, boxes, joins, metrics, pixels, projections, ranking, sampling, schedules, scoring, validation
 from ..operators.ordering import cut_lineage, widen
 from ..schemas import CLASS_WEIGHTS, PRESETS
 from ..sources import files, manifest as manifests, store, web
@@ -123,30 +123,41 @@ def _sidecar(spark, sf) -> DataFrame:
 
 @query
 def read_meta_info(spark, sf):
-    return _known(manifests.parse_meta_info(_sidecar(spark, sf)), h=-1, w=-1, c=-1, level=-1)
+    path = t.scratch(spark, "sidecar")
+    _sidecar(spark, sf).write.text(path)
+    return _known(manifests.read_meta_info(spark, path), h=-1, w=-1, c=-1, level=-1)
 
 
 @query
 def write_meta_info(spark, sf):
-    return manifests.meta_info_lines(manifests.parse_meta_info(_sidecar(spark, sf)))
+    """Written, and read back as lines."""
+    path = t.scratch(spark, "meta")
+    manifests.write_meta_info(manifests.parse_meta_info(_sidecar(spark, sf)), path)
+    lines = spark.read.text(path)
+    return lines.select(F.regexp_extract("value", r"^(\S+)", 1).alias("name"), "value")
 
 
-@query
-def read_store(spark, sf):
-    packed = t.listing(spark, sf, text=True).select(
+def _packed(spark, sf) -> DataFrame:
+    return t.listing(spark, sf, text=True).select(
         text.store_key(F.col("name")).alias("key"), F.encode("text", "UTF-8").alias("payload"), "h", "w"
     )
-    wanted = t.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("key"))
-    return store.select_keys(packed, wanted).select("key", F.octet_length("payload").cast("bigint").alias("payload_bytes"), "h", "w")
+
+
+@query
+def read_store(spark, sf):
+    """Keys of the labelled documents, each twice, and some that the store does not hold."""
+    path = t.scratch(spark, "store")
+    store.write_packed(_packed(spark, sf), path, 64)
+    ids = t.table(spark, sf, "labels").select("doc_id")
+    wanted = ids.unionByName(ids).unionByName(ids.select((-F.col("doc_id") - 1).alias("doc_id")))
+    found = store.read_store(spark, path, wanted.select(F.col("doc_id").cast("string").alias("key")))
+    return found.select("key", F.octet_length("payload").cast("bigint").alias("payload_bytes"), "h", "w")
 
 
 @query
 def write_packed(spark, sf):
-    packed = t.listing(spark, sf, text=True).select(
-        text.store_key(F.col("name")).alias("key"), F.encode("text", "UTF-8").alias("payload"), "h", "w"
-    )
     path = t.scratch(spark, "store")
-    store.write_packed(packed, path)
+    store.write_packed(_packed(spark, sf), path)
     wanted = t.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("key"))
     return store.read_store(spark, path, wanted).select("key", F.sha2("payload", 256).alias("digest"), "h", "w")
 
@@ -170,11 +181,12 @@ def write_holdout(spark, sf):
 
 @query
 def read_listing(spark, sf):
-    path = t.scratch(spark, "tree")
-    t.listing(spark, sf).select("category", "rel_path").write.partitionBy("category").text(path)
-    listing = files.read_listing(spark, path, [".txt"], recursive=True)
-    whole = F.col("rel_path") == F.concat_ws("/", "category", "name")
-    return listing.groupBy("category", "ext").agg(F.sum("bytes").alias("bytes"), F.bool_and(whole).alias("relative"))
+    """A tree of one file per document: nested folders, hidden names, names with ``_`` and ``=``, empty files."""
+    root = files.qualified(spark, t.scratch(spark, "tree"))
+    t.write_tree(t.tree(spark, sf), root)
+    listing = files.read_listing(spark, root, [".png", ".txt", ".webp"], recursive=True)
+    inside = F.substring("path", len(root) + 2, 2**31 - 1)
+    return listing.select(inside.alias("path"), "rel_path", "category", "name", "ext", "bytes", F.col("mtime").isNotNull().alias("timed"))
 
 
 # --- projections --------------------------------------------------------------
@@ -415,6 +427,53 @@ def schedule_value(spark, sf):
     return o
 
 
+def _iterations(spark, sf, runs: str) -> DataFrame:
+    """Order lines as iterations of runs; over a third of them belong to run 0."""
+    run = F.when(F.col("l_linenumber") <= 2, F.lit(0).cast("bigint")).otherwise(F.expr(runs))
+    return t.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", run.alias("run"), F.col("l_orderkey").alias("iteration"))
+
+
+@query
+def schedule_asof(spark, sf):
+    """Orders as the steps of some hundred runs; equal starts, runs without steps, rows before the first step."""
+    steps = t.table(spark, sf, "orders").select(
+        (F.col("o_custkey") % 301 - 1).alias("run"), (F.col("o_orderkey") + 5000 - F.col("o_orderkey") % 7).alias("from_iter"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents")
+    )
+    iters = _iterations(spark, sf, "(l_suppkey * 7 + l_partkey) % 303 - 1")
+    return schedules.schedule_asof(iters, steps, values=("cents",), defaults={"cents": -1}, block_rows=5000)
+
+
+def _run_configs(spark, sf) -> DataFrame:
+    """A schedule for each supplier's run."""
+    n = F.col("s_suppkey")
+    return t.table(spark, sf, "supplier").select(
+        n.alias("run"), (n / 100).alias("base"), F.lit(0.5).alias("gamma"), F.lit(0.001).alias("eta_min"), (n % 5 * 300).alias("warmup"),
+        F.array(n % 4 * 1000 + 1000, n % 3 * 2000 + 2000, n % 4 * 1000 + 1000, n % 6 * 3000).alias("milestones"),
+        F.array(F.lit(0).cast("bigint"), n % 2 * 2000 + 2000).alias("restarts"), F.lit([1.0, 0.75]).alias("restart_weights"),
+        F.array(n % 3 * 1000 + 1000, F.lit(3000).cast("bigint"), n * 50 + 1).alias("periods"), F.lit([1.0, 0.5, 0.25]).alias("period_weights"),
+    )
+
+
+@query
+def schedule_multistep(spark, sf):
+    """Multi-step schedules with restarts, one per run, from a table; warm-up on top."""
+    configs = _run_configs(spark, sf)
+    steps = schedules.multistep_steps(configs).join(configs.select("run", "base", "warmup"), "run")
+    rows = schedules.schedule_asof(_iterations(spark, sf, "l_suppkey"), steps, values=("value", "base", "warmup"))
+    rate = schedules.warmed_up(F.col("value"), F.col("iteration"), F.col("base"), F.col("warmup"))
+    return rows.select("l_orderkey", "l_linenumber", "run", F.coalesce(r(rate, 9), F.lit(-1.0)).alias("rate"))
+
+
+@query
+def schedule_cosine(spark, sf):
+    """Cosine schedules with restarts, one per run, from a table; periods are closed on the right."""
+    configs = _run_configs(spark, sf).drop("restart_weights").withColumnRenamed("period_weights", "restart_weights")
+    rows = schedules.schedule_asof(
+        _iterations(spark, sf, "l_suppkey"), schedules.cosine_periods(configs), values=("begins", "length", "weight", "base", "eta_min"), strict=True
+    )
+    return rows.select("l_orderkey", "l_linenumber", "run", F.coalesce(r(schedules.cosine_rate(F.col("iteration")), 9), F.lit(-1.0)).alias("rate"))
+
+
 @query
 def nearest_code_blocked(spark, sf):
     """Blocks of about 640 numbers."""
@@ -947,10 +1006,11 @@ def stream_training_log(spark, sf):
 
 @query
 def stream_progress(spark, sf):
-    latest = progress.latest_progress(t.progress_events(t.stream(spark, sf, "events")), tie="event_id")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    latest = progress.stream_latest(t.progress_events(t.stream(spark, sf, "events")), tie="event_id")
     out, chk = t.scratch(spark, "progress"), t.scratch(spark, "progress-state")
     _drained(progress.stream_progress(latest, out, chk))
-    return progress.read_progress(spark, out)
+    return progress.read_progress(spark, out).withColumn("request", F.col("request").cast("bigint"))
 
 
 @query

@@ -173,7 +173,15 @@ O["write_manifest"] = with_(
     FROM (SELECT held.category, ext, row_number() OVER (ORDER BY order_key) AS k FROM held JOIN listing USING (doc_id))""",
 )
 O["write_holdout"] = with_("held", "SELECT rel_path AS path FROM held")
-O["read_listing"] = with_("listing", "SELECT 'category=' || category AS category, '.txt' AS ext, sum(strlen(rel_path) + 1)::BIGINT AS bytes, true AS relative FROM listing GROUP BY category")
+O["read_listing"] = with_(
+    "listing",
+    """, placed AS (SELECT bytes % 5 AS size, ext, CASE WHEN doc_id % 13 = 0 THEN NULL ELSE CASE WHEN doc_id % 4 = 0 THEN '_' ELSE '' END || source END AS folder,
+        CASE WHEN doc_id % 17 = 0 THEN '.git' WHEN doc_id % 3 = 0 THEN 'lang=' || lang WHEN doc_id % 3 = 1 THEN 'deep/_tmp/x' END AS deeper,
+        CASE WHEN doc_id % 7 = 0 THEN '_' WHEN doc_id % 11 = 0 THEN '.h_' ELSE '' END || name AS nm FROM listing JOIN (SELECT doc_id, lang, source FROM documents) USING (doc_id)),
+    whole AS (SELECT *, concat_ws('/', folder, CASE WHEN folder IS NOT NULL THEN deeper END, nm) AS path FROM placed)
+    SELECT path, path AS rel_path, coalesce(folder, '') AS category, nm AS name, ext, size AS bytes, true AS timed FROM whole
+    WHERE ext IN ('.png', '.txt', '.webp') AND path NOT LIKE '.%' AND path NOT LIKE '%/.%'""",
+)
 O["normalise_url"] = """SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://' || bare WHEN 1 THEN 'https://img.example.org/' || bare
     WHEN 2 THEN CASE WHEN bare LIKE 'http%' THEN bare ELSE 'https://img.example.org/' || bare END ELSE url END AS url
     FROM (SELECT page_id, url, regexp_replace(url, '^https?://', '') AS bare FROM pages)"""
@@ -294,6 +302,21 @@ O["schedule_value"] = f"""SELECT o_orderkey AS iteration,
     {r("CASE WHEN o_orderkey < 4000 THEN 2.0::DOUBLE WHEN o_orderkey < 8000 THEN 1.0 WHEN o_orderkey < 10000 THEN 0.25 WHEN o_orderkey < 12000 THEN 1.0 ELSE 0.5 END")} AS multistep,
     {r("CASE WHEN o_orderkey <= 5000 THEN 0.001 + 0.5 * 1.999::DOUBLE * (1 + cos(pi() * (o_orderkey / 5000))) WHEN o_orderkey <= 10000 THEN 0.001 + 0.25 * 1.999::DOUBLE * (1 + cos(pi() * ((o_orderkey - 5000) / 5000))) WHEN o_orderkey <= 15000 THEN 0.001 + 0.125 * 1.999::DOUBLE * (1 + cos(pi() * ((o_orderkey - 10000) / 5000))) END")} AS cosine,
     {r("CASE WHEN o_orderkey < 500 THEN 2.0::DOUBLE / 500 * o_orderkey ELSE 2.0 END")} AS warmup FROM orders"""
+_ITERATIONS = "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <= 2 THEN 0 ELSE {runs} END AS run, l_orderkey AS iteration FROM lineitem"
+O["schedule_asof"] = f"""WITH it AS ({_ITERATIONS.format(runs='(l_suppkey * 7 + l_partkey) % 303 - 1')}),
+    st AS (SELECT o_custkey % 301 - 1 AS run, o_orderkey + 5000 - o_orderkey % 7 AS from_iter, max(round(o_totalprice * 100)::BIGINT) AS cents FROM orders GROUP BY 1, 2)
+    SELECT l_orderkey, l_linenumber, it.run, iteration, coalesce(cents, -1) AS cents FROM it ASOF LEFT JOIN st ON it.run = st.run AND it.iteration >= st.from_iter"""
+_CONFIGS = """SELECT s_suppkey AS run, s_suppkey / 100 AS base, s_suppkey % 5 * 300 AS warmup, s_suppkey % 2 * 2000 + 2000 AS again,
+    [s_suppkey % 4 * 1000 + 1000, s_suppkey % 3 * 2000 + 2000, s_suppkey % 4 * 1000 + 1000, s_suppkey % 6 * 3000] AS marks,
+    s_suppkey % 3 * 1000 + 1000 AS p1, s_suppkey * 50 + 1 AS p3 FROM supplier"""
+_RATE = """CASE WHEN iteration < warmup THEN base / warmup * iteration ELSE base * CASE WHEN iteration >= again THEN 0.75::DOUBLE ELSE 1 END
+    * pow(0.5::DOUBLE, len(list_filter(marks, lambda m: m > CASE WHEN iteration >= again THEN again ELSE 0 END AND m <= iteration))) END"""
+O["schedule_multistep"] = f"""WITH it AS ({_ITERATIONS.format(runs='l_suppkey')}), c AS ({_CONFIGS})
+    SELECT l_orderkey, l_linenumber, it.run, coalesce({r(_RATE, 9)}, -1) AS rate FROM it LEFT JOIN c USING (run)"""
+O["schedule_cosine"] = f"""WITH it AS ({_ITERATIONS.format(runs='l_suppkey')}), c AS ({_CONFIGS}),
+    p AS (SELECT run, base, unnest([0, p1, p1 + 3000]) AS begins, unnest([p1, 3000, p3]) AS length, unnest([1.0::DOUBLE, 0.5, 0.25]) AS weight FROM c)
+    SELECT l_orderkey, l_linenumber, it.run, coalesce({r('0.001 + weight * 0.5 * (base - 0.001) * (1 + cos(pi() * ((iteration - begins) / length)))', 9)}, -1) AS rate
+    FROM it LEFT JOIN p ON it.run = p.run AND iteration > begins - CASE WHEN begins = 0 THEN 1 ELSE 0 END AND iteration <= begins + length"""
 O["nearest_code"] = with_("near", f"SELECT vec_id, code_id::BIGINT AS code_id, {r('distance')} AS distance FROM near")
 O["nearest_code_blocked"] = O["nearest_code"]
 O["resolve_presets"] = """SELECT event_id, ['Modern Portrait', 'Old Photo Restoration', 'Game / Anime Character', 'Custom'][k + 1] AS preset,

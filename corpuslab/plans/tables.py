@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.hashing import uniform
 from ..operators.ordering import shared_folder, widen
+from ..sources.files import arrow_system
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,31 @@ def listing(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
     return docs.select(*columns, *(["text"] if text else []))
 
 
+def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``file, size``: a path for each document below a folder to be made, with hidden, ``_`` and ``=`` parts."""
+    n = F.col("doc_id")
+    folder = F.when(n % 13 == 0, F.lit(None)).otherwise(F.concat(F.when(n % 4 == 0, F.lit("_")).otherwise(F.lit("")), F.col("category")))
+    lang = F.element_at(F.split("rel_path", "/"), 2)
+    inner = F.when(n % 17 == 0, F.lit(".git")).when(n % 3 == 0, F.concat(F.lit("lang="), lang)).when(n % 3 == 1, F.lit("deep/_tmp/x"))
+    name = F.concat(F.when(n % 7 == 0, F.lit("_")).when(n % 11 == 0, F.lit(".h_")).otherwise(F.lit("")), F.col("name"))
+    return listing(spark, sf_dir).select(F.concat_ws("/", folder, F.when(folder.isNotNull(), inner), name).alias("file"), (F.col("bytes") % 5).alias("size"))
+
+
+def write_tree(df: DataFrame, root: str) -> None:
+    """Make the files of :func:`tree` below ``root``, in tasks."""
+
+    def make(frames):
+        system, base = arrow_system(root)
+        for frame in frames:
+            for file, size in zip(frame["file"], frame["size"]):
+                system.create_dir(f"{base}/{file}".rpartition("/")[0], recursive=True)
+                with system.open_output_stream(f"{base}/{file}") as out:
+                    out.write(b"x" * size)
+            yield frame[["size"]]
+
+    widen(df).mapInPandas(make, "size bigint").agg(F.count("size")).collect()
+
+
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = widen(table(spark, sf_dir, "events"))
     n = F.col("event_id")

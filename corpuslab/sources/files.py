@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
+from ..operators.ordering import cut_lineage
+
+_ENTRY = "rel_path string, folder boolean, bytes bigint, ms bigint"
+#: Names of a file system for Hadoop and for Arrow, where they differ.
+ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
 
 def read_listing(
@@ -17,48 +24,105 @@ def read_listing(
     suffixes: Iterable[str] | None = None,
     recursive: bool = False,
 ) -> DataFrame:
-    """One row per file under ``path``. File contents are never read: the column is pruned.
+    """One row per file under ``path``: ``path, rel_path, category, name, ext, bytes, mtime``.
+
+    Nothing is opened. Names that start with ``.`` are skipped, files and folders alike; all others are
+    listed, empty files and names that start with ``_`` or hold an equals sign included. ``category`` is the
+    first folder, or empty. A path that is no folder is an error, an empty folder gives no rows.
 
-    Names in a hidden folder (``.``) are skipped. Spark's file sources list neither names that start with
-    ``_`` nor empty files; those are looked up through the file system and added.
+    Folders are listed in tasks, a level of the tree per round; the folders found are the rows of the next
+    round. Only a count per round reaches the driver. The files of one folder are listed by one task.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    root, unlisted = _unlisted(spark, path, recursive)
-    files = reader.load(path).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime"))
-    if unlisted:
-        more = spark.createDataFrame(unlisted, "path string, bytes bigint, ms bigint")
-        files = files.unionByName(more.select("path", "bytes", F.timestamp_millis("ms").alias("mtime")))
-    rel = F.substring(F.col("path"), len(root) + 2, 2**31 - 1)
-    files = files.withColumn("rel_path", rel)
-    listing = files.select(
-        "path",
-        "rel_path",
-        F.regexp_extract("rel_path", r"^([^/]+)/", 1).alias("category"),
-        text.basename(F.col("path")).alias("name"),
-        text.suffix(F.col("path")).alias("ext"),
+    root = qualified(spark, path)
+    found = _levels(spark, root, recursive) if _arrow_reaches(root) else [_driver_listing(spark, root, recursive)]
+    entries = found[0]
+    for level in found[1:]:
+        entries = entries.unionByName(level)
+    rel = F.col("rel_path")
+    full = F.concat(F.lit(root + "/"), rel)
+    listing = entries.where(~F.col("folder")).select(
+        full.alias("path"),
+        rel,
+        F.regexp_extract(rel, r"^([^/]+)/", 1).alias("category"),
+        text.basename(rel).alias("name"),
+        text.suffix(rel).alias("ext"),
         "bytes",
-        "mtime",
+        F.timestamp_millis("ms").alias("mtime"),
     )
-    if not recursive:
-        listing = listing.where(F.instr("rel_path", "/") == 0)
-    if suffixes is not None:
-        listing = listing.where(F.col("ext").isin([s.lower() for s in suffixes]))
-    return listing.where(~F.col("rel_path").rlike(r"(^|/)\."))
+    return listing if suffixes is None else listing.where(F.col("ext").isin([s.lower() for s in suffixes]))
 
 
-def _unlisted(spark: SparkSession, path: str, recursive: bool) -> tuple[str, list[tuple[str, int, int]]]:
-    """The qualified root, and path, size and time of empty files below it and of those with a part that starts with ``_``."""
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme and host that its file system gives it."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    root = system.makeQualified(folder).toString().rstrip("/")
-    found, files = [], system.listFiles(folder, recursive)
-    while files.hasNext():
-        status = files.next()
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString().rstrip("/")
+
+
+def arrow_system(root: str) -> tuple[fs.FileSystem, str]:
+    scheme, _, rest = root.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(f"{ARROW_SCHEMES.get(scheme, scheme)}:{rest}")
+
+
+def _arrow_reaches(root: str) -> bool:
+    try:
+        arrow_system(root)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+    return True
+
+
+def _levels(spark: SparkSession, root: str, recursive: bool) -> list[DataFrame]:
+    """What stands in ``root``, in its folders, in theirs: a written table for each level."""
+    frontier, folders, levels = spark.createDataFrame([("",)], "folder string"), 1, []
+    while folders:
+        tasks = min(folders, 4 * spark.sparkContext.defaultParallelism)
+        levels.append(cut_lineage(frontier.repartition(tasks).mapInArrow(_listed(root), _ENTRY)))
+        if not recursive:
+            break
+        frontier = levels[-1].where("folder").select(F.col("rel_path").alias("folder"))
+        folders = frontier.count()
+    return levels
+
+
+def _listed(root: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = arrow_system(root)
+        for batch in batches:
+            for folder in batch.column("folder").to_pylist():
+                inside = f"{base}/{folder}".rstrip("/")
+                infos = system.get_file_info(fs.FileSelector(inside or "/"))
+                infos = [i for i in infos if not i.base_name.startswith(".")]
+                files = [i.type == fs.FileType.File for i in infos]
+                columns = [
+                    pa.array([f"{folder}/{i.base_name}".lstrip("/") for i in infos], pa.string()),
+                    pa.array([not f for f in files], pa.bool_()),
+                    pa.array([i.size if f else None for i, f in zip(infos, files)], pa.int64()),
+                    pa.array([None if i.mtime_ns is None else i.mtime_ns // 1_000_000 for i in infos], pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["rel_path", "folder", "bytes", "ms"])
+
+    return run
+
+
+def _driver_listing(spark: SparkSession, root: str, recursive: bool) -> DataFrame:
+    """For file systems that only Hadoop knows: Spark lists in tasks, but for what its sources skip."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true" if recursive else "false")
+    files = reader.load(root).select(F.col("path"), F.col("length").alias("bytes"), F.unix_millis("modificationTime").alias("ms"))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    statuses, more = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, recursive), []
+    while statuses.hasNext():
+        status = statuses.next()
         name = status.getPath().toString()
         # Spark lists a part with an equals sign: it may be a partition.
         if not status.getLen() or any(part.startswith("_") and "=" not in part for part in name[len(root) + 1 :].split("/")):
-            found.append((name, status.getLen(), status.getModificationTime()))
-    return root, found
+            more.append((name, status.getLen(), status.getModificationTime()))
+    if more:
+        files = files.unionByName(spark.createDataFrame(more, "path string, bytes bigint, ms bigint"))
+    entries = files.select(F.substring("path", len(root) + 2, 2**31 - 1).alias("rel_path"), F.lit(False).alias("folder"), "bytes", "ms")
+    entries = entries.where(~F.col("rel_path").rlike(r"(^|/)\."))
+    return entries if recursive else entries.where(F.instr("rel_path", "/") == 0)
 
 
 def read_first_available(spark: SparkSession, uris: list[str], fmt: str = "parquet", **options) -> tuple[DataFrame, str]:

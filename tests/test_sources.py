@@ -28,9 +28,48 @@ def test_listing(spark, tree):
     assert (row["category"], row["name"], row["ext"], row["bytes"]) == ("cats", "c.b.jpg", ".jpg", 12)
 
 
-def test_listing_never_reads_contents(spark, tree):
+def test_listing_never_reads_contents(spark, tree, monkeypatch):
+    monkeypatch.setattr("builtins.open", lambda *a, **k: pytest.fail("a file was opened on the driver"))
     plan = files.read_listing(spark, tree, recursive=True)._jdf.queryExecution().executedPlan().toString()
-    assert "content" not in plan.split("ReadSchema")[1]
+    assert "content" not in plan
+
+
+def test_listing_of_odd_trees(spark, tmp_path):
+    for name in ("_a/b=1/.c/x.png", "_a/b=1/_x.png", "_a/.x.png", "a=b.png", "e/empty.png", "_SUCCESS", "ü/ö ä.png"):
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(b"" if name == "e/empty.png" else b"xy")
+    (tmp_path / "nothing").mkdir()
+    rows = {r["rel_path"]: r for r in files.read_listing(spark, str(tmp_path), recursive=True).collect()}
+    assert {k: v["bytes"] for k, v in rows.items()} == {"_a/b=1/_x.png": 2, "a=b.png": 2, "e/empty.png": 0, "_SUCCESS": 2, "ü/ö ä.png": 2}
+    assert rows["_a/b=1/_x.png"]["path"] == f"file:{tmp_path}/_a/b=1/_x.png" and rows["_SUCCESS"]["ext"] == ""
+    assert rows["a=b.png"]["mtime"].timestamp() == pytest.approx((tmp_path / "a=b.png").stat().st_mtime, abs=0.002)
+    assert sorted(r["rel_path"] for r in files.read_listing(spark, str(tmp_path)).collect()) == ["_SUCCESS", "a=b.png"]
+    assert files.read_listing(spark, str(tmp_path / "nothing"), recursive=True).collect() == []
+    with pytest.raises(Exception):
+        files.read_listing(spark, str(tmp_path / "absent")).collect()
+
+
+def test_listing_brings_no_file_to_the_driver(spark, tmp_path, monkeypatch):
+    """Two hundred folders, four levels: one job a level, and only counts come back."""
+    for k in range(200):
+        folder = tmp_path / f"a{k % 10}" / f"b{k % 20}" / f"c{k}"
+        folder.mkdir(parents=True)
+        (folder / "f.txt").write_text("x")
+    seen = []
+    levels = files._levels
+    monkeypatch.setattr(files, "_levels", lambda *a: seen.append(levels(*a)) or seen[-1])
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda self: pytest.fail("rows were brought to the driver"))
+    listing = files.read_listing(spark, str(tmp_path), recursive=True)
+    monkeypatch.undo()
+    assert len(seen[0]) == 4 and listing.count() == 200
+
+
+def test_listing_where_only_hadoop_reaches(spark, tree):
+    root = files.qualified(spark, tree)
+    found = files._driver_listing(spark, root, True)
+    assert sorted(r["rel_path"] for r in found.collect()) == ["a.png", "b.PNG", "cats/c.b.jpg", "cats/deep/d.jpg", "n.txt"]
+    assert not files._arrow_reaches("viewfs://x/y") and files._arrow_reaches("file:/tmp")
 
 
 def test_first_available(spark, tmp_path):
@@ -126,6 +165,8 @@ def test_packed_store(spark, tmp_path):
     store.write_packed(df, path, 3)
     keys = spark.createDataFrame([("k03",), ("k19",), ("nope",)], "key string")
     assert sorted((r["key"], bytes(r["payload"])) for r in store.read_store(spark, path, keys).collect()) == [("k03", b"\x03"), ("k19", b"\x13")]
+    again = keys.unionByName(keys).unionByName(spark.createDataFrame([(None,)], "key string"))
+    assert store.read_store(spark, path, again).count() == 2
     with pytest.raises(ValueError, match="unique"):
         store.write_packed(df.unionByName(df.limit(1)), str(tmp_path / "again"))
 

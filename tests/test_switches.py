@@ -84,16 +84,57 @@ def test_listing_paths_and_underscored_names(spark, tmp_path):
     assert {r["name"] for r in files.read_listing(spark, root + "/", [".png"]).collect()} == {"_2.png", "3.PNG"}
 
 
-def test_store_lookup_pushes_the_range_of_the_keys(spark, tmp_path):
+def _rows_scanned(df) -> tuple[int, str]:
+    """Rows and files of the store's scan, and the plan that ran."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    text, found, todo = plan.toString(), 0, [plan]
+    while todo:
+        node = todo.pop()
+        if "AdaptiveSparkPlan" in node.nodeName():
+            todo.append(node.executedPlan())
+            continue
+        if node.nodeName().startswith("Scan parquet") and "payload" in node.toString():
+            found += node.metrics().apply("numOutputRows").value()
+        if "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+        children = node.children()
+        todo += [children.apply(k) for k in range(children.size())]
+    return found, text
+
+
+def test_store_lookup_reads_the_buckets_of_the_keys(spark, tmp_path):
     path = str(tmp_path / "store")
-    df = spark.range(1000).select(F.format_string("%05d", "id").alias("key"), F.encode(F.col("id").cast("string"), "UTF-8").alias("payload"))
-    store.write_packed(df, path, 4)
-    keys = spark.createDataFrame([("00010",), ("00020",)], "key string")
+    df = spark.range(2000).select(F.format_string("%05d", "id").alias("key"), F.encode(F.col("id").cast("string"), "UTF-8").alias("payload"))
+    store.write_packed(df, path, 50)
+    keys = spark.createDataFrame([("00003",), ("01990",)], "key string")
     found = store.read_store(spark, path, keys)
-    assert sorted(r["key"] for r in found.collect()) == ["00010", "00020"]
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(key,00010)" in plan and "LessThanOrEqual(key,00020)" in plan
+    assert sorted(r["key"] for r in found.collect()) == ["00003", "01990"]
+    rows, plan = _rows_scanned(store.read_store(spark, path, keys))
+    assert "dynamicpruning" in plan.lower()
+    sizes = {r["bucket"]: r["count"] for r in spark.read.parquet(path).groupBy("bucket").count().collect()}
+    wanted = {r["b"] for r in keys.select(store.bucket_of(F.col("key"), 50).alias("b")).collect()}
+    assert len(wanted) == 2 and rows == sum(sizes[b] for b in wanted) < 200
     assert store.read_store(spark, path, keys.limit(0)).count() == 0
+    # More keys than Spark would broadcast: the buckets still prune.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, plan = _rows_scanned(store.read_store(spark, path, keys))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows == sum(sizes[b] for b in wanted) and "SortMergeJoin" in plan
+
+
+def test_store_chooses_its_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "BUCKET_ROWS", 10)
+    monkeypatch.setattr(store, "MAX_BUCKETS", 8)
+    df = spark.range(300).select(F.col("id").cast("string").alias("key"), F.lit(b"x").alias("payload"))
+    path = str(tmp_path / "store")
+    store.write_packed(df, path)
+    stored = spark.read.parquet(path)
+    assert stored.select("of_buckets").distinct().collect() == [(8,)] and stored.count() == 300
+    assert store.read_store(spark, path, df.select("key")).count() == 300
+    store.write_packed(df.limit(0), str(tmp_path / "none"))
 
 
 def test_windows_keep_their_length(spark):

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry
-from .ordering import cut_lineage
+from .ordering import cut_lineage, join_facts
 from .ranking import take_per_group
 
 CORNERS = ("x1", "y1", "x2", "y2")
@@ -14,6 +16,9 @@ CORNERS = ("x1", "y1", "x2", "y2")
 # A prior table up to this many rows (a few MB) may be broadcast.
 MAX_BROADCAST_PRIORS = 100_000
 
+#: Boxes of one side of a cell that are compared in one task.
+CELL_ROWS = 2048
+
 
 def _cell_size(*tables: DataFrame) -> tuple[Column, Column]:
     """Grid cell = the larger root mean square box side of the tables, read in one aggregate.
@@ -51,8 +56,12 @@ def box_overlap(a: DataFrame, b: DataFrame, kind: str = "iou", on: tuple[str, ..
     return scored.where(F.col("overlap") > min_overlap).select(*on, "a_idx", "b_idx", "overlap")
 
 
-def _met_pairs(left: DataFrame, right: DataFrame, on: tuple[str, ...], kind: str, cell: tuple[Column, Column], wrap=lambda df: df) -> DataFrame:
-    """Pairs of ``a_`` and ``b_`` boxes that share area, each once, with ``overlap``."""
+def _met_pairs(left: DataFrame, right: DataFrame, on: tuple[str, ...], kind: str, cell: tuple[Column, Column], wrap=None) -> DataFrame:
+    """Pairs of ``a_`` and ``b_`` boxes that share area, each once, with ``overlap``.
+
+    Boxes meet in cells. A crowded cell is dealt in parts of ``CELL_ROWS`` boxes of either side, and every part of
+    one side meets every part of the other as a key of its own, so its pairs are formed in many tasks.
+    """
     abox = tuple(F.col(f"a_{c}") for c in CORNERS)
     bbox = tuple(F.col(f"b_{c}") for c in CORNERS)
     left = _spread(left, tuple(f"a_{c}" for c in CORNERS), *cell)
@@ -60,10 +69,35 @@ def _met_pairs(left: DataFrame, right: DataFrame, on: tuple[str, ...], kind: str
     here = (F.col("_cx") == F.floor(F.greatest(abox[0], bbox[0]) / cell[0])) & (
         F.col("_cy") == F.floor(F.greatest(abox[1], bbox[1]) / cell[1])
     )
-    met = left.join(wrap(right), [*on, "_cx", "_cy"]).where(here & (geometry.intersection(abox, bbox) > 0))
+    keys = [*on, "_cx", "_cy"]
+    if wrap is None:
+        left, right, parts = _dealt(left, right, keys)
+        met = left.join(right, [*keys, *parts])
+    else:
+        met = left.join(wrap(right), keys)
+    met = met.where(here & (geometry.intersection(abox, bbox) > 0))
     return met.withColumn("overlap", geometry.overlap_ratio(abox, bbox, kind))
 
 
+def _dealt(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with the parts of their cells, where a cell is crowded; cells of one side only are dropped then."""
+    side = lambda df, a, b: df.select(*keys, F.lit(a).alias("a"), F.lit(b).alias("b"))
+    cells = side(left, 1, 0).unionByName(side(right, 0, 1)).groupBy(*keys).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    cells = cut_lineage(cells.where("a > 0 AND b > 0"))
+    if (cells.agg(F.max(F.greatest("a", "b"))).first()[0] or 0) <= CELL_ROWS:
+        return left, right, []
+    parts = cells.select(*keys, *[F.ceil(F.col(c) / CELL_ROWS).cast("int").alias(f"_p{c}") for c in "ab"], *[F.col(c).alias(f"_n{c}") for c in "ab"])
+
+    def deal(df: DataFrame, own: str, other: str) -> DataFrame:
+        placed = join_facts(df, parts, keys, f"_n{own}")
+        # A part by the box itself: any even spread will do.
+        mine = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if df.schema[c].dataType.typeName() not in ("struct", "array", "map")]), F.col(f"_p{own}")).alias(f"_part_{own}")
+        theirs = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"_p{other}").cast("bigint") - 1)).alias(f"_part_{other}")
+        return placed.select(*df.columns, mine, theirs)
+
+    return deal(left, "a", "b"), deal(right, "b", "a"), ["_part_a", "_part_b"]
+
+
 def prior_grid(spark, image_h: int, image_w: int, steps: list[int], min_sizes: list[list[int]]) -> DataFrame:
     """Centre-size priors of a detector, relative to the image, numbered by level, row, column, size."""
     levels = [(k, step, -(-image_h // step), -(-image_w // step), sizes) for k, (step, sizes) in enumerate(zip(steps, min_sizes))]
@@ -100,7 +134,8 @@ def match_priors(truth: DataFrame, priors: DataFrame, threshold: float = 0.35, m
     if not size["n"]:
         raise ValueError("no priors given")
     # a checked size: a detector's priors are broadcast, a larger table is joined by shuffle
-    small = F.broadcast if size["n"] <= MAX_BROADCAST_PRIORS else (lambda df: df)
+    few = size["n"] <= MAX_BROADCAST_PRIORS
+    small = F.broadcast if few else (lambda df: df)
     corners = priors.select(
         F.col("prior_id").alias("det_idx"),
         *[v.alias(k) for k, v in geometry.centre_to_corners(*[F.col(c) for c in ("cx", "cy", "w", "h")]).items()],
@@ -109,8 +144,9 @@ def match_priors(truth: DataFrame, priors: DataFrame, threshold: float = 0.35, m
     whole = truth.select("img", "det_idx", *CORNERS, F.struct("det_idx", *carried).alias("_t"))
     # priors are the same for every image, so pairs meet on the grid cell alone
     side = lambda df, tag: df.select(*[F.col(c).cast("double").alias(f"{tag}_{c}") for c in CORNERS], *[c for c in df.columns if c not in CORNERS])
-    met = _met_pairs(side(whole, "a"), side(corners.withColumnRenamed("det_idx", "prior_id"), "b"), (), "iou", _cell_size(truth, corners), small)
-    pairs = met.select("img", "det_idx", "prior_id", "overlap", "_t")
+    met = _met_pairs(side(whole, "a"), side(corners.withColumnRenamed("det_idx", "prior_id"), "b"), (), "iou", _cell_size(truth, corners), small if few else None)
+    # Both aggregates below read the pairs.
+    pairs = cut_lineage(met.select("img", "det_idx", "prior_id", "overlap", "_t"))
 
     # best prior per truth; a truth that meets none falls to the first prior with overlap 0
     none = F.struct(F.lit(0.0).alias("overlap"), F.lit(0).cast("bigint").alias("neg"))
@@ -226,49 +262,88 @@ def _keep_sorted(slim: DataFrame, limit: float) -> DataFrame:
     return ranked.mapInPandas(run, slim.select("img", "det_idx").schema)
 
 
-def _suppress_crowded(boxes: DataFrame, limit: float, group_cap: int) -> DataFrame:
-    """The same result for groups of any size, in rounds over grid cells.
+KEPT, GONE = 1, 2
+#: Side of the first tiles in box sides (root mean square).
+TILE_SIDES = 8
+
 
-    In a round, a box that has the best score in every cell it touches outranks all boxes it could
-    overlap, so it is kept for certain; it then removes the boxes it overlaps. A cell has at most
-    one such box, hence the join that removes never multiplies rows. Each round is checkpointed.
-    The rest is finished greedily once it is small. A box without area, or with a null corner, overlaps
-    none, so it is kept at once. The best box left always leads, so every round decides one at least.
+def _decide(box: np.ndarray, inside: np.ndarray, known: np.ndarray, limit: float) -> np.ndarray:
+    """What is certain about the boxes of a tile, in rank order: KEPT, GONE or 0.
+
+    All boxes that overlap one which lies ``inside`` the tile are here, so it is kept if nothing before it that
+    may be kept overlaps it. Boxes that reach beyond the tile are in doubt, and so are those they overlap.
+    """
+    code, doubt, left = np.zeros(len(box), np.int8), np.zeros(len(box), bool), np.arange(len(box))
+    while len(left):
+        first, rest = left[0], left[1:]
+        hit = _hits(box[rest], box[first : first + 1], limit)
+        if known[first] or (inside[first] and not doubt[first]):
+            code[first], code[rest[hit]] = KEPT, GONE
+            left = rest[~hit]
+        else:
+            doubt[rest[hit]] = True
+            left = rest
+    return code
+
+
+def _decide_tiles(limit: float):
+    """Rows arrive per (img, tile) by rank; a tile that goes on in the next batch waits for it."""
+
+    def run(batches):
+        waiting = None
+        for rows in batches:
+            rows = rows if waiting is None else pd.concat([waiting, rows], ignore_index=True)
+            if not len(rows):
+                continue
+            key = rows[["img", "_tx", "_ty"]]
+            cuts = np.flatnonzero((key != key.shift()).any(axis=1).to_numpy())
+            waiting = rows.iloc[cuts[-1] :]
+            yield decided(rows.iloc[: cuts[-1]], cuts[:-1])
+        if waiting is not None:
+            yield decided(waiting, np.zeros(1, int))
+
+    def decided(rows, cuts):
+        box = rows[["_x1", "_y1", "_x2", "_y2"]].to_numpy(dtype=float)
+        inside, known = rows["_in"].to_numpy(dtype=bool), rows["_known"].to_numpy(dtype=bool)
+        ends = [*cuts[1:], len(rows)]
+        codes = [_decide(box[a:b], inside[a:b], known[a:b], limit) for a, b in zip(cuts, ends)]
+        out = rows.drop(columns=["_tx", "_ty", "_in"]).assign(_code=np.concatenate([np.empty(0, np.int8), *codes]).astype(int))
+        return out[~known]
+
+    return run
+
+
+def _suppress_crowded(boxes: DataFrame, limit: float) -> DataFrame:
+    """The same result for groups of any size, in rounds over tiles.
+
+    Every tile decides what it can of the boxes that touch it. What stays in doubt meets in the next round, with
+    the boxes kept in this one, in tiles moved by half a side, then in larger ones. So a round leaves the boxes
+    near tile borders only, and the number of rounds is bounded by the logarithm of the extent. Two shuffles
+    and one written table a round. A box without area, or with a null corner, overlaps none, so it is kept at once.
     """
     corners = _SLIM[3:]
     solid = F.coalesce((F.col("_x2") > F.col("_x1")) & (F.col("_y2") > F.col("_y1")), F.lit(False))
-    undecided = cut_lineage(boxes.where(solid).select(*_SLIM))
     kept = boxes.where(~solid).select("img", "det_idx")
-    before = None
+    left = boxes.where(solid).select(*_SLIM, F.lit(False).alias("_known"))
+    cell_w, cell_h = _cell_size(left.select(*[F.col(f"_{c}").alias(c) for c in CORNERS]))
+    x1, y1, x2, y2 = (F.col(c) for c in corners)
+    turn = 0
     while True:
-        left = undecided.count()
-        if left == before:
-            raise RuntimeError(f"a round decided none of {left} boxes")
-        before = left
-        if left <= group_cap:
-            rest = _keep_sorted(undecided, limit)
-            return kept.unionByName(rest)
-        cell_w, cell_h = _cell_size(undecided.select(*[F.col(f"_{c}").alias(c) for c in CORNERS]))
-        cells = _spread(undecided, corners, cell_w, cell_h)
-        x1, y1, x2, y2 = (F.col(c) for c in corners)
-        touched = (F.floor(x2 / cell_w) - F.floor(x1 / cell_w) + 1) * (F.floor(y2 / cell_h) - F.floor(y1 / cell_h) + 1)
-        tops = cells.groupBy("img", "_cx", "_cy").agg(
-            F.max(F.struct("score", (-F.col("det_idx")).alias("neg"), touched.alias("touched"), *corners)).alias("top")
-        )
-        leaders = (
-            tops.groupBy("img", (-F.col("top.neg")).alias("_lead"), "top.touched", *[F.col(f"top.{c}").alias(f"_l{c}") for c in corners])
-            .agg(F.count(F.lit(1)).alias("won"))
-            .where(F.col("won") == F.col("touched"))
-            .select("img", "_lead", *[f"_l{c}" for c in corners])
-        )
-        leaders = cut_lineage(leaders)
-        lead_cells = _spread(leaders, tuple(f"_l{c}" for c in corners), cell_w, cell_h)
-        ratio = geometry.overlap_ratio(tuple(F.col(c) for c in corners), tuple(F.col(f"_l{c}") for c in corners))
-        gone = (F.col("det_idx") == F.col("_lead")) | (ratio > limit)
-        decided = cells.join(lead_cells, ["img", "_cx", "_cy"]).where(gone).select("img", "det_idx").distinct()
-        chosen = leaders.select("img", F.col("_lead").alias("det_idx"))
-        kept = kept.unionByName(chosen)
-        undecided = cut_lineage(undecided.join(decided, ["img", "det_idx"], "left_anti").select(*_SLIM))
+        sides = [c * float(TILE_SIDES * 2 ** (turn // 2)) for c in (cell_w, cell_h)]
+        shift = F.lit(0.5 if turn % 2 else 0.0)
+        low, high = ([F.floor(v / side + shift) for v, side in zip(point, sides)] for point in ((x1, y1), (x2, y2)))
+        tiled = left.withColumn("_in", (low[0] == high[0]) & (low[1] == high[1]))
+        tiled = tiled.withColumn("_tx", F.explode(F.sequence(low[0], high[0]))).withColumn("_ty", F.explode(F.sequence(low[1], high[1])))
+        tiled = tiled.repartition("img", "_tx", "_ty").sortWithinPartitions("img", "_tx", "_ty", F.desc("score"), "det_idx")
+        schema = T.StructType([*left.schema.fields, T.StructField("_code", T.IntegerType())])
+        found = tiled.select(*left.columns, "_tx", "_ty", "_in").mapInPandas(_decide_tiles(limit), schema)
+        best = found.groupBy("img", "det_idx").agg(F.max("_code").alias("_code"), *[F.first(c).alias(c) for c in _SLIM[2:]])
+        best = cut_lineage(best)
+        kept = kept.unionByName(best.where(F.col("_code") == KEPT).select("img", "det_idx"))
+        if best.where("_code = 0").isEmpty():
+            return kept
+        left = best.where(F.col("_code") != GONE).select(*_SLIM, (F.col("_code") == KEPT).alias("_known"))
+        turn += 1
 
 
 def suppress(
@@ -297,7 +372,7 @@ def suppress(
     crowded = slim.groupBy("img").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > group_cap).select("img")
     if crowded.limit(1).collect():
         calm, dense = slim.join(crowded, "img", "left_anti"), slim.join(crowded, "img", "left_semi")
-        chosen = _keep_sorted(calm.select(*_SLIM), iou).unionByName(_suppress_crowded(dense, iou, group_cap))
+        chosen = _keep_sorted(calm.select(*_SLIM), iou).unionByName(_suppress_crowded(dense, iou))
     else:
         chosen = _keep_sorted(slim, iou)
     kept = moved.join(chosen, ["img", "det_idx"], "left_semi")

@@ -11,6 +11,9 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
@@ -62,7 +65,8 @@ def order_bounds(df: DataFrame, column: str, blocks: int | None = None) -> list:
     kind = df.schema[column].dataType
     if isinstance(kind, T.NumericType) or isinstance(kind, (T.DateType, T.TimestampType)):
         shares = [i / blocks for i in range(1, blocks)]
-        row = df.agg(F.percentile_approx(column, shares, 10 * blocks).alias("cuts")).first()
+        # Sketches of many tasks are merged, which widens their error: far finer than the blocks.
+        row = df.agg(F.percentile_approx(column, shares, max(10_000, 50 * blocks)).alias("cuts")).first()
         return sorted(set(row["cuts"] or []))
     minima = (
         df.select(column)
@@ -130,6 +134,26 @@ def position_by(df: DataFrame, order: str, group: list[str] | None = None, out:
     return dense_position(df, [order], block_by_bounds(F.col(order), bounds), group, out)
 
 
+#: Keys that hold more than one part in so many of all rows are hot; there are fewer of them than this.
+HOT_PARTS = 1024
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, on: Sequence[str], size: str, hot_parts: int = HOT_PARTS) -> DataFrame:
+    """Inner join of many rows to one written fact row per key; ``size`` is how many rows the key holds.
+
+    Spark deals a shuffled key to one task, and does not split it where the other side is an aggregate. So the
+    facts of hot keys, fewer than ``hot_parts``, are sent to all tasks and their rows stay where they are; the
+    rows of all other keys are joined as Spark sees fit. Null keys meet nothing. ``rows`` are read twice.
+    """
+    total = facts.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) * hot_parts > total
+    named = [F.col(c).alias(f"_hot_{c}") for c in on]
+    met = rows.join(F.broadcast(facts.where(hot)), list(on))
+    few = F.broadcast(facts.where(hot).select(*named))
+    calm = rows.join(few, reduce(and_, (F.col(c) == F.col(f"_hot_{c}") for c in on)), "left_anti")
+    return met.unionByName(calm.join(facts.where(~hot), list(on)))
+
+
 def group_limit_threshold(df: DataFrame) -> int:
     """Largest ``row_number() <= n`` that Spark trims before the shuffle."""
     return int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpuslab.operators import boxes
 
@@ -136,3 +137,49 @@ def test_one_box_per_image_ties_go_to_the_first(spark):
     assert boxes.largest_box(df).collect()[0]["det_idx"] == 0
     assert boxes.center_box(df.where("det_idx < 2")).collect()[0]["det_idx"] == 0
     assert boxes.center_box(df, (0.0, 0.0)).collect()[0]["det_idx"] == 1
+
+
+def _tables_written(monkeypatch):
+    seen, cut = [], boxes.cut_lineage
+    monkeypatch.setattr(boxes, "cut_lineage", lambda df: seen.append(cut(df)) or seen[-1])
+    return seen
+
+
+def test_suppression_across_tiles_takes_few_rounds(spark, monkeypatch):
+    """A chain over many tiles, each box overlapping the next, and a field of boxes around it."""
+    seen = _tables_written(monkeypatch)
+    chain = [("a", k, 6.0 * k, 0.0, 6.0 * k + 10.0, 10.0, 1 - k / 1000, 0) for k in range(600)]
+    field = [(i, 1000 + d, x1, y1 + 40, x2, y2 + 40, s, c) for i, d, x1, y1, x2, y2, s, c in make(800, spread=2000, sizes=(2, 12), seed=3)]
+    rows = chain + field
+    got = boxes.suppress(spark.createDataFrame(rows, SCHEMA), 0.2, group_cap=10)
+    assert sorted(r["det_idx"] for r in got.collect()) == brute(rows, 0.2)
+    assert 1 < len(seen) <= 14
+
+
+def test_tiles_meet_in_small_batches_and_with_huge_boxes(spark):
+    rows = make(150, spread=400, sizes=(1, 20), seed=9) + [("a", 900, -1e6, -1e6, 1e6, 1e6, 0.5, 0), ("a", 901, -1e6, -1e6, 1e6, 1e6 + 1, 0.4, 0)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = [r["det_idx"] for r in boxes.suppress(spark.createDataFrame(rows, SCHEMA), 0.3, group_cap=10).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert sorted(got) == brute(rows, 0.3)
+
+
+def test_a_crowded_cell_is_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(boxes, "CELL_ROWS", 16)
+    rows = [("hot", k, 1.0 + k / 1000, 1.0, 5.0, 5.0, 0.5, 0) for k in range(150)] + [("b", 500 + k, 9.0 * k, 0.0, 9.0 * k + 5, 5.0, 0.5, 0) for k in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = boxes.box_overlap(df, df)
+        tasks = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+        found = {(r["a_idx"], r["b_idx"]) for r in pairs.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found == {(a, b) for a in range(150) for b in range(150)} | {(k, k) for k in range(500, 560)}
+    assert sum(tasks) == 150 * 150 + 60 and len(tasks) > 16 and max(tasks) < 4000

@@ -6,7 +6,12 @@ re-execution, which ``rand(seed)`` is not.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+#: Rounds of the keyed permutation.
+ROUNDS = 4
 
 
 def _col(value: Column | str) -> Column:
@@ -48,3 +53,37 @@ def choose(key: Column | str, tag: str, weighted: list[tuple[str, float]], seed:
 def order_key(key: Column | str, seed: int) -> Column:
     """Hex sha256 of "seed:key"; ordering by it is a reproducible shuffle."""
     return F.sha2(F.concat(F.lit(f"{seed}:"), _col(key).cast("string")), 256)
+
+
+def whole(key: Column | str, tag: str, seed: int = 0) -> Column:
+    """Whole number below 2^60: the first 60 bits of sha256("seed:key:tag")."""
+    text = F.concat_ws(":", F.lit(str(seed)), _col(key).cast("string"), F.lit(tag))
+    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("bigint")
+
+
+def permuted(df: DataFrame, index: str, size: int, tag: str, seed: int = 0, out: str = "position") -> DataFrame:
+    """Adds the place of ``index`` (0 to ``size - 1``) in a seeded permutation of as many places.
+
+    A place is arithmetic on its index alone, so nothing is sorted or shuffled. The index is a pair of digits in
+    bases ``a`` and ``b``, both about the square root of ``size``; a round adds a hash of one digit to the other,
+    which can be undone, so the pairs are permuted. There are fewer than ``a`` pairs beyond ``size``; an index that
+    lands on one goes on from there until it is inside, after ``a`` steps at most.
+    """
+    a = max(1, math.isqrt(max(0, size - 1)) + 1)
+    b = max(1, -(-size // a))
+    div = lambda x: F.floor((x - F.pmod(x, F.lit(b))) / b).cast("bigint")
+    high, low, place = (f"_{out}_{c}" for c in ("high", "low", "place"))
+    first = df.withColumns({high: div(F.col(index)), low: F.pmod(F.col(index), F.lit(b)).cast("bigint")})
+    for k in range(ROUNDS):
+        one, other, base = (high, low, a) if k % 2 == 0 else (low, high, b)
+        first = first.withColumn(one, F.pmod(F.col(one) + whole(other, f"{tag}{k}", seed), F.lit(base)))
+
+    def again(x: Column) -> Column:
+        digits = [div(x), F.pmod(x, F.lit(b))]
+        for k in range(ROUNDS):
+            digits[k % 2] = F.pmod(digits[k % 2] + whole(digits[1 - k % 2], f"{tag}{k}", seed), F.lit((a, b)[k % 2]))
+        return digits[0] * b + digits[1]
+
+    first = first.withColumn(place, F.col(high) * b + F.col(low))
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(a)), F.col(place), lambda x, _: F.when(x < size, x).otherwise(again(x)))
+    return first.withColumn(out, F.when(F.col(place) < size, F.col(place)).otherwise(walk)).drop(high, low, place)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text
-from .ordering import block_by_bounds, cut_lineage, dense_position, order_bounds
+from .ordering import block_by_bounds, cut_lineage, dense_position, join_facts, order_bounds
+
+#: Share of a group on either side of its middle that the bracket of a median holds, and the sketch's accuracy.
+SPREAD, SKETCH = 0.002, 10_000
 
 
 def composition(df: DataFrame, by: str = "category", is_new: Column | None = None) -> DataFrame:
@@ -101,21 +104,55 @@ def warm_latency(calls: DataFrame, by: list[str], order: str, latency: str = "la
     )
 
 
-def exact_median(df: DataFrame, group: list[str], value: str, tie: str, blocks: int | None = None) -> DataFrame:
-    """Median per group by distributed rank.
+def exact_median(df: DataFrame, group: list[str], value: str, tie: str, blocks: int | None = None, spread: float = SPREAD) -> DataFrame:
+    """Median per group by selection: ``group..., median``; null values count for nothing, a null group is a group.
 
-    ``median()`` merges all values of a group in one task; here only the one or two middle rows of
-    each group are picked, by position, so a group may be of any size. The values are read more than
-    once, so they are written first.
+    ``median()`` merges all values of a group in one task, and ranking shuffles them all. Here a mergeable sketch
+    brackets the middle of each group, one aggregate counts what lies below the bracket and how often each value
+    inside it occurs, and only these counts are sorted. Were a sketch ever so far off that a middle row lies
+    outside its bracket, the group is ranked in full; the result is exact either way. The values are read more
+    than once, so they are written first.
     """
-    present = cut_lineage(df.where(F.col(value).isNotNull()).select(*group, value, tie))
-    bounds = order_bounds(present, value, blocks)
-    placed = dense_position(present, [value, tie], block_by_bounds(F.col(value), bounds), group, "_pos")
-    sizes = present.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    middle = placed.join(sizes, group).where(
-        (F.col("_pos") == F.floor((F.col("_n") - 1) / 2)) | (F.col("_pos") == F.ceil((F.col("_n") - 1) / 2))
-    )
-    return middle.groupBy(*group).agg(F.avg(value).alias("median"))
+    keyed = F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(group)]).alias("_g")
+    present = cut_lineage(df.where(F.col(value).isNotNull()).select(keyed, F.col(value).alias("_v"), F.col(tie).alias("_t")))
+    ends = F.percentile_approx("_v", [0.5 - spread, 0.5 + spread], SKETCH)
+    brackets = cut_lineage(present.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), ends.alias("_ends")))
+    named = _group_columns(group)
+    if not brackets.limit(1).count():
+        return present.select(*named, F.col("_v").cast("double").alias("median"))
+    counted = cut_lineage(_bracket_counts(present, brackets))
+    so_far = Window.partitionBy("_g").orderBy(F.col("_v").asc_nulls_first())
+    reach = F.sum("_c").over(so_far)
+    lower, upper = F.floor((F.col("_n") - 1) / 2), F.ceil((F.col("_n") - 1) / 2)
+    held = counted.select("_g", "_v", "_n", (reach - F.col("_c")).alias("_from"), reach.alias("_upto")).where("_v IS NOT NULL")
+    has = lambda place: (F.col("_from") <= place) & (place < F.col("_upto"))
+    middle = held.groupBy("_g").agg(F.max(F.when(has(lower), F.col("_v"))).alias("_lo"), F.max(F.when(has(upper), F.col("_v"))).alias("_hi"))
+    middle = cut_lineage(middle.where("_lo IS NOT NULL AND _hi IS NOT NULL"))
+    found = middle.select(*named, F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise((F.col("_lo") + F.col("_hi")) / 2).cast("double").alias("median"))
+    missed = cut_lineage(brackets.join(middle, "_g", "left_anti").select("_g"))
+    if not missed.limit(1).count():
+        return found
+    ranked = _ranked_median(present.join(missed, "_g", "left_semi"), blocks)
+    return found.unionByName(ranked.select(*named, "median"))
+
+
+def _group_columns(group: list[str]) -> list[Column]:
+    return [F.col("_g")[f"g{i}"].alias(c) for i, c in enumerate(group)]
+
+
+def _bracket_counts(present: DataFrame, brackets: DataFrame) -> DataFrame:
+    """``_g, _v, _c, _n``: how often each value inside a bracket occurs; a null value counts all that lies below."""
+    low, high = F.col("_ends")[0], F.col("_ends")[1]
+    met = join_facts(present.select("_g", "_v"), brackets, ["_g"], "_n").where(F.col("_v") <= high)
+    return met.groupBy("_g", F.when(F.col("_v") >= low, F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+
+
+def _ranked_median(present: DataFrame, blocks: int | None) -> DataFrame:
+    bounds = order_bounds(present, "_v", blocks)
+    placed = dense_position(present, ["_v", "_t"], block_by_bounds(F.col("_v"), bounds), ["_g"], "_pos")
+    sizes = present.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    middle = placed.join(sizes, "_g").where((F.col("_pos") == F.floor((F.col("_n") - 1) / 2)) | (F.col("_pos") == F.ceil((F.col("_n") - 1) / 2)))
+    return middle.groupBy("_g").agg(F.avg("_v").alias("median"))
 
 
 def acceptance_gate(candidate: DataFrame, baseline: DataFrame, sample: str = "sample") -> DataFrame:

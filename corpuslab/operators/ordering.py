@@ -9,6 +9,7 @@ result is exact wherever the block borders fall: they only decide how even the t
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -18,17 +19,36 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
-MAX_BLOCKS = 4096
+#: Rows of a block, and the most blocks; their bounds are literals of a query.
+BLOCK_ROWS, MAX_BLOCKS = 1_000_000, 16_384
 
 
 def order_columns(order: list) -> list[Column]:
-    """Sort columns of ``"name"``, ``"name desc"`` or columns."""
-    return [o if isinstance(o, Column) else F.desc(o[:-5]) if o.endswith(" desc") else F.col(o) for o in order]
+    """Sort columns of ``"name"``, ``"name desc"``, columns, or pairs of a column and ``"asc"`` or ``"desc"``."""
+
+    def sort(o) -> Column:
+        if isinstance(o, tuple):
+            return o[0].desc() if o[1] == "desc" else o[0].asc()
+        if isinstance(o, Column):
+            return o
+        return F.desc(o[:-5]) if o.endswith(" desc") else F.col(o)
+
+    return [sort(o) for o in order]
+
+
+def sort_key(first) -> tuple[Column, bool] | None:
+    """Value and direction of an order entry; none for a column that is a sort order already, whose value is hidden."""
+    if isinstance(first, tuple):
+        return first[0], first[1] == "desc"
+    if isinstance(first, Column):
+        return None if re.search(r"(ASC|DESC) NULLS (FIRST|LAST)'>$", str(first)) else (first, False)
+    return F.col(first.removesuffix(" desc")), first.endswith(" desc")
 
 
 def default_blocks(df: DataFrame) -> int:
-    """As many blocks as the session shuffles into, within a bound."""
-    return min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_BLOCKS)
+    """A block for every ``BLOCK_ROWS`` rows, at least as many as the session shuffles into, within a bound."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(least, -(-df.count() // BLOCK_ROWS)), MAX_BLOCKS)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -100,11 +120,6 @@ def _bounds_below(column: Column, bounds: list) -> Column:
     return coarse * step + fine
 
 
-def block_by_uniform(draw: Column, blocks: int) -> Column:
-    """Block of a value spread evenly over [0, 1)."""
-    return F.floor(draw * blocks).cast("int")
-
-
 def dense_position(df: DataFrame, order: list, block: Column, group: list[str] | None = None, out: str = "position") -> DataFrame:
     """0-based rank of each row in its group, for a ``block`` that never decreases along ``order``.
 

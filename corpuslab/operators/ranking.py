@@ -7,18 +7,18 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text
-from .ordering import block_by_bounds, cut_lineage, dense_position, group_limit_threshold, order_bounds, order_columns, position_by
+from .ordering import block_by_bounds, cut_lineage, dense_position, group_limit_threshold, order_bounds, order_columns, position_by, sort_key
 
 
 def take_per_group(df: DataFrame, group: list[str], n: int, order: list, blocks: int | None = None) -> DataFrame:
     """First ``n`` rows of each group, in Spark's order: nulls first, or last in a descending key.
 
-    ``order`` holds ``"name"``, ``"name desc"`` or columns. Small ``n``: ``row_number() <= n``, which Spark
+    ``order`` holds ``"name"``, ``"name desc"``, columns, or pairs like ``(column, "desc")``. Small ``n``: ``row_number() <= n``, which Spark
     trims on the map side, so a hot group ships at most ``n`` rows per task. Larger ``n``: block positions
-    along the first key, if it is named; a column as first key leaves a group in one task. The rows are the
-    same either way.
+    along the first key; only a column that is a sort order already (``col.desc()``) leaves a group in one task.
+    The rows are the same either way.
     """
-    if n > group_limit_threshold(df) and isinstance(order[0], str):
+    if n > group_limit_threshold(df) and sort_key(order[0]):
         placed = _positions_with_ties(df, group, order, blocks)
         return placed.where(F.col("_pos") < n).drop("_pos")
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order_columns(order)))
@@ -26,9 +26,10 @@ def take_per_group(df: DataFrame, group: list[str], n: int, order: list, blocks:
 
 
 def _positions_with_ties(df: DataFrame, group: list[str], order: list, blocks: int | None) -> DataFrame:
-    head, descending = order[0].removesuffix(" desc"), order[0].endswith(" desc")
-    bounds = order_bounds(df, head, blocks)
-    return dense_position(df, order_columns(order), block_by_bounds(F.col(head), bounds, descending), group, "_pos")
+    head, descending = sort_key(order[0])
+    headed = df.withColumn("_head", head)
+    bounds = order_bounds(headed, "_head", blocks)
+    return dense_position(headed, order_columns(order), block_by_bounds(F.col("_head"), bounds, descending), group, "_pos").drop("_head")
 
 
 def take_quota(
@@ -48,7 +49,7 @@ def take_quota(
     if existing is not None:
         held = existing.groupBy(tag).agg(F.count(F.lit(1)).alias("_held"))
         left = left.join(held, tag, "left").select(tag, (F.col("_left") - F.coalesce("_held", F.lit(0))).alias("_left"))
-    if largest > group_limit_threshold(df) and isinstance(order[0], str):
+    if largest > group_limit_threshold(df) and sort_key(order[0]):
         ranked = _positions_with_ties(df, [tag], order, None).withColumn("_rank", F.col("_pos") + 1).drop("_pos")
     else:
         ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(tag).orderBy(*order_columns(order))))

@@ -9,9 +9,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text
-from ..functions.hashing import choose, order_key, uniform, uniform_int, uniform_range
+from ..functions.hashing import choose, order_key, permuted, uniform, uniform_int, uniform_range
 from ..schemas import DEGRADATION, IMAGE_SUFFIXES
-from .ordering import block_by_uniform, cut_lineage, default_blocks, dense_position, position_by
+from .ordering import cut_lineage, position_by
 from .pixels import LUMA_GRAY
 
 # Fixed value: seed of the published holdout.
@@ -46,20 +46,19 @@ def split(df: DataFrame, key: str, weights: dict[str, float] | None = None, seed
 def epoch_sample(df: DataFrame, key: str, ratio: float = 1, replicas: int = 1, epoch: int = 0, rank: int | None = None, blocks: int | None = None) -> DataFrame:
     """Order of one epoch: ``key, copy_pos, position, rank, rank_pos``.
 
-    ``total = ceil(n ratio / replicas) * replicas`` positions index the items modulo ``n`` and are
-    permuted by a hash of (epoch, position); every ``replicas``-th goes to a rank.
+    ``total = ceil(n ratio / replicas) * replicas`` positions index the items modulo ``n`` and are permuted by a
+    bijection keyed by the epoch; every ``replicas``-th goes to a rank. Items are ranked once, by ``key``; the copies
+    of an item and their places are arithmetic, so copies are neither sorted nor shuffled.
     """
     keys = cut_lineage(df.select(key))
     total_items = keys.count()
     if total_items == 0:
         raise ValueError("no items to sample")
     total = math.ceil(total_items * ratio / replicas) * replicas
-    items = position_by(keys, key, None, "_idx", blocks)
+    items = cut_lineage(position_by(keys, key, None, "_idx", blocks))
     copies = F.sequence(F.col("_idx"), F.lit(total - 1).cast("bigint"), F.lit(total_items).cast("bigint"))
     placed = items.where(F.col("_idx") < total).select(key, F.explode(copies).alias("copy_pos"))
-    drawn = cut_lineage(placed.withColumn("_u", uniform("copy_pos", "epoch", epoch)))
-    ordered = dense_position(drawn, ["_u", "copy_pos"], block_by_uniform(F.col("_u"), blocks or default_blocks(df)), None, "position")
-    ranked = ordered.drop("_u").withColumns(
+    ranked = permuted(placed, "copy_pos", total, "epoch", epoch).withColumns(
         {
             "rank": (F.col("position") % replicas).cast("int"),
             "rank_pos": F.floor(F.col("position") / replicas).cast("bigint"),
@@ -196,8 +195,9 @@ def degrade(planes: DataFrame, plan: DataFrame, kernel_size: int = 41, seed: int
         F.collect_list(F.struct("ch", "h", "w")).alias("c"),
         F.sort_array(F.collect_list(F.struct("ch", F.transform("plane", lambda v: v * F.col("_w")).alias("p")))).alias("s"),
     )
+    # Not a length of 2^31 - 1: added to the start it would run over, and the slice be empty.
     mixed = F.aggregate(
-        F.slice("s", 2, 2**31 - 1), F.get("s", F.lit(0))["p"], lambda acc, s: F.zip_with(acc, s["p"], lambda a, b: a + b)
+        F.slice("s", F.lit(2), F.size("s")), F.get("s", F.lit(0))["p"], lambda acc, s: F.zip_with(acc, s["p"], lambda a, b: a + b)
     )
     gray = stacked.select("img", F.explode("c").alias("c"), mixed.alias("plane")).select(
         "img", "c.ch", "c.h", "c.w", final(F.col("plane")).alias("plane")

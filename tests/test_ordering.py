@@ -60,6 +60,53 @@ def test_exact_median(table):
     assert got == pytest.approx({g: statistics.median(v) for g, v in want.items()})
 
 
+@pytest.mark.parametrize("spread", [0.002, 0.0, 0.4])
+def test_median_by_selection(spark, spread):
+    """Odd and even groups, ties, a null group, null values, and brackets that miss the middle."""
+    r = random.Random(4)
+    data = [(g, k, r.choice([r.gauss(0, 9), 5.0, 5.0, None])) for k in range(900) for g in (r.choice([None, 1, 1, 1, 2]),)]
+    data += [(3, 0, 1.0), (4, 0, 1.0), (4, 1, 4.0), (5, 0, None)]
+    df = spark.createDataFrame(data, "g int, k int, v double").repartition(4)
+    got = {row["g"]: row["median"] for row in aggregates.exact_median(df, ["g"], "v", "k", 6, spread).collect()}
+    want: dict = {}
+    for g, _, v in data:
+        if v is not None:
+            want.setdefault(g, []).append(v)
+    assert got == pytest.approx({g: statistics.median(v) for g, v in want.items()})
+    assert aggregates.exact_median(df.limit(0), ["g"], "v", "k").count() == 0
+
+
+def test_a_missed_bracket_is_ranked(spark, monkeypatch):
+    df = spark.range(101).selectExpr("1 AS g", "id AS k", "cast(id as double) AS v")
+    brackets = aggregates._bracket_counts
+    wrong = lambda present, ends: brackets(present, ends.withColumn("_ends", F.array(F.lit(90.0), F.lit(95.0))))
+    monkeypatch.setattr(aggregates, "_bracket_counts", wrong)
+    assert [tuple(x) for x in aggregates.exact_median(df, ["g"], "v", "k").collect()] == [(1, 50.0)]
+
+
+def test_median_sorts_few_values(spark):
+    df = spark.range(200_000).selectExpr("id % 2 AS g", "id AS k", "sin(id) AS v")
+    cut, seen = aggregates.cut_lineage, []
+    aggregates.cut_lineage = lambda x: seen.append(cut(x)) or seen[-1]
+    try:
+        aggregates.exact_median(df, ["g"], "v", "k").collect()
+    finally:
+        aggregates.cut_lineage = cut
+    # Of the tables written, the third holds what is sorted: the values inside the brackets.
+    assert seen[0].count() == 200_000 and 0 < seen[2].count() <= 2000
+
+
+@pytest.mark.parametrize("first", [("v", "desc"), "expression", "sort"])
+def test_large_groups_by_column_keys(table, spark, first):
+    order = [(F.col("v"), "desc"), "k"] if first == ("v", "desc") else [F.col("v") * 2, "k"] if first == "expression" else [F.col("v").desc(), "k"]
+    want = {(r["g"], r["k"]) for r in ranking.take_per_group(table, ["g"], 20, order).collect()}
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "5")
+    try:
+        assert {(r["g"], r["k"]) for r in ranking.take_per_group(table, ["g"], 20, order, 7).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+
+
 @pytest.mark.parametrize("levels", [0, 1, 2])
 def test_linear_scan_over_tiny_blocks(spark, levels):
     x = [random.Random(5).uniform(-1, 1) * (i % 7) for i in range(300)]

@@ -150,12 +150,32 @@ def _preset_lookup(presets: Mapping[str, Mapping], field: str) -> Column:
     return F.create_map(*entries)
 
 
-def resolve_presets(requests: DataFrame, presets: Mapping[str, Mapping] = PRESETS, column: str = "preset") -> DataFrame:
-    """Preset values replace request values; ``Custom`` keeps the request; other names fail the job."""
+def _unknown_preset(column: str) -> Column:
+    return F.raise_error(F.concat(F.lit("unknown preset: "), F.coalesce(F.col(column), F.lit("null"))))
+
+
+def _resolve_from_table(requests: DataFrame, presets: DataFrame, column: str) -> DataFrame:
+    fields = [c for c in presets.columns if c != "preset"]
+    again = presets.groupBy("preset").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
+    if again:
+        raise ValueError(f"preset is listed more than once: {again[0]['preset']!r}")
+    named = presets.where(F.col("preset").isNotNull()).select(F.col("preset").alias("_name"), F.struct(*fields).alias("_p"))
+    met = requests.join(named, F.col(column) == F.col("_name"), "left")
+    # The check lies in the name, which every reader of a value needs.
+    known = F.when(F.col("_name").isNotNull() | (F.col(column) == "Custom"), F.col(column)).otherwise(_unknown_preset(column).cast("string"))
+    met = met.withColumn(column, known)
+    return met.withColumns({f: F.when(F.col("_name").isNull() & F.col(column).isNotNull(), F.col(f)).otherwise(F.coalesce(F.col("_p")[f], F.col(f))) for f in fields}).select(*requests.columns)
+
+
+def resolve_presets(requests: DataFrame, presets: Mapping[str, Mapping] | DataFrame = PRESETS, column: str = "preset") -> DataFrame:
+    """Preset values replace request values; ``Custom`` keeps the request; other names fail the job.
+
+    ``presets`` is a mapping, or a table with ``preset`` and a column per value; a null value there keeps the request's.
+    """
+    if isinstance(presets, DataFrame):
+        return _resolve_from_table(requests, presets, column)
     known = F.col(column).isin(*presets, "Custom")
-    name = F.when(known, F.col(column)).otherwise(
-        F.raise_error(F.concat(F.lit("unknown preset: "), F.coalesce(F.col(column), F.lit("null")))).cast("string")
-    )
+    name = F.when(known, F.col(column)).otherwise(_unknown_preset(column).cast("string"))
     fields = list(next(iter(presets.values())))
     values = {
         f: F.coalesce(F.try_element_at(_preset_lookup(presets, f), name), F.col(f)) for f in fields
@@ -163,8 +183,14 @@ def resolve_presets(requests: DataFrame, presets: Mapping[str, Mapping] = PRESET
     return requests.withColumns(values)
 
 
-def sweep(inputs: DataFrame, presets: Mapping[str, Mapping] = PRESETS) -> DataFrame:
-    """Every input under every preset, expanded inside the row from the fixed preset list."""
+def sweep(inputs: DataFrame, presets: Mapping[str, Mapping] | DataFrame = PRESETS) -> DataFrame:
+    """Every input under every preset, expanded inside the row from the preset list.
+
+    A table of presets is read as one list, so it must be as short as a list of presets is.
+    """
+    if isinstance(presets, DataFrame):
+        listed = presets.agg(F.collect_list(F.struct("preset", *[c for c in presets.columns if c != "preset"]))).scalar()
+        return inputs.select("*", F.explode(listed).alias("_p")).select(*inputs.columns, "_p.*")
     fields = list(next(iter(presets.values())))
     options = F.array(
         *[F.struct(F.lit(n).alias("preset"), *[F.lit(v[f]).alias(f) for f in fields]) for n, v in presets.items()]

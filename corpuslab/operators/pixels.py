@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
@@ -362,6 +363,100 @@ def stitch_coverage(pixels: DataFrame, images: DataFrame, scale: int = 1, channe
     return found.select("img", "ch", "distinct", "most", "h", "w").where((F.col("distinct") != want) | (F.col("most") > 1))
 
 
+def stitch_planes(tiles: DataFrame, scale: int = 1) -> DataFrame:
+    """Planes ``img, ch, h, w, plane`` of the full images from (scaled) tile planes that cover them once, halo dropped.
+
+    What is shuffled are the rows of tile cores as arrays, never single pixels.
+    """
+    width = (F.col("x2") - F.col("x1")) * scale
+    start = lambda k: (k + (F.col("y") - F.col("y1")) * scale) * width + (F.col("x") - F.col("x1")) * scale + 1
+    lines = F.transform(F.sequence(F.lit(0), F.col("core_h") * scale - 1), lambda k: F.struct((F.col("y") * scale + k).alias("y"), (F.col("x") * scale).alias("x"), F.slice("plane", start(k), F.col("core_w") * scale).alias("v")))
+    rows = tiles.select("img", "ch", F.inline(lines))
+    whole = rows.groupBy("img", "ch").agg(F.sort_array(F.collect_list(F.struct("y", "x", "v"))).alias("s"), F.countDistinct("y").cast("int").alias("h"))
+    plane = F.flatten(F.transform("s", lambda e: e["v"]))
+    return whole.select("img", "ch", "h", F.floor(F.size(plane) / F.col("h")).cast("int").alias("w"), plane.alias("plane"))
+
+
+#: Rows of an image whose cover is counted together.
+BAND = 64
+
+
+def _cover(scale: int):
+    """Covered pixels of a band and the most tiles on one, from the corners of its rectangles."""
+
+    def run(key, table):
+        img, ch, band = (k.as_py() for k in key)
+        x, y, w, h = (np.asarray(table.column(c)).astype(np.int64) * scale for c in ("x", "y", "core_w", "core_h"))
+        low, high = np.clip(y - band * BAND, 0, BAND), np.clip(y + h - band * BAND, 0, BAND)
+        left = x.min()
+        # Each rectangle is four steps; summed along both axes they are the counts.
+        steps = np.zeros((BAND + 1, int((x + w).max() - left) + 1), np.int32)
+        for rows, columns, sign in ((low, x, 1), (low, x + w, -1), (high, x, -1), (high, x + w, 1)):
+            np.add.at(steps, (rows, columns - left), sign)
+        counts = steps.cumsum(axis=0).cumsum(axis=1)
+        found = [pa.array([v], table.schema.field(c).type) for c, v in (("img", img), ("ch", ch))]
+        return pa.table([*found, pa.array([int((counts > 0).sum())]), pa.array([int(counts.max())])], names=["img", "ch", "distinct", "most"])
+
+    return run
+
+
+def tile_coverage(tiles: DataFrame, images: DataFrame, scale: int = 1, channels: list[int] | None = None) -> DataFrame:
+    """:func:`stitch_coverage` of tiles that are not stitched yet: ``img, ch, distinct, most, h, w`` of images not covered once.
+
+    Cores count as rectangles ``x, y, core_w, core_h`` in bands of rows, so no pixel becomes a row. Tiles of images
+    that are not listed are not looked at.
+    """
+    if channels is None:
+        channels = sorted(row["ch"] for row in tiles.select("ch").distinct().collect()) or [0]
+    solid = tiles.where("core_w > 0 AND core_h > 0").select("img", "ch", "x", "y", "core_w", "core_h")
+    bands = F.sequence(F.floor(F.col("y") * scale / BAND), F.floor(((F.col("y") + F.col("core_h")) * scale - 1) / BAND))
+    schema = T.StructType([solid.schema["img"], solid.schema["ch"], T.StructField("distinct", T.LongType()), T.StructField("most", T.LongType())])
+    cover = solid.withColumn("band", F.explode(bands)).groupBy("img", "ch", "band").applyInArrow(_cover(scale), schema)
+    seen = cover.groupBy("img", "ch").agg(F.sum("distinct").alias("distinct"), F.max("most").alias("most"))
+    want = F.col("h").cast("bigint") * F.col("w") * scale * scale
+    due = images.select("img", "h", "w", F.explode(F.lit(channels)).alias("ch"))
+    found = due.join(seen, ["img", "ch"], "left").fillna(0, ["distinct", "most"])
+    return found.select("img", "ch", "distinct", "most", "h", "w").where((F.col("distinct") != want) | (F.col("most") > 1))
+
+
+def composite_planes(base: DataFrame, layers: DataFrame) -> DataFrame:
+    """Ordered blend of layer planes over base planes ``img, ch, h, w, plane``, clipped to [0, 255]; the same columns.
+
+    ``layers``: ``img, ch, layer, y0, x0, h, w, plane, mask`` and optionally ``parse_mask``, used where it is smaller;
+    ``mask`` has a weight for each pixel of the layer. What lies outside the base is cut off, a layer without a
+    base is dropped. Rows of planes are shuffled as arrays, and the layers that touch a row are folded over it.
+    """
+    rows = lambda column: F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda k: F.slice(column, k * F.col("w") + 1, F.col("w")))
+    none = F.array().cast("array<double>")
+    bottom = base.select("img", "ch", "w", F.posexplode(rows("plane")).alias("y", "q")).select(
+        "img", "ch", "y", F.lit(None).cast("bigint").alias("layer"), F.lit(0).alias("x"), none.alias("p"), F.col("q").cast("array<double>").alias("q")
+    )
+    mask = F.col("mask").cast("array<double>")
+    if "parse_mask" in layers.columns:
+        mask = F.when(F.col("parse_mask").isNull(), mask).otherwise(F.zip_with(mask, F.col("parse_mask").cast("array<double>"), lambda a, b: F.least(a, b)))
+    maps = layers.withColumn("_m", mask).withColumns({
+        "_p": F.transform("_m", lambda m: 1.0 - m), "_q": F.zip_with("_m", F.col("plane").cast("array<double>"), lambda m, v: m * v),
+    })
+    lines = F.arrays_zip(rows("_p").alias("p"), rows("_q").alias("q"))
+    spread = maps.where("h > 0 AND w > 0").select("img", "ch", "layer", "x0", "y0", F.posexplode(lines).alias("k", "e"))
+    cut = F.greatest(-F.col("x0"), F.lit(0))
+    keep = lambda c: F.slice(F.col(f"e.{c}"), cut + 1, F.greatest(F.size(F.col(f"e.{c}")) - cut, F.lit(0))).alias(c)
+    spread = spread.select("img", "ch", (F.col("y0") + F.col("k")).alias("y"), F.col("layer").cast("bigint"), F.greatest("x0", F.lit(0)).alias("x"), keep("p"), keep("q"))
+
+    def blend(acc: Column, e: Column) -> Column:
+        size = F.greatest(F.least(F.size(e["p"]), F.size(acc) - e["x"]), F.lit(0))
+        mixed = F.zip_with(F.slice(acc, e["x"] + 1, size), F.arrays_zip(F.slice(e["p"], F.lit(1), size).alias("p"), F.slice(e["q"], F.lit(1), size).alias("q")), lambda b, m: b * m["p"] + m["q"])
+        return F.concat(F.slice(acc, F.lit(1), e["x"]), mixed, F.slice(acc, e["x"] + size + 1, F.greatest(F.size(acc) - e["x"] - size, F.lit(0))))
+
+    # The base has no layer number, so it comes first.
+    stacks = bottom.unionByName(spread).groupBy("img", "ch", "y").agg(F.sort_array(F.collect_list(F.struct("layer", "x", "p", "q"))).alias("s"))
+    folded = F.aggregate(F.slice("s", F.lit(2), F.size("s")), F.get("s", F.lit(0))["q"], blend)
+    clipped = F.transform(folded, lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(255.0)))
+    done = stacks.where(F.get("s", F.lit(0))["layer"].isNull()).select("img", "ch", "y", clipped.alias("v"))
+    whole = done.groupBy("img", "ch").agg(F.sort_array(F.collect_list(F.struct("y", "v"))).alias("s"))
+    return whole.select("img", "ch", F.size("s").alias("h"), F.size(F.get("s", F.lit(0))["v"]).alias("w"), F.flatten(F.transform("s", lambda e: e["v"])).alias("plane"))
+
+
 def composite(base: DataFrame, layers: DataFrame, block: int = 256) -> DataFrame:
     """Ordered blend ``m f + (1-m) b`` of pixel layers over a base, clipped to [0, 255].
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pandas as pd
@@ -11,6 +15,27 @@ from pyspark.sql import types as T
 
 from .ordering import cut_lineage
 
+# Models a Python worker holds; the least recently used one goes first.
+MODELS_HELD = 2
+HOLDER = "_corpuslab_models"
+
+
+def held_model(name: str, make_model: Callable[[], Callable]) -> Callable:
+    """The model of this Python worker, built by the first task that needs it.
+
+    Spark gives a worker one task after another, so a model is built once per worker and not once per task. Functions
+    come to a worker anew with every task, their globals too; what stays are the modules, so one of them holds the models.
+    """
+    models = sys.modules.setdefault(HOLDER, ModuleType(HOLDER)).__dict__.setdefault("models", OrderedDict())
+    if name in models:
+        models.move_to_end(name)
+    else:
+        while len(models) >= MODELS_HELD:
+            models.popitem(last=False)
+        models[name] = make_model()
+    return models[name]
+
+
 # Numbers of a codebook block (32 MB of doubles) that is copied to every worker.
 MAX_CODEBOOK_NUMBERS = 4_000_000
 
@@ -26,17 +51,19 @@ def score(
 ) -> DataFrame:
     """Run a user model over ``column``; adds ``out`` and ``failed``.
 
-    ``make_model`` runs once per task and returns a function from a batch to its results. When a
-    batch fails its rows are tried one at a time; a row that fails gets its input back and
-    ``failed`` = true, or ends the job with ``on_error="raise"``. Results have the type of the input, or
+    ``make_model`` runs once per Python worker and returns a function from a batch to its results, which must
+    not depend on earlier calls. A batch that fails is tried again in halves, down to single rows, so ``k`` bad rows
+    of ``n`` cost some ``k log n`` calls; a row that fails gets its input back and ``failed`` = true, or ends the
+    job with ``on_error="raise"``. Results have the type of the input, or
     ``out_type``; with a type of its own, a row that fails gets null.
     """
     if on_error not in ("passthrough", "raise"):
         raise ValueError(f"unknown on_error: {on_error}")
     names = df.columns
+    model_name = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = make_model()
+        model = held_model(model_name, make_model)
         for rows in batches:
             for start in range(0, len(rows), batch_size):
                 part = rows.iloc[start : start + batch_size]
@@ -52,20 +79,18 @@ def score(
 
 def _run_batch(model: Callable, values: pd.Series, on_error: str) -> tuple[list, list[bool]]:
     try:
-        return list(model(values)), [False] * len(values)
+        results = list(model(values))
+        if len(results) != len(values):
+            raise ValueError(f"the model returned {len(results)} results for {len(values)} rows")
+        return results, [False] * len(values)
     except Exception:
         if on_error == "raise":
             raise
-    results, failed = [], []
-    for i in range(len(values)):
-        one = values.iloc[i : i + 1]
-        try:
-            results.append(list(model(one))[0])
-            failed.append(False)
-        except Exception:
-            results.append(one.iloc[0])
-            failed.append(True)
-    return results, failed
+    if len(values) == 1:
+        return [values.iloc[0]], [True]
+    half = len(values) // 2
+    parts = [_run_batch(model, part, on_error) for part in (values.iloc[:half], values.iloc[half:])]
+    return parts[0][0] + parts[1][0], parts[0][1] + parts[1][1]
 
 
 def _nearest(block: np.ndarray, ids: np.ndarray, norms: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -503,6 +503,28 @@ def sweep(spark, sf):
     return joins.sweep(t.table(spark, sf, "customer").select("c_custkey")).select("c_custkey", "preset", "w", "skin_grain", "enable_eyes")
 
 
+def _preset_table(spark, sf) -> DataFrame:
+    """Nations as presets; some values are not set."""
+    n = F.col("n_nationkey")
+    return t.table(spark, sf, "nation").select(F.col("n_name").alias("preset"), F.when(n % 3 > 0, n / 10).alias("w"), (n % 2 == 0).alias("enable_eyes"))
+
+
+@query
+def resolve_presets_table(spark, sf):
+    """Presets from a table of any size."""
+    names = t.table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), "n_name")
+    c = t.table(spark, sf, "customer").join(names, F.col("c_nationkey") == F.col("k")).select(
+        "c_custkey", F.when(F.col("c_custkey") % 5 == 0, F.lit("Custom")).otherwise(F.col("n_name")).alias("preset"),
+        (F.col("c_custkey") % 10 / 10).alias("w"), (F.col("c_custkey") % 4 == 0).alias("enable_eyes"),
+    )
+    return joins.resolve_presets(c, _preset_table(spark, sf))
+
+
+@query
+def sweep_table(spark, sf):
+    return joins.sweep(t.table(spark, sf, "supplier").select("s_suppkey"), _preset_table(spark, sf)).select("s_suppkey", "preset", F.coalesce("w", F.lit(-1.0)).alias("w"), "enable_eyes")
+
+
 def _scores(spark, sf) -> DataFrame:
     return (
         t.table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("variant"), F.col("l_partkey").alias("sample"))
@@ -883,6 +905,39 @@ def stitch_coverage(spark, sf):
     return pixels.stitch_coverage(holed, shapes).select("img", "ch", "distinct")
 
 
+@query
+def stitch_planes(spark, sf):
+    p = t.planes(spark, sf)
+    tiles = pixels.cut_tiles(p, pixels.tile(p.select("img", "h", "w").distinct(), 4, 1, "overlap"))
+    whole = pixels.stitch_planes(tiles.withColumn("plane", F.transform("plane", lambda v: v * 2)))
+    at = whole.select("img", "ch", "w", F.posexplode("plane").alias("p", "v"))
+    return at.select("img", "ch", F.floor(F.col("p") / F.col("w")).cast("int").alias("y"), (F.col("p") % F.col("w")).alias("x"), "v")
+
+
+@query
+def tile_coverage(spark, sf):
+    """Some tiles are lost and some come twice, one pixel to the side."""
+    shapes = t.planes(spark, sf).select("img", "ch", "h", "w")
+    tiles = pixels.tile(shapes.select("img", "h", "w").distinct(), 5, 1, "fixed").join(shapes.select("img", "ch"), "img")
+    mark = (F.col("img") * 3 + F.col("ch") + F.col("row") * 2 + F.col("col")) % 11
+    again = tiles.where(mark == 1).withColumn("x", F.greatest(F.col("x") - 1, F.lit(0)))
+    found = pixels.tile_coverage(tiles.where(mark > 0).unionByName(again), shapes.select("img", "h", "w").distinct())
+    return found.select("img", "ch", "distinct", "most")
+
+
+@query
+def composite_planes(spark, sf):
+    """Neighbours as layers: one over the whole base, one moved so that it is cut at two sides."""
+    v = t.vectors(spark, sf).select(F.col("vec_id").alias("img"), F.lit(0).alias("ch"), "h", "w", "plane")
+    grid = F.sequence(F.lit(0), F.lit(63))
+    shade = F.transform(grid, lambda p: (F.floor(p / 8) + p % 8) % 5 / 4)
+    one = v.withColumns({"img": F.col("img") - 1, "layer": F.lit(0), "y0": F.lit(0), "x0": F.lit(0), "mask": shade, "parse_mask": F.lit(None).cast("array<double>")})
+    two = v.withColumns({"img": F.col("img") - 2, "layer": F.lit(1), "y0": F.lit(-2), "x0": F.lit(3), "mask": F.transform(shade, lambda m: 1 - m), "parse_mask": F.transform(grid, lambda p: p % 8 / 8)})
+    whole = pixels.composite_planes(v, one.unionByName(two))
+    at = whole.select("img", "ch", "w", F.posexplode("plane").alias("p", "v"))
+    return at.select("img", "ch", F.floor(F.col("p") / F.col("w")).cast("int").alias("y"), (F.col("p") % F.col("w")).alias("x"), r("v").alias("v"))
+
+
 @query
 def composite(spark, sf):
     v = t.vectors(spark, sf).select(F.col("vec_id").alias("img"), F.lit(0).alias("ch"), "h", "w", "plane")

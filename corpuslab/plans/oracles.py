@@ -91,11 +91,24 @@ def with_(names: str, body: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{body}" if ctes else body
 
 
+def whole(key: str, tag: str, seed: int) -> str:
+    return f"('0x' || substr(sha256('{seed}:' || CAST({key} AS VARCHAR) || ':{tag}'), 1, 15))::BIGINT"
+
+
+def _permuted(source: str, epoch: int, steps: int = 8) -> str:
+    """``source`` has ``copy_pos`` and ``total``; ``position`` by the keyed bijection, with up to ``steps`` tries to land inside."""
+    out = f"SELECT *, ceil(sqrt(total))::BIGINT AS da, (total + ceil(sqrt(total))::BIGINT - 1) // ceil(sqrt(total))::BIGINT AS db, copy_pos AS y, true AS going FROM ({source})"
+    for _ in range(steps):
+        out = f"""SELECT * EXCLUDE (l0, r0, l1, r1, l2, r2) REPLACE (CASE WHEN going THEN l2 * db + r2 ELSE y END AS y, going AND l2 * db + r2 >= total AS going) FROM (
+            SELECT *, y // db AS l0, y % db AS r0, (l0 + {whole('r0', 'epoch0', epoch)}) % da AS l1, (r0 + {whole('l1', 'epoch1', epoch)}) % db AS r1,
+            (l1 + {whole('r1', 'epoch2', epoch)}) % da AS l2, (r1 + {whole('l2', 'epoch3', epoch)}) % db AS r2 FROM ({out}))"""
+    return f"SELECT * EXCLUDE (da, db, y, going), CASE WHEN NOT going THEN y END AS position FROM ({out})"
+
+
 def _epoch(n: str, ratio: str, replicas: int, epoch: int, key: str = "doc_id", items: str = "docidx") -> str:
     total = f"(ceil({n} * {ratio}::DOUBLE / {replicas})::BIGINT * {replicas})"
-    return f"""SELECT {key}, copy_pos, position, CAST(position % {replicas} AS INTEGER) AS rank, position // {replicas} AS rank_pos FROM (
-        SELECT {key}, copy_pos, row_number() OVER (ORDER BY {u('copy_pos', 'epoch', epoch)}, copy_pos) - 1 AS position FROM (
-        SELECT {key}, unnest(range(idx, {total}, n)) AS copy_pos FROM {items}))"""
+    copies = f"SELECT {key}, {total} AS total, unnest(range(idx, {total}, n)) AS copy_pos FROM {items}"
+    return f"""SELECT {key}, copy_pos, position, CAST(position % {replicas} AS INTEGER) AS rank, position // {replicas} AS rank_pos FROM ({_permuted(copies, epoch)})"""
 
 
 def _offsets(x: str) -> str:
@@ -327,6 +340,10 @@ O["resolve_presets"] = """SELECT event_id, ['Modern Portrait', 'Old Photo Restor
     CASE WHEN k < 3 THEN k < 2 ELSE event_id % 9 = 0 END AS enable_skin FROM (SELECT event_id, CAST(event_id % 4 AS INTEGER) AS k FROM events)"""
 O["sweep"] = """SELECT c_custkey, p.preset, p.w, p.skin_grain, p.enable_eyes FROM customer, (VALUES ('Modern Portrait', 0.6::DOUBLE, 0.15::DOUBLE, true),
     ('Old Photo Restoration', 0.85, 0.05, true), ('Game / Anime Character', 0.3, 0.0, false)) p(preset, w, skin_grain, enable_eyes)"""
+O["resolve_presets_table"] = """SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'Custom' ELSE n_name END AS preset,
+    CASE WHEN c_custkey % 5 = 0 OR n_nationkey % 3 = 0 THEN c_custkey % 10 / 10 ELSE n_nationkey / 10 END AS w,
+    CASE WHEN c_custkey % 5 = 0 THEN c_custkey % 4 = 0 ELSE n_nationkey % 2 = 0 END AS enable_eyes FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+O["sweep_table"] = "SELECT s_suppkey, n_name AS preset, CASE WHEN n_nationkey % 3 > 0 THEN n_nationkey / 10 ELSE -1 END::DOUBLE AS w, n_nationkey % 2 = 0 AS enable_eyes FROM supplier, nation"
 O["compare_to_baseline"] = with_(
     "lscore",
     f""", q AS (SELECT a.variant, (a.value - b.value) ** 2 AS mse FROM lscore a JOIN lscore b ON b.variant = 'N' AND a.sample = b.sample),
@@ -544,6 +561,23 @@ O["tile"] = with_("listing", _tiles(400, 40, 320, "overlap") + " UNION ALL " + _
 O["stitch"] = with_("pix", "SELECT img, ch, y::INTEGER AS y, x::INTEGER AS x, v * 2 AS v FROM pix")
 O["stitch_coverage"] = with_("pix", """, due AS (SELECT img, ch::INTEGER AS ch FROM (SELECT DISTINCT img FROM pix), range(3) t(ch)), seen AS (SELECT img, ch, count(*) AS n FROM pix WHERE (img + ch + x * y) % 97 <> 0 GROUP BY img, ch)
     SELECT img, ch, coalesce(n, 0) AS "distinct" FROM due LEFT JOIN seen USING (img, ch) WHERE coalesce(n, 0) <> 64""")
+O["stitch_planes"] = O["stitch"]
+O["tile_coverage"] = with_(
+    "pix",
+    """, shapes AS (SELECT DISTINCT img, ch FROM pix), cells AS (SELECT img, ch, r.k AS row, c.k AS col, (img * 3 + ch + r.k * 2 + c.k) % 11 AS mark FROM shapes, range(2) r(k), range(2) c(k)),
+    rects AS (SELECT img, ch, row * 5 AS y, col * 5 AS x, CASE row WHEN 0 THEN 5 ELSE 3 END AS hh, CASE col WHEN 0 THEN 5 ELSE 3 END AS ww FROM cells WHERE mark > 0
+        UNION ALL SELECT img, ch, row * 5, greatest(col * 5 - 1, 0), CASE row WHEN 0 THEN 5 ELSE 3 END, CASE col WHEN 0 THEN 5 ELSE 3 END FROM cells WHERE mark = 1),
+    dots AS (SELECT img, ch, y + a.k AS py, x + b.k AS px, count(*) AS n FROM rects, range(5) a(k), range(5) b(k) WHERE a.k < hh AND b.k < ww GROUP BY ALL),
+    seen AS (SELECT img, ch, count(*) AS d, max(n) AS m FROM dots GROUP BY img, ch),
+    due AS (SELECT img, ch::INTEGER AS ch FROM (SELECT DISTINCT img FROM pix), range(3) t(ch))
+    SELECT img, ch, coalesce(d, 0) AS "distinct", coalesce(m, 0) AS most FROM due LEFT JOIN seen USING (img, ch) WHERE coalesce(d, 0) <> 64 OR m > 1""",
+)
+O["composite_planes"] = with_(
+    "pix",
+    f"""SELECT img, 0 AS ch, y::INTEGER AS y, x::INTEGER AS x, {r('least(greatest(CASE WHEN v2 IS NULL THEN b1 ELSE m2 * v2 + (1 - m2) * b1 END, 0), 255)')} AS v FROM (
+    SELECT a.vec_id AS img, a.y, a.x, c.v AS v2, least(1 - (c.x + c.y) % 5 / 4, c.x / 8) AS m2, CASE WHEN b.v IS NULL THEN a.v ELSE (a.x + a.y) % 5 / 4 * b.v + (1 - (a.x + a.y) % 5 / 4) * a.v END AS b1
+    FROM pix a LEFT JOIN pix b ON b.vec_id = a.vec_id + 1 AND b.p = a.p LEFT JOIN pix c ON c.vec_id = a.vec_id + 2 AND c.y = a.y + 2 AND c.x = a.x - 3)""",
+)
 O["composite"] = with_(
     "pix",
     f"""SELECT img, 0 AS ch, y::INTEGER AS y, x::INTEGER AS x, {r('least(greatest(CASE WHEN v2 IS NULL THEN b1 ELSE m2 * v2 + (1 - m2) * b1 END, 0), 255)')} AS v FROM (

@@ -109,6 +109,40 @@ def test_degrade_is_independent_of_partitioning(spark):
     assert all(0 <= v <= 255 and v == round(v) for p in one.values() for v in p)
 
 
+def test_gray_images_mix_all_channels(spark):
+    planes = [(0, c, rng.uniform(0, 255, (6, 6))) for c in range(3)]
+    plan = spark.createDataFrame([(0, "iso", 0.01, 0.01, 0.0, 1.0, 0.0, False, 0.0, 0.0, 0.0, True)], "img long, kernel string, sigma_x double, sigma_y double, theta double, scale double, noise double, jitter boolean, jitter_0 double, jitter_1 double, jitter_2 double, gray boolean")
+    got = {r["ch"]: r["plane"] for r in sampling.degrade(plane_df(spark, planes), plan, 3).collect()}
+    want = np.floor(sum(w * a for w, (_, _, a) in zip(pixels.LUMA_GRAY, planes)) + 0.5).ravel().tolist()
+    assert got == {c: pytest.approx(want) for c in range(3)}
+
+
+def test_planes_of_layers_and_tiles_equal_the_pixel_forms(spark):
+    base = plane_df(spark, [(i, 0, rng.uniform(0, 255, (5, 7))) for i in range(2)])
+    layers = [(i, 0, k, rng.integers(-4, 6), rng.integers(-4, 8), 3, 4, rng.uniform(0, 255, 12).tolist(), rng.uniform(0, 1, 12).tolist()) for i in (0, 1, 5) for k in range(4)]
+    layers = [(i, c, k, int(y), int(x), h, w, p, m) for i, c, k, y, x, h, w, p, m in layers]
+    df = spark.createDataFrame(layers, "img long, ch int, layer int, y0 int, x0 int, h int, w int, plane array<double>, mask array<double>").repartition(3)
+    flat = df.select("img", "ch", "layer", "y0", "x0", "w", F.posexplode(F.arrays_zip("plane", "mask")).alias("p", "e"))
+    flat = flat.select("img", "ch", "layer", (F.col("y0") + F.floor(F.col("p") / F.col("w"))).cast("int").alias("y"), (F.col("x0") + F.col("p") % F.col("w")).alias("x"), F.col("e.plane").alias("v"), F.col("e.mask").alias("mask"))
+    pixel = pixels.explode_planes(base).drop("h", "w")
+    want = {(r["img"], r["y"], r["x"]): r["v"] for r in pixels.composite(pixel, flat).collect()}
+    got = pixels.explode_planes(pixels.composite_planes(base, df)).collect()
+    assert {(r["img"], r["y"], r["x"]): r["v"] for r in got} == pytest.approx(want) and len(want) == 70
+    assert pixels.composite_planes(base, df.limit(0)).count() == 2
+
+
+def test_cover_of_tiles_and_its_shuffle(spark):
+    images = spark.createDataFrame([(0, 150, 90), (1, 30, 200), (2, 5, 5)], "img long, h int, w int")
+    tiles = pixels.tile(images, 40, 4, "fixed").withColumn("ch", F.explode(F.array(F.lit(0), F.lit(1))))
+    assert pixels.tile_coverage(tiles, images, 2).count() == 0
+    lost = tiles.where("NOT (img = 0 AND ch = 1 AND row = 2 AND col = 1)").where("img < 2")
+    again = lost.where("img = 1 AND ch = 0 AND row = 0 AND col = 0").withColumn("x", F.col("x") + 3)
+    got = {(r["img"], r["ch"]): (r["distinct"], r["most"]) for r in pixels.tile_coverage(lost.unionByName(again), images).collect()}
+    assert got == {(0, 1): (150 * 90 - 40 * 40, 1), (1, 0): (6000, 2), (2, 0): (0, 0), (2, 1): (0, 0)}
+    plan = pixels.tile_coverage(lost, images)._jdf.queryExecution().executedPlan().toString()
+    assert "plane" not in plan
+
+
 def test_degrade_without_effect_is_the_rounded_input(spark):
     a = rng.uniform(0, 255, (8, 8))
     plan = spark.createDataFrame([(0, "iso", 0.01, 0.01, 0.0, 1.0, 0.0, False, 0.0, 0.0, 0.0, False)], "img long, kernel string, sigma_x double, sigma_y double, theta double, scale double, noise double, jitter boolean, jitter_0 double, jitter_1 double, jitter_2 double, gray boolean")
@@ -194,6 +228,58 @@ def test_user_model_passes_failures_through(spark):
         scoring.score(df, picky_model, "x", 4, on_error="raise").collect()
 
 
+def test_a_model_is_built_once_per_worker_and_bad_rows_cost_few_calls(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def make():
+        import os
+        import uuid
+
+        open(os.path.join(folder, f"built-{os.getpid()}-{uuid.uuid4().hex}"), "w").close()
+
+        def run(values):
+            open(os.path.join(folder, f"call-{uuid.uuid4().hex}"), "w").close()
+            if (values == 77).any():
+                raise ValueError("bad")
+            return list(values * 2)
+
+        return run
+
+    df = spark.range(0, 6400, numPartitions=50).selectExpr("id", "cast(id as double) as x")
+    out = scoring.score(df, make, "x", 64).collect()
+    assert [r["id"] for r in out if r["failed"]] == [77] and all(r["scored"] == 2 * r["x"] for r in out if not r["failed"])
+    names = [p.name for p in tmp_path.iterdir()]
+    built = [n.split("-")[1] for n in names if n.startswith("built")]
+    assert len(built) == len(set(built)) < 50
+    # 100 batches, and one of 64 rows halved six times.
+    assert sum(n.startswith("call") for n in names) <= 100 + 2 * 6
+
+
+def test_a_model_must_return_a_result_per_row(spark):
+    df = spark.range(4).selectExpr("cast(id as double) as x").coalesce(1)
+    with pytest.raises(Exception, match="returned 1 results"):
+        scoring.score(df, lambda: lambda values: [1.0], "x", 4, on_error="raise").collect()
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 10, 97, 100, 1000, 1023])
+def test_permutation_is_a_bijection(spark, size):
+    from corpuslab.functions.hashing import permuted
+
+    df = spark.range(size).repartition(3)
+    one = {r["id"]: r["position"] for r in permuted(df, "id", size, "epoch", 3).collect()}
+    assert sorted(one.values()) == list(range(size)) and sorted(one) == list(range(size))
+    if size >= 97:
+        assert one != {r["id"]: r["position"] for r in permuted(df, "id", size, "epoch", 4).collect()}
+        # Far from the identity: the mean step is about a third of the size.
+        assert 0.2 * size < np.mean([abs(k - v) for k, v in one.items()]) < 0.47 * size
+
+
+def test_copies_of_an_epoch_are_not_shuffled(spark):
+    sample = sampling.epoch_sample(spark.range(500).withColumnRenamed("id", "k"), "k", 2.5, 3)
+    plan = sample._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+
+
 @pytest.mark.parametrize("ratio,replicas", [(1, 1), (2.5, 3), (0.5, 2)])
 def test_epoch_positions(spark, ratio, replicas):
     n = 23

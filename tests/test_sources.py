@@ -217,6 +217,19 @@ def test_presets(spark):
         joins.resolve_presets(df.withColumn("preset", F.lit("portrait"))).collect()
 
 
+def test_presets_from_a_table(spark):
+    requests = spark.createDataFrame([("a", 0.9), ("b", 0.9), ("Custom", 0.9)], "preset string, w double")
+    table = spark.createDataFrame([("a", 0.1), ("b", None), (None, 0.5)], "preset string, w double")
+    assert sorted(map(tuple, joins.resolve_presets(requests, table).collect())) == [("Custom", 0.9), ("a", 0.1), ("b", 0.9)]
+    for bad in ("c", None):
+        with pytest.raises(Exception, match="unknown preset"):
+            joins.resolve_presets(spark.createDataFrame([(bad, 0.1)], "preset string, w double"), table).collect()
+    with pytest.raises(ValueError, match="more than once"):
+        joins.resolve_presets(requests, table.unionByName(table))
+    swept = joins.sweep(spark.range(2), table.where("preset IS NOT NULL")).collect()
+    assert sorted((r["id"], r["preset"], r["w"]) for r in swept) == [(0, "a", 0.1), (0, "b", None), (1, "a", 0.1), (1, "b", None)]
+
+
 def test_gates(spark):
     df = spark.range(4)
     assert validation.require(df, F.count(F.lit(1)) == 4, "x").count() == 4

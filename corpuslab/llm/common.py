@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators.ordering import shared_folder
+from ..operators.ordering import join_facts, shared_folder  # noqa: F401
 
 #: The white space of all word definitions here; a word is a run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -1,8 +1,9 @@
 """Connected components as joins: alternating large and small stars, one written table per round.
 
 Every round replaces each node's neighbours by stars around the smallest node seen so far. It ends
-when a round changes nothing, after about log(longest path) rounds. A hub only ever meets an
-aggregate of one row per node, so its rows can be split over tasks; nothing is collected.
+when a round changes nothing, after about log(longest path) rounds. A hub meets an aggregate of one row
+per node; where Spark does not broadcast that, the edges of a hub, two longs each, are joined in one task.
+Nothing is collected.
 """
 
 from __future__ import annotations

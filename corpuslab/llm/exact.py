@@ -3,9 +3,9 @@
 Documents are split by successive runs of bytes until a group has one member or its texts have ended.
 A digit is 64 bytes at first and eight times as long in each round, so the number of rounds is the
 logarithm of the longest text. A round groups by (group so far, next bytes, text ends here): the count
-is an aggregate with partial sums before the shuffle, and the join that carries it back meets one row
-per group, so a group that holds a third of all rows is split over tasks. Equality is decided by the
-bytes themselves. Settled rows leave; only the rest of the bytes of unsettled ones goes on.
+is an aggregate with partial sums before the shuffle. The join that carries it back meets one row per
+group; the few groups that hold many rows are sent to all tasks, and their rows are not shuffled, so a
+group of a third of all rows stays spread. Equality is decided by the bytes themselves. Settled rows leave; only the rest of the bytes of unsettled ones goes on.
 
 SHA-256 serves two purposes, neither of them equality: it is an output column, and beside the id it
 names a group (two groups can only share a name if one id stands for two texts of equal digest).
@@ -15,18 +15,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import same, saved, text_of
+from .common import join_facts, same, saved, text_of
 
 FIRST_DIGIT = 64
 GROWTH = 8
+HOT_BYTES = 1 << 16
 
 
 def _round(rows: DataFrame, digit: int) -> DataFrame:
     """One split: ``member, sha, best, n, settled, rest, at`` for every row."""
     keyed = rows.withColumn("key", F.struct("best", F.substring("rest", 1, digit).alias("digit"), (F.length("rest") <= digit).alias("ended")))
-    groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("member.id", "sha")).alias("_best"))
+    groups = saved(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("member.id", "sha")).alias("_best")))
     settled = (F.col("n") == 1) | F.col("key.ended")
-    return keyed.join(groups, "key").select(
+    # The longer the digit, the fewer keys are sent to all tasks: 64 kB of digits, or four.
+    return join_facts(keyed, groups, ["key"], "n", max(4, HOT_BYTES // digit)).select(
         "member",
         "sha",
         F.col("_best").alias("best"),
@@ -70,8 +72,8 @@ def _decide(parts: list[DataFrame], carry: bool) -> DataFrame:
         lone = part.where("n = 1").withColumn("kept", F.lit(True))
         many = part.where("n > 1")
         winner = same(F.col("member.id"), F.col("best.id")) & (F.col("sha") == F.col("best.sha"))
-        stays = many.where(winner).groupBy("best").agg(F.min("at").alias("_at"))
-        many = many.join(stays, "best").withColumn("kept", F.col("at") == F.col("_at")).drop("_at")
+        stays = saved(many.where(winner).groupBy("best").agg(F.min("at").alias("_at"), F.max("n").alias("_n")))
+        many = join_facts(many, stays, ["best"], "_n").drop("_n").withColumn("kept", F.col("at") == F.col("_at")).drop("_at")
         both = lone.unionByName(many)
         done = both if done is None else done.unionByName(both)
     return done.select(
@@ -85,7 +87,7 @@ def _decide(parts: list[DataFrame], carry: bool) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with the columns of ``docs``."""
+    """The rows that stay, with the columns of ``docs``; nulls, empty texts and repeated rows are those of :func:`exact_groups`."""
     return exact_groups(docs, id_col, text_col, carry=True).where("kept").select("row.*")
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import same, saved, text_of
+from .common import join_facts, same, saved, text_of
 from .components import connected
 
 BITS, PARTS, SEED = 64, 4, 42
@@ -54,7 +54,11 @@ def shingles(text: str | None, width: int) -> np.ndarray:
 
 def fingerprint(text: str | None, width: int = 3) -> int:
     """Unsigned SimHash of :func:`shingles`; 0 for a text without words."""
-    hashes = shingles(text, width)
+    return print_of(shingles(text, width))
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """A bit is 1 if set in over half of the hashes."""
     if len(hashes) < 2:
         return int(hashes.sum())
     # Eight bytes of a word count eight bits at a time; a byte holds 255 rows.
@@ -87,7 +91,7 @@ def _offsets(radius: int) -> list[int]:
     return sorted({c for d in steps if (c := sum(x * 32**i for i, x in enumerate(d))) >= 0})
 
 
-def _forest(links: np.ndarray) -> np.ndarray:
+def forest(links: np.ndarray) -> np.ndarray:
     """Star edges (node, smallest node) with the components of ``links``."""
     nodes, at = np.unique(links, return_inverse=True)
     at = at.reshape(links.shape)
@@ -114,7 +118,7 @@ def _near(own: np.ndarray, others: np.ndarray, radius: int) -> np.ndarray:
         links = np.stack((own[i], part[j]), axis=1)
         links = links[links[:, 0] != links[:, 1]]
         if len(links):
-            found.append(_forest(links))
+            found.append(forest(links))
     return np.concatenate(found) if found else np.empty((0, 2), np.int64)
 
 
@@ -130,7 +134,7 @@ def _compare(radius: int):
             found = [_near(cut(0, ks[0]), np.concatenate([cut(1, k) for k in ks]), radius) for ks in by_tile.values()]
             links = np.concatenate(found) if found else np.empty((0, 2), np.int64)
             if len(links):
-                links = _forest(links)
+                links = forest(links)
                 yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
 
     return run
@@ -163,14 +167,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     give no rows. Only the id and the text are read.
     """
     prints = saved(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(text_of(text_col), width).alias("fp")))
-    nodes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    nodes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")))
     roots = connected(near_links(nodes, radius), "a", "b")
     # A root is no node of its own star; it gets one here.
     members = roots.union(roots.select("root", "root").distinct()).join(nodes, F.col("node") == F.col("fp"))
     names = members.groupBy("root").agg(F.min("first_id").alias("name"))
     named = members.join(names, "root").select("fp", "name")
-    nodes = nodes.join(named, "fp", "left").select("fp", F.coalesce("name", "first_id").alias("component_id"))
-    return prints.join(nodes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    nodes = saved(nodes.join(named, "fp", "left").select("fp", "n", F.coalesce("name", "first_id").alias("component_id")))
+    return join_facts(prints, nodes, ["fp"], "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:

@@ -141,40 +141,74 @@ def _linear_matrix(n_in: int, n_out: int) -> np.ndarray:
     return m
 
 
-def _degrade_plane(p: np.ndarray, row, seed: int, kernel_size: int) -> np.ndarray:
-    h, w = p.shape
-    sy = row.sigma_x if row.kernel == "iso" else row.sigma_y
-    kernel = _gauss(kernel_size, row.sigma_x, sy, 0.0 if row.kernel == "iso" else row.theta)
-    r = kernel_size // 2
+def _blur_kernel(row, size: int, motion: list[np.ndarray]) -> np.ndarray:
+    if row.motion >= 0:
+        return motion[row.motion]
+    iso = row.kernel == "iso"
+    return _gauss(size, row.sigma_x, row.sigma_x if iso else row.sigma_y, 0.0 if iso else row.theta)
+
+
+def _blurred(planes: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """Correlation of a stack of planes of one shape with one kernel, mirrored at the borders."""
+    rows, cols = kernel.shape
+    reach = ((0, 0), (rows // 2, rows - 1 - rows // 2), (cols // 2, cols - 1 - cols // 2))
     # a small plane is mirrored as often as the kernel reaches
-    padded = np.pad(p, r, mode="reflect" if min(h, w) > 1 else "edge")
-    windows = np.lib.stride_tricks.sliding_window_view(padded, (kernel_size, kernel_size), axis=(0, 1))
-    blurred = np.stack([np.tensordot(row, kernel, axes=2) for row in windows])
-    sh, sw = max(1, int(h // row.scale)), max(1, int(w // row.scale))
-    small = _area_matrix(h, sh) @ blurred @ _area_matrix(w, sw).T
-    noise = np.random.Generator(np.random.Philox(key=[seed & (2**63 - 1), (int(row.img) * 16 + int(row.ch)) & (2**63 - 1)]))
-    small = np.clip(small + noise.standard_normal(small.shape) * row.noise, 0, 255)
-    return _linear_matrix(sh, h) @ small @ _linear_matrix(sw, w).T
+    padded = np.pad(planes, reach, mode="reflect" if min(planes.shape[1:]) > 1 else "edge")
+    out = np.zeros(planes.shape)
+    for i in range(rows):
+        windows = np.lib.stride_tricks.sliding_window_view(padded[:, i : i + planes.shape[1]], cols, axis=2)
+        out += windows @ kernel[i]
+    return out
+
+
+def _degrade_planes(planes: np.ndarray, row, noise: list[np.ndarray], kernel: np.ndarray) -> np.ndarray:
+    """The planes of one image in one shape: blur, area reduction, noise, linear enlargement."""
+    h, w = planes.shape[1:]
+    small = _area_matrix(h, row.small_h) @ _blurred(planes, kernel) @ _area_matrix(w, row.small_w).T
+    small = np.clip(small + np.stack(noise).reshape(small.shape) * row.noise, 0, 255)
+    return _linear_matrix(row.small_h, h) @ small @ _linear_matrix(row.small_w, w).T
+
+
+def normal_noise(key: Column, count: Column, seed: int = 0) -> Column:
+    """Array of standard normal draws by Box and Muller's rule, the k-th from the uniform draws of ``key:k``."""
+    draw = lambda k, tag: uniform(F.concat_ws(":", key, k.cast("string")), tag, seed)
+    one = lambda k: F.sqrt(-2.0 * F.log(1.0 - draw(k, "n1"))) * F.cos(2.0 * math.pi * draw(k, "n2"))
+    return F.transform(F.sequence(F.lit(0), count - 1), one)
 
 
-def degrade(planes: DataFrame, plan: DataFrame, kernel_size: int = 41, seed: int = 0) -> DataFrame:
+def degrade(planes: DataFrame, plan: DataFrame, kernel_size: int = 41, seed: int = 0, motion_kernels: list[np.ndarray] | None = None) -> DataFrame:
     """Apply blur, down- and up-scaling, noise, jitter and gray of a plan to planes in [0, 255].
 
-    ``plan``: ``img, kernel, sigma_x, sigma_y, theta, scale, noise, jitter, jitter_0..2, gray``.
-    Noise depends on (seed, image, channel) alone. The JPEG step of a plan is not applied. A null coin is
-    false; a plane whose image has no plan row ends the job.
+    ``plan``: ``img, kernel, sigma_x, sigma_y, theta, scale, noise, jitter, jitter_0..2, gray`` and optionally
+    ``motion``. Where that is true and ``motion_kernels`` (a short list) are given, one of them, drawn by the image,
+    takes the place of the blur kernel. Noise depends on (seed, image, channel, pixel) alone. Planes of one image and
+    shape are worked on as a stack. The JPEG step of a plan is not applied. A null coin is false; a plane whose
+    image has no plan row ends the job.
     """
+    motion_list = [np.asarray(k, dtype=float) for k in motion_kernels or []]
     joined = planes.join(plan, "img", "left")
     joined = joined.withColumn("kernel", F.coalesce("kernel", F.raise_error(F.lit("an image has no degradation plan"))))
     joined = joined.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("gray", "jitter")})
-    fields = [c for c in joined.columns if c != "plane"]
+    drawn = uniform_int(F.col("img"), "motion:kernel", 0, max(0, len(motion_list) - 1), seed).cast("int")
+    moving = F.coalesce(F.col("motion"), F.lit(False)) if motion_list and "motion" in plan.columns else F.lit(False)
+    reduced = lambda side: F.greatest(F.lit(1), F.floor(F.col(side) / F.col("scale"))).cast("int")
+    joined = joined.withColumns({"motion": F.when(moving, drawn).otherwise(-1), "small_h": reduced("h"), "small_w": reduced("w")})
+    key = F.concat_ws(":", F.col("img").cast("string"), F.col("ch").cast("string"))
+    joined = joined.withColumn("_noise", normal_noise(key, F.col("small_h") * F.col("small_w"), seed))
+    fields = [c for c in joined.columns if c not in ("plane", "_noise")]
 
     def run(batches):
         for rows in batches:
-            out = [
-                _degrade_plane(np.asarray(r.plane, dtype=float).reshape(r.h, r.w), r, seed, kernel_size).ravel()
-                for r in rows.itertuples(index=False)
-            ]
+            out = [None] * len(rows)
+            stacks: dict = {}
+            for nr, row in enumerate(rows.itertuples(index=False)):
+                stacks.setdefault((row.img, row.h, row.w), []).append((nr, row))
+            for (_, h, w), stack in stacks.items():
+                first = stack[0][1]
+                planes = np.stack([np.asarray(row.plane, dtype=float).reshape(h, w) for _, row in stack])
+                done = _degrade_planes(planes, first, [np.asarray(rows["_noise"].iat[nr]) for nr, _ in stack], _blur_kernel(first, kernel_size, motion_list))
+                for (nr, _), plane in zip(stack, done):
+                    out[nr] = plane.ravel()
             yield rows[fields].assign(plane=out)
 
     schema = joined.select(*fields, F.col("plane").cast("array<double>").alias("plane")).schema

@@ -535,6 +535,37 @@ def _plan() -> str:
     return "SELECT rel_path, " + ", ".join(cols) + " FROM listing"
 
 
+def _degrade() -> str:
+    """Blur by rows of the kernel over mirrored rows, area means, noise, linear enlargement, shifts and gray; 24 x 24 pixels, 21 taps."""
+    draw = lambda tag, low, high: rng("img", tag, low, high, 9)
+    mirror = lambda t: f"CASE WHEN {t} < 0 THEN -({t}) WHEN {t} > 23 THEN 46 - ({t}) ELSE {t} END"
+    noise = lambda tag: u("(img || ':' || ch || ':' || (oy * side + ox))", tag, 9)
+    cover = lambda o, c: f"greatest(0, least(({o} + 1) * 24 / side, {c} + 1) - greatest({o} * 24 / side, {c})) * side / 24"
+    at = lambda c: f"least(greatest(({c} + 0.5) * side / 24 - 0.5, 0), side - 1)"
+    pi = "3.141592653589793::DOUBLE"
+    return f""", plan AS (SELECT img, {u('img', 'small:kernel', 9)} < 0.5 AS iso, {draw('small:sx', 0.1, 10)} AS sx, {draw('small:sy', 0.1, 10)} AS sy0,
+        -{pi} + {u('img', 'small:theta', 9)} * (2 * {pi}) AS th, greatest(1, floor(24 / {draw('small:scale', 1, 20)}))::INTEGER AS side, {draw('small:noise', 0, 30)} AS noise,
+        {u('img', 'gray', 9)} < 0.01 AS gray, CASE WHEN {u('img', 'jitter', 9)} < 0.3 THEN [{', '.join(draw(f'jitter{c}', -20, 20) for c in range(3))}] ELSE [0.0, 0.0, 0.0] END AS shift
+        FROM (SELECT DISTINCT vec_id // 3 AS img FROM embeddings)),
+    taps AS (SELECT img, i, j, exp(-0.5 * (((cos(t) * (j - 10) + sin(t) * (i - 10)) / sx) ** 2 + ((cos(t) * (i - 10) - sin(t) * (j - 10)) / sy) ** 2)) AS k
+        FROM (SELECT *, CASE WHEN iso THEN 0 ELSE th END AS t, CASE WHEN iso THEN sx ELSE sy0 END AS sy FROM plan), range(21) a(i), range(21) b(j)),
+    kern AS (SELECT img, i, list(k / total ORDER BY j) AS krow FROM (SELECT *, sum(k) OVER (PARTITION BY img) AS total FROM taps) GROUP BY img, i),
+    big AS (SELECT vec_id // 3 AS img, vec_id % 3 AS ch, y, list_transform(range(44), lambda x: plane[((y // 3) * 8 + ({mirror('(x - 10)')}) // 3 + 1)::INTEGER]) AS prow FROM vec, range(24) r(y)),
+    lines AS (SELECT big.img, ch, r.y, list_transform(range(24), lambda x: list_inner_product(krow, prow[x + 1 : x + 21])) AS vs
+        FROM kern JOIN big USING (img), range(24) r(y) WHERE big.y = {mirror('(r.y + i - 10)')}),
+    blur AS (SELECT img, ch, y, x, sum(v) AS v FROM (SELECT img, ch, y, unnest(vs) AS v, unnest(range(24)) AS x FROM lines) GROUP BY img, ch, y, x),
+    rows_ AS (SELECT img, ch, oy, x, side, noise, sum(v * {cover('oy', 'y')}) AS v FROM blur JOIN plan USING (img), range(24) o(oy) WHERE oy < side AND y + 1 > oy * 24 / side AND y < (oy + 1) * 24 / side GROUP BY ALL),
+    small AS (SELECT img, ch, oy, ox, side, noise, sum(v * {cover('ox', 'x')}) AS v FROM rows_, range(24) o(ox) WHERE ox < side AND x + 1 > ox * 24 / side AND x < (ox + 1) * 24 / side GROUP BY ALL),
+    noisy AS (SELECT img, ch, side, list(least(greatest(v + sqrt(-2 * ln(1 - {noise('n1')})) * cos(2 * {pi} * {noise('n2')}) * noise, 0), 255) ORDER BY oy, ox) AS p FROM small GROUP BY img, ch, side),
+    spots AS (SELECT *, floor(ay)::INTEGER AS ly, floor(ax)::INTEGER AS lx, least(floor(ay) + 1, side - 1)::INTEGER AS hy, least(floor(ax) + 1, side - 1)::INTEGER AS hx, ay - floor(ay) AS fy, ax - floor(ax) AS fx
+        FROM (SELECT *, {at('y')} AS ay, {at('x')} AS ax FROM noisy, range(24) a(y), range(24) b(x))),
+    moved AS (SELECT img, ch, y, x, gray, least(greatest((1 - fy) * ((1 - fx) * p[ly * s.side + lx + 1] + fx * p[ly * s.side + hx + 1]) + fy * ((1 - fx) * p[hy * s.side + lx + 1] + fx * p[hy * s.side + hx + 1]) + shift[ch + 1], 0), 255) AS v
+        FROM spots s JOIN plan USING (img)),
+    mixed AS (SELECT img, ch, y, x, CASE WHEN gray THEN sum([0.1140::DOUBLE, 0.5870, 0.2989][ch + 1] * v) OVER (PARTITION BY img, y, x) ELSE v END AS v FROM moved)
+    SELECT img, ch::INTEGER AS ch, {r('sum(least(greatest(round(v), 0), 255))')} AS total, 576 AS pixels FROM mixed GROUP BY img, ch"""
+
+
+O["degrade"] = with_("vec", _degrade())
 O["degradation_plan"] = with_("listing", _plan())
 O["crop_plan"] = with_(
     "listing",

@@ -109,6 +109,25 @@ def test_degrade_is_independent_of_partitioning(spark):
     assert all(0 <= v <= 255 and v == round(v) for p in one.values() for v in p)
 
 
+def test_motion_kernels_take_the_place_of_the_blur(spark):
+    """A kernel that moves every pixel one to the left, for the images whose coin is true."""
+    a = rng.uniform(0, 255, (6, 8))
+    shift = np.array([[0.0, 0.0, 1.0]])
+    row = lambda i, motion: (i, "iso", 0.01, 0.01, 0.0, 1.0, 0.0, False, 0.0, 0.0, 0.0, False, motion)
+    plan = spark.createDataFrame([row(0, True), row(1, False), row(2, None)], "img long, kernel string, sigma_x double, sigma_y double, theta double, scale double, noise double, jitter boolean, jitter_0 double, jitter_1 double, jitter_2 double, gray boolean, motion boolean")
+    planes = plane_df(spark, [(i, 0, a) for i in range(3)])
+    got = {r["img"]: np.array(r["plane"]).reshape(6, 8) for r in sampling.degrade(planes, plan, 3, motion_kernels=[shift]).collect()}
+    moved = np.hstack([a[:, 1:], a[:, -2:-1]])
+    assert (got[0] == np.floor(moved + 0.5)).all() and (got[1] == np.floor(a + 0.5)).all() and (got[2] == got[1]).all()
+    still = {r["img"]: r["plane"] for r in sampling.degrade(planes, plan, 3).collect()}
+    assert still[0] == still[1]
+
+
+def test_noise_is_standard_normal(spark):
+    z = np.array(spark.range(40).select(F.explode(sampling.normal_noise(F.col("id").cast("string"), F.lit(500), 3))).toPandas()["col"])
+    assert abs(z.mean()) < 0.03 and abs(z.std() - 1) < 0.03 and abs((np.abs(z) < 1).mean() - 0.6827) < 0.015
+
+
 def test_gray_images_mix_all_channels(spark):
     planes = [(0, c, rng.uniform(0, 255, (6, 6))) for c in range(3)]
     plan = spark.createDataFrame([(0, "iso", 0.01, 0.01, 0.0, 1.0, 0.0, False, 0.0, 0.0, 0.0, True)], "img long, kernel string, sigma_x double, sigma_y double, theta double, scale double, noise double, jitter boolean, jitter_0 double, jitter_1 double, jitter_2 double, gray boolean")

@@ -2,10 +2,11 @@
 
 Every match of a pattern is put between marks, the text is split at the marks, and running lengths give
 the spans in code points. Base spans are those of three fixed patterns. The method adds spans of a
-further kind, ``live``: long mixed tokens outside the base spans that look random and whose hash occurs with
-one owner only in the whole corpus. The same aggregate tells base values apart: one that two or more
-owners hold is a widely copied example, one that a single owner holds may be live. An owner is a
-source, a repository a document. Only candidates are shuffled, with partial sums per hash.
+further kind, ``live``: long tokens of mixed characters outside the base spans whose hash is not widely copied in
+the whole corpus. An owner is a source, a repository a document. A value is widely copied when two or more
+owners hold it, or one owner in very many repositories: a token that a source repeats in hundreds of its
+documents is boilerplate, not one key that leaked. The same counts tell base values apart. Only candidates
+are shuffled, with partial sums per hash.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ PATTERNS = {
 VALUE = {"assign": "^" + KEYWORD + r"""["']?\x20*[:=]\x20*["']?""", "access": "^", "hex": "^", "live": "^"}
 LEAST = {"assign": 8, "access": 16, "hex": 32, "live": 24}
 BASE = ("assign", "access", "hex")
-#: Owners from which on a value counts as widely copied.
-COPIED = 2
+#: Owners, and repositories of a single owner, from which on a value counts as widely copied.
+COPIED, COPIED_REPOSITORIES = 2, 100
 #: Stand around a match; a text that holds the first has it replaced by a character no pattern takes.
 MARK, OTHER = "\ue000", "\ue001"
 
@@ -77,7 +78,7 @@ def _passes(part: Column, kind: str) -> Column:
     long_enough = F.length(_value(part, kind)) >= LEAST[kind]
     if kind != "live":
         return long_enough
-    # Looks random: a letter of either case and a digit, and hardly a run of one character class.
+    # Mixed characters make a candidate; how often it occurs decides.
     return long_enough & F.rlike(part, F.lit("[0-9]")) & F.rlike(part, F.lit("[a-z]")) & F.rlike(part, F.lit("[A-Z]"))
 
 
@@ -87,13 +88,17 @@ def ownership(found: DataFrame) -> DataFrame:
     return pairs.groupBy("digest").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", copied: int = COPIED) -> DataFrame:
+def is_copied(owners: Column, repositories: Column, copied: int = COPIED, copied_repositories: int = COPIED_REPOSITORIES) -> Column:
+    return (owners >= copied) | (repositories >= copied_repositories)
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", copied: int = COPIED, copied_repositories: int = COPIED_REPOSITORIES) -> DataFrame:
     """``doc_id, spans`` for every row: an array of kind, nr, lo, hi, owners, repositories in order of lo, then kind.
 
     A null text is empty and has no span; rows without an owner share one. Repeated rows are scanned one by
     one and count as one repository each. No rows give no rows. Base spans are all returned, with the
-    number of owners that hold the value; of the further kind only those with fewer than ``copied``
-    owners that no base span touches.
+    numbers of owners and repositories that hold the value; of the further kind only those that no base span
+    touches and whose value has fewer than ``copied`` owners and ``copied_repositories`` repositories.
     """
     text = F.col("_text")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), text_of(text_col).alias("_text"))
@@ -101,7 +106,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     base = F.concat(*[F.col(k) for k in BASE])
     free = F.filter("live", lambda s: ~F.exists(base, lambda b: (b["lo"] < s["hi"]) & (s["lo"] < b["hi"])))
     found = saved(rows.select("at", "owner", F.explode(F.concat(base, free)).alias("span")).withColumn("digest", F.unhex(F.sha2("span.value", 256))))
-    counted = found.join(ownership(found), "digest").where((F.col("span.kind") != "live") | (F.col("owners") < copied))
+    counted = found.join(ownership(found), "digest").where((F.col("span.kind") != "live") | ~is_copied(F.col("owners"), F.col("repositories"), copied, copied_repositories))
     span = F.struct(F.col("span.lo").alias("lo"), F.col("span.nr").alias("nr"), F.col("span.hi").alias("hi"), F.col("span.kind").alias("kind"), "owners", "repositories")
     per_row = counted.groupBy("at").agg(F.array_sort(F.collect_list(span)).alias("spans"))
     empty = F.expr("cast(array() as array<struct<lo: int, nr: int, hi: int, kind: string, owners: bigint, repositories: bigint>>)")
@@ -113,7 +118,10 @@ def _joined(array: Column) -> Column:
 
 
 def per_document(docs: DataFrame) -> DataFrame:
-    """Counts, digest of the base spans, all spans, and how many base values are copied or held by one owner."""
+    """Counts, digest of the base spans, all spans with owners and repositories of each, and how many base values are widely copied or how many of all may be live.
+
+    Rows, nulls and empty texts are those of :func:`scan`; a text without spans has empty strings and zeros.
+    """
     found = scan(docs)
     base = F.filter("spans", lambda s: s["kind"] != "live")
     count = lambda test: F.size(F.filter("spans", test)).cast("long")
@@ -124,8 +132,10 @@ def per_document(docs: DataFrame) -> DataFrame:
         count(lambda s: s["kind"] == "hex").alias("n_hex"),
         F.sha2(_joined(base), 256).alias("base_sha256"),
         _joined(F.col("spans")).alias("spans"),
-        count(lambda s: (s["kind"] != "live") & (s["owners"] >= COPIED)).alias("n_copied"),
-        count(lambda s: s["owners"] < COPIED).alias("n_live"),
+        F.array_join(F.col("spans.owners").cast("array<string>"), ",").alias("owners"),
+        F.array_join(F.col("spans.repositories").cast("array<string>"), ",").alias("repositories"),
+        count(lambda s: (s["kind"] != "live") & is_copied(s["owners"], s["repositories"])).alias("n_copied"),
+        count(lambda s: ~is_copied(s["owners"], s["repositories"])).alias("n_live"),
     )
 
 
@@ -147,11 +157,13 @@ def _oracle() -> str:
     live AS (SELECT * FROM found f WHERE kind = 'live' AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')
       AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = f.doc_id AND b.lo < f.hi AND f.lo < b.hi)),
     candidates AS (SELECT * FROM base UNION ALL SELECT * FROM live),
-    owned AS (SELECT value, count(DISTINCT owner) AS owners FROM candidates GROUP BY value),
-    spans AS (SELECT c.*, owners, kind || ':' || lo || ':' || hi AS s FROM candidates c JOIN owned USING (value) WHERE kind <> 'live' OR owners < {COPIED})
+    owned AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT doc_id) AS repositories FROM candidates GROUP BY value),
+    spans AS (SELECT c.*, owners, repositories, owners >= {COPIED} OR repositories >= {COPIED_REPOSITORIES} AS copied, kind || ':' || lo || ':' || hi AS s
+      FROM candidates c JOIN owned USING (value) WHERE kind <> 'live' OR NOT (owners >= {COPIED} OR repositories >= {COPIED_REPOSITORIES}))
     SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
       sha256(coalesce(string_agg(s, ',' ORDER BY lo, nr) FILTER (kind <> 'live'), '')) AS base_sha256, coalesce(string_agg(s, ',' ORDER BY lo, nr), '') AS spans,
-      count(*) FILTER (kind <> 'live' AND owners >= {COPIED}) AS n_copied, count(*) FILTER (owners < {COPIED}) AS n_live
+      coalesce(string_agg(owners, ',' ORDER BY lo, nr), '') AS owners, coalesce(string_agg(repositories, ',' ORDER BY lo, nr), '') AS repositories,
+      count(*) FILTER (kind <> 'live' AND copied) AS n_copied, count(*) FILTER (NOT copied) AS n_live
     FROM d LEFT JOIN spans USING (doc_id) GROUP BY doc_id"""
 
 

@@ -70,22 +70,27 @@ def plain_base(text):
 
 
 def plain_scan(rows):
-    owners = defaultdict(set)
+    held = defaultdict(set)
     scanned = []
-    for r in rows:
+    for at, r in enumerate(rows):
         text = r[1] or ""
         base = plain_base(text)
         live = [(m.start(), 3, m.end(), "live", m[0]) for m in re.finditer("[A-Za-z0-9+/_-]+", text) if len(m[0]) >= 24 and all(re.search(c, m[0]) for c in ("[0-9]", "[a-z]", "[A-Z]"))]
         live = [s for s in live if not any(b[0] < s[2] and s[0] < b[2] for b in base)]
         for s in base + live:
-            owners[s[4]].add(r[2] or "")
+            held[s[4]].add((r[2] or "", at))
         scanned.append((r[0], base, live))
     join = lambda spans: ",".join(f"{s[3]}:{s[0]}:{s[2]}" for s in sorted(spans))
+    owners = lambda s: len({o for o, _ in held[s[4]]})
+    copied = lambda s: owners(s) >= secrets.COPIED or len(held[s[4]]) >= secrets.COPIED_REPOSITORIES
     out = Counter()
     for doc, base, live in scanned:
-        live = [s for s in live if len(owners[s[4]]) < secrets.COPIED]
+        live = [s for s in live if not copied(s)]
         kinds = Counter(s[3] for s in base)
-        out[(doc, kinds["assign"], kinds["access"], kinds["hex"], hashlib.sha256(join(base).encode()).hexdigest(), join(base + live), sum(len(owners[s[4]]) >= secrets.COPIED for s in base), sum(len(owners[s[4]]) < secrets.COPIED for s in base + live))] += 1
+        spans = sorted(base + live)
+        counts = ",".join(str(owners(s)) for s in spans), ",".join(str(len(held[s[4]])) for s in spans)
+        digest = hashlib.sha256(join(base).encode()).hexdigest()
+        out[(doc, kinds["assign"], kinds["access"], kinds["hex"], digest, join(spans), *counts, sum(map(copied, base)), sum(not copied(s) for s in spans))] += 1
     return out
 
 
@@ -121,3 +126,11 @@ def test_secrets_in_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
     assert Counter(map(tuple, secrets.per_document(docs).collect())) == plain_scan(rows)
+
+
+def test_a_value_of_very_many_documents_of_one_owner_is_copied(spark):
+    rows = [(k, "key Qbcdefghijklmnopqrstuvw11111 here", "one") for k in range(secrets.COPIED_REPOSITORIES)]
+    rows += [(1000 + k, "key Zbcdefghijklmnopqrstuvw22222 here", "one") for k in range(secrets.COPIED_REPOSITORIES - 1)]
+    got = secrets.per_document(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r["spans"] for r in got if r["doc_id"] < 1000} == {""} and {r["spans"] for r in got if r["doc_id"] >= 1000} == {"live:4:32"}
+    assert Counter(map(tuple, got)) == plain_scan(rows)

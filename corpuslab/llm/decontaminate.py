@@ -5,20 +5,22 @@ allowed, so at least one piece of any such occurrence is unedited. One Aho-Coras
 pieces of a block of items finds every exact piece in one pass over a whole text; around each hit the
 smallest edit distance of the item to any substring is computed with Myers' bit-parallel recurrence.
 
-The benchmark is the query set: it is read in blocks of bounded size, each a pass over all documents.
-Documents are never shuffled.
+The benchmark is the query set: it is read in blocks of bounded size, each a pass over all documents whose
+hits are written before the next block is read, so one block at a time is on the driver and in the tasks.
+Documents are not shuffled to find hits.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import text_of
+from .common import saved, text_of
 
 #: Edits allowed per character of an item.
 BUDGET = 0.08
@@ -120,13 +122,14 @@ def _spans(starts: list[int], length: int, limit: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in spans]
 
 
-def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> list[list[tuple[int, str]]]:
-    """The distinct items, normalised, in blocks of about ``block_chars`` characters; each is brought to the driver on its own."""
+def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
+    """The distinct items, normalised, in blocks of about ``block_chars`` characters, one after another."""
     items = benchmark.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     count = -(-total // block_chars)
-    blocks = (items.where(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == k).collect() for k in range(count))
-    return [sorted(((r["id"], normalise(r["text"])) for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1])) for rows in blocks]
+    for k in range(count):
+        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == k).collect()
+        yield sorted(((r["id"], normalise(r["text"])) for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
 
 
 def hits_column(items: list[tuple[int, str]], text: Column, budget: float = BUDGET) -> Column:
@@ -151,14 +154,27 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     rows; repeated items count once; items that share an id give a row each.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    parts = [rows.select("doc_id", F.explode(hits_column(block, F.col("_text"), budget)).alias("hit")).select("doc_id", "hit.*") for block in item_blocks(benchmark, block_chars=block_chars)]
-    if not parts:
-        return rows.select("doc_id", F.explode(F.from_json(F.lit("[]"), HITS)).alias("hit")).select("doc_id", "hit.*")
-    return reduce(DataFrame.unionByName, parts)
+    found = lambda hits: rows.select("doc_id", F.explode(hits).alias("hit")).select("doc_id", "hit.*")
+    parts = [saved(found(hits_column(block, F.col("_text"), budget))) for block in item_blocks(benchmark, block_chars=block_chars)]
+    return reduce(DataFrame.unionByName, parts) if parts else found(F.from_json(F.lit("[]"), HITS))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", budget: float = BUDGET, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The documents in which no item occurs."""
-    for block in item_blocks(benchmark, block_chars=block_chars):
-        docs = docs.where(F.size(hits_column(block, F.col(text_col), budget)) == 0)
-    return docs
+    """The documents in which no item occurs, all columns kept.
+
+    Null and empty texts hold nothing and stay, as do all documents where the benchmark is empty; repeated rows stay
+    or go together. With a block or less of items the test is one filter; with more, the SHA-256 of texts with a
+    hit is written block by block, and these few leave by an anti-join.
+    """
+    blocks = item_blocks(benchmark, block_chars=block_chars)
+    first, second = next(blocks, None), next(blocks, None)
+    if second is None:
+        return docs if first is None else docs.where(F.size(hits_column(first, F.col(text_col), budget)) == 0)
+    digest = F.unhex(F.sha2(text_of(text_col), 256))
+    gone = []
+    while first is not None:
+        hit = docs.where(F.size(hits_column(first, F.col(text_col), budget)) > 0)
+        gone.append(saved(hit.select(digest.alias("_gone")).distinct()))
+        first, second = second, next(blocks, None) if second is not None else None
+    left = reduce(DataFrame.unionByName, gone).distinct()
+    return docs.join(left, digest == F.col("_gone"), "left_anti")

@@ -188,17 +188,18 @@ def held_out(id_col: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict[str, np.ndarray]:
     """Trains on at most SAMPLE_DOCS labelled documents outside the held-out fifth.
 
-    The sample is the labelled ids with the smallest hash; SAMPLE_CHUNKS chunks at even distances stand
-    for a longer text. Null labels and ids are not used, the largest of repeated labels is, and without
-    any label the untrained network is returned.
+    The sample is the labelled ids with the smallest hash; SAMPLE_CHUNKS chunks at even distances over the whole
+    text stand for a longer one. Null labels and ids are not used, of repeated labels the largest is, of rows
+    that share an id the text with the smallest hash, and without any label the untrained network is returned.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
     wanted = known.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_DOCS)
     texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
     # The wanted ids are SAMPLE_DOCS rows at most.
-    found = texts.join(F.broadcast(wanted), "_id").mapInPandas(_sampled, "id long, bytes binary, echo binary, label int")
-    rows = sorted(found.limit(2 * SAMPLE_DOCS).collect(), key=lambda r: (r["id"], bytes(r["bytes"])))
+    found = texts.join(F.broadcast(wanted), "_id").groupBy("_id", "_label").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
+    found = found.mapInPandas(_sampled, "id long, bytes binary, echo binary, label int")
+    rows = sorted(found.collect(), key=lambda r: (r["id"], bytes(r["bytes"])))
     return train([(np.frombuffer(r["bytes"], np.uint8).reshape(-1, CHUNK), np.frombuffer(r["echo"], bool).reshape(-1, CHUNK), r["label"]) for r in rows])
 
 
@@ -229,4 +230,5 @@ def classify(docs: DataFrame, parameters: dict[str, np.ndarray], id_col: str = "
 
 
 def keep_good(docs: DataFrame, parameters: dict[str, np.ndarray], text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The documents whose score reaches ``threshold``, all columns kept; null and empty texts are scored like others, no rows give no rows."""
     return docs.where(score_column(parameters, F.col(text_col)) >= threshold)

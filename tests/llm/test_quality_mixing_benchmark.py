@@ -215,6 +215,48 @@ def test_batches_do_not_change_scores():
     assert np.allclose(quality.probability(p, texts), one, atol=1e-5)
 
 
+def plain_score(p, text):
+    """The network as loops over chunks, windows and filters."""
+    raw = text.encode()
+    step, total, chunks = quality.CHUNK - quality.OVERLAP, 0.0, 0
+    echo = [any(k + 1 >= quality.ECHO + lag and raw[k - 7 : k + 1] == raw[k - 7 - lag : k + 1 - lag] for lag in range(1, quality.LAGS + 1)) for k in range(len(raw))]
+    start = 0
+    while True:
+        data = raw[start : start + quality.CHUNK]
+        inputs = np.zeros((quality.CHUNK, quality.EMBED + 1))
+        inputs[:, : quality.EMBED] = p["table"][0]
+        for k, byte in enumerate(data):
+            inputs[k] = [*p["table"][byte], echo[start + k]]
+        outs = []
+        for at in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE):
+            if at < max(1, len(data)):
+                outs.append(np.maximum(inputs[at : at + quality.WIDTH].ravel() @ p["filters"] + p["bias"], 0))
+        total += np.max(outs, axis=0) @ p["w_top"] + np.mean(outs, axis=0) @ p["w_mean"] + p["c"][0]
+        chunks += 1
+        start += step
+        if start + quality.OVERLAP >= len(raw):
+            break
+    return 1 / (1 + np.exp(-total / chunks))
+
+
+def test_scores_against_plain_loops(spark, sf_dir):
+    p = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    rng = random.Random(4)
+    texts = ["", "a", "The the the. " * 30, words(rng, 300), "é" * 600, words(rng, 40) + "\n" + words(rng, 700)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in quality.classify(docs, p).collect()}
+    assert all(abs(got[k] - plain_score(p, t)) < 1e-4 for k, t in enumerate(texts))
+
+
+def test_training_does_not_depend_on_the_order_of_rows(spark):
+    rng = random.Random(9)
+    rows = [(k % 20, words(rng, 30) if k % 2 else "spam " * rng.randint(5, 30)) for k in range(120)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, quality long")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = quality.fit(docs, labels), quality.fit(docs.orderBy(F.desc("text")).repartition(7), labels.repartition(3))
+    assert all((a[k] == b[k]).all() for k in a)
+
+
 def test_held_out_documents(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     parameters = quality.fit(docs, labels)

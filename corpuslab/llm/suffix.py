@@ -34,8 +34,8 @@ WIDTH = 2 * MATCH - SEED
 SIDE = (MATCH - SEED) // 2
 #: Text worked on at once, strings packed at once, and bytes of strings in a bucket.
 PIECE, FLUSH, BUCKET = 1 << 18, 250_000, 96 << 20
-#: Parts of a bucket, by the seed, that are worked on one after another.
-PARTS = 4
+#: Strings of a bucket that are worked on at a time: it is taken in as many parts, by the seed, as that needs.
+PART_STRINGS = 200_000
 #: Buckets of a small table.
 FEWEST = 16
 #: Bytes of strings in one index, unless one seed has more.
@@ -324,9 +324,14 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _bucket(table: pa.Table) -> pa.Table:
     """Marks of one bucket: a row per document with its spans. A part of the strings is at work at a time."""
     blobs = [x.as_py() for x in table.column("blob")]
-    found = [_marks(blob) for blob in blobs]
-    for part in range(PARTS):
-        found += _part_marks(*_part(blobs, part))
+    found, strings = [], 0
+    for blob in blobs:
+        marks, count = _marks(blob)
+        found.append(marks)
+        strings += count
+    parts = max(1, -(-strings // PART_STRINGS))
+    for part in range(parts):
+        found += _part_marks(*_part(blobs, part, parts))
     rank, tag, low, high = (np.concatenate(x) for x in zip(*found))
     order = np.lexsort((low, tag, rank))
     rank, tag = rank[order], tag[order]
@@ -337,14 +342,14 @@ def _bucket(table: pa.Table) -> pa.Table:
     return pa.table({"rank": pa.array(rank[new], pa.int64()), "tag": pa.array(tag[new], pa.int64()), "spans": pa.array(pieces, pa.binary())})
 
 
-def _marks(blob: bytes) -> tuple[np.ndarray, ...]:
-    """rank, tag, start and end of what was decided before the shuffle."""
-    rank, tag, *_, owner, place, size = _unpack(blob)
-    return rank[owner], tag[owner], place, place + size
+def _marks(blob: bytes) -> tuple[tuple[np.ndarray, ...], int]:
+    """rank, tag, start and end of what was decided before the shuffle, and the number of strings."""
+    rank, tag, strings, *_, owner, place, size = _unpack(blob)
+    return (rank[owner], tag[owner], place, place + size), len(strings)
 
 
-def _part(blobs: list[bytes], part: int) -> tuple:
-    """Strings, lengths and seeds of one part, and the string, rank, tag and place of each occurrence."""
+def _part(blobs: list[bytes], part: int, count: int) -> tuple:
+    """Strings, lengths and seeds of one of ``count`` parts, and the string, rank, tag and place of each occurrence."""
     parts, base = [], 0
     for blob in blobs:
         rank, tag, size, seed, flat, step, owner, place, *_ = _unpack(blob)
@@ -352,7 +357,7 @@ def _part(blobs: list[bytes], part: int) -> tuple:
         code = np.zeros(len(size), np.uint64)
         for k in range(SEED):
             code = code * _ODD + flat[starts + k]
-        mine = ((code ^ (code >> _U(29))) * _MIX >> _U(40)) % _U(PARTS) == part
+        mine = ((code ^ (code >> _U(29))) * _MIX >> _U(40)) % _U(count) == part
         which = np.cumsum(step)
         seen = mine[which]
         number = np.cumsum(mine) - 1 + base

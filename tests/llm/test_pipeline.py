@@ -12,8 +12,8 @@ from compare import compare, duck
 from corpuslab.llm import decontaminate, quality
 from corpuslab.llm.common import saved, table
 from corpuslab.llm.queries import ORACLES, QUERIES
-from test_exact_simhash import plain_groups
 from test_quality_mixing_benchmark import check_mix
+from test_shingles import plain_stay
 
 NAMES = ["quality", "exact dedup", "near dedup", "decontamination", "mixing"]
 
@@ -52,7 +52,7 @@ def test_exact_stage(steps):
 
 def test_near_stage(steps):
     rows = [(r["doc_id"], r["text"]) for r in steps[2].collect()]
-    assert set(ids(steps[3])) == {i for i, _, c in plain_groups(rows) if i == c}
+    assert set(ids(steps[3])) == plain_stay(rows)
 
 
 def test_benchmark_stage(spark, sf_dir, steps):
@@ -77,9 +77,30 @@ def test_run_equals_the_stages(spark, sf_dir, steps):
 def test_registered():
     known = entry.queries()
     assert set(QUERIES) | {"pipeline"} <= set(known)
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_equals_duckdb(spark, sf_dir, name):
     assert compare(QUERIES[name](spark, sf_dir), duck(sf_dir), ORACLES[name]) == []
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_odd_rows_and_empty_tables_through_the_whole_pipeline(spark, sf_dir, tmp_path, empty):
+    from cases import frame, odd_rows
+
+    rows = [] if empty else odd_rows()
+    folder = str(tmp_path)
+    frame(spark, rows).write.parquet(f"{folder}/documents.parquet")
+    labels = table(spark, sf_dir, "labels")
+    (labels.limit(0) if empty else labels).write.parquet(f"{folder}/labels.parquet")
+    items = spark.createDataFrame([] if empty else [(1, rows[20][1]), (None, None), (2, "")], "item_id long, text string")
+    items.write.parquet(f"{folder}/benchmark.parquet")
+    done = corpus_pipeline.run(spark, folder)
+    assert done.columns == ["doc_id", "size", "source_size", "target", "taken"]
+    got = [r["doc_id"] for r in done.collect()]
+    assert set(got) <= {r[0] for r in rows} and (not empty or got == [])
+    frames = [table(spark, folder, "documents")]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        frames.append(saved(stage(spark, frames[-1], folder)))
+        assert frames[-1].columns == frames[0].columns

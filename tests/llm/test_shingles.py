@@ -72,3 +72,47 @@ def test_bands_agree_at_the_similarity():
         a, b = (shingles.np.array(common + part, shingles.np.uint64) for part in (rest[:10], rest[10:]))
         missed += not set(shingles.band_keys(a)) & set(shingles.band_keys(b))
     assert missed <= 2
+
+
+def test_common_counts():
+    rng = random.Random(2)
+    sets = [sorted({rng.randrange(9000) for _ in range(n)}) for n in (0, 1, 50, 4000, 6000, 6000)]
+    arrays = [shingles.np.array(s, shingles.np.int64) for s in sets]
+    got = shingles.common_counts(arrays[:3], arrays[2:])
+    assert got.tolist() == [[len(set(a) & set(b)) for b in sets[2:]] for a in sets[:3]]
+
+
+def clustered(n, most=4, seed=3):
+    """Copies of one text with up to ``most`` of its 120 words changed; each change breaks five shingles."""
+    rng = random.Random(seed)
+    base = words(rng, 120).split(" ")
+    rows = []
+    for k in range(n):
+        copy = list(base)
+        for at in rng.sample(range(len(copy)), rng.randint(0, most)):
+            copy[at] = words(rng, 1)
+        rows.append((k * 7 % n, " ".join(copy)))
+    return rows
+
+
+def test_large_groups_in_small_tiles(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "TILE_ROWS", 8)
+    rows = clustered(150) + [(i + 1000, t) for i, t in edited_rows(6, 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in shingles.keep_one_per_group(docs).collect()} == plain_stay(rows)
+
+
+def test_rows_of_the_comparison_grow_with_the_group(spark, monkeypatch):
+    """Twice the members of a group that coheres, about twice the rows that tasks compare."""
+    monkeypatch.setattr(shingles, "TILE_ROWS", 16)
+    links, counts = shingles._links, []
+
+    def counted(dealt, similarity):
+        counts[-1] += dealt.count()
+        return links(dealt, similarity)
+
+    monkeypatch.setattr(shingles, "_links", counted)
+    for n in (200, 400):
+        counts.append(0)
+        shingles.near_groups(spark.createDataFrame(clustered(n, 2), "doc_id long, text string")).count()
+    assert counts[1] < 2.4 * counts[0]

@@ -174,9 +174,10 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table as a file stream."""
+    """A driver table, one file or a folder of files, as a file stream."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    # A pattern, since a plain path must be a folder for the stream.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def scratch(spark: SparkSession, name: str) -> str:

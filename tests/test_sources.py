@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import text
 from corpuslab.operators import joins, projections, sampling, validation
+from corpuslab.plans import tables
 from corpuslab.sources import files, manifest, store, web
 
 
@@ -237,3 +238,18 @@ def test_gates(spark):
         validation.require_rows(df, 5, "too few")
     with pytest.raises(Exception, match="not small"):
         validation.checked(df, F.col("id") < 3, "not small").collect()
+
+
+def test_a_table_streams_from_one_file_or_a_folder(spark, tmp_path):
+    rows = spark.range(40).select("id", (F.col("id") % 3).alias("v"))
+    rows.repartition(3).write.parquet(str(tmp_path / "many" / "t.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "parts"))
+    (tmp_path / "one").mkdir()
+    (file,) = (tmp_path / "parts").glob("*.parquet")
+    file.rename(tmp_path / "one" / "t.parquet")
+    rows.write.parquet(str(tmp_path / "one" / "other.parquet"))
+    for kind in ("many", "one"):
+        out = str(tmp_path / f"{kind}-out")
+        stream = tables.stream(spark, str(tmp_path / kind), "t").writeStream.format("parquet").option("checkpointLocation", f"{out}-state")
+        stream.trigger(availableNow=True).start(out).awaitTermination(120)
+        assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(40))

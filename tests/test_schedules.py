@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslab.operators import schedules, scoring
+from corpuslab.operators import ordering, schedules, scoring
 
 
 def plain_asof(iters, steps, strict):
@@ -93,3 +93,20 @@ def test_cosine_periods_agree_with_the_column_form(spark):
     assert got[121] == (None, None)
     warm = iters.select("iteration", schedules.warmed_up(F.lit(2.0), F.col("iteration"), F.lit(2.0), F.lit(4)).alias("v")).limit(6).collect()
     assert {r["iteration"]: r["v"] for r in warm} == {0: 0.0, 1: 0.5, 2: 1.0, 3: 1.5, 4: 2.0, 5: 2.0}
+
+
+def test_block_of_a_value_by_binary_search(spark):
+    values = [None, float("-inf"), -1.0, 0.0, 0.5, 1.0, 6.0, 7.0, 7.5, 99.0, float("nan")]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double")
+    for bounds in ([], [0.0], [0.0, 1.0], [float(b) for b in range(7)], [float(b) for b in range(8)], [b / 4 for b in range(33)]):
+        got = dict(df.select("k", ordering.block_by_bounds(F.col("v"), bounds).alias("b")).collect())
+        assert got == {k: -1 if v is None else sum(b <= v or v != v for b in bounds) for k, v in enumerate(values)}
+
+
+def test_sketch_of_bounds_does_not_grow_with_the_blocks(spark, monkeypatch):
+    asked = []
+    real = ordering.F.percentile_approx
+    monkeypatch.setattr(ordering.F, "percentile_approx", lambda c, shares, accuracy: asked.append(accuracy) or real(c, shares, accuracy))
+    assert len(ordering.order_bounds(spark.range(20_000), "id", 10_000)) > 9_000
+    assert ordering.order_bounds(spark.range(100), "id", 4) == [24, 49, 74]
+    assert max(asked) <= ordering.MAX_ACCURACY

@@ -1016,7 +1016,7 @@ def require(spark, sf):
 
 @query
 def read_training_log(spark, sf):
-    out = logs.dashboard_losses(logs.parse_training_log(t.log_lines(widen(t.table(spark, sf, "events")))))
+    out = logs.dashboard_losses(logs.parse_training_log(t.log_lines(widen(t.table(spark, sf, "events"), logs.TASK_LINES))))
     return out.select("iteration", "eta", "eta_s", *[r(c, 9).alias(c) for c in logs.DASHBOARD_LOSSES])
 
 

@@ -16,6 +16,8 @@ from ..functions.text import duration_seconds, micros
 
 WATERMARK = "10 minutes"
 LIVENESS_TIMEOUT_S = 180
+#: Lines that one task parses: a file's split holds millions.
+TASK_LINES = 100_000
 
 # Names of the losses shown.
 DASHBOARD_LOSSES = ("l_g_pix", "l_g_percep", "l_g_identity")

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from corpuslab.operators.ordering import widen
 from corpuslab.streaming import ingest, logs, progress
 
 LINES = [
@@ -176,3 +177,11 @@ def test_ingest_replays_a_batch_whose_filter_was_not_written(spark, tmp_path):
     ingest.stream_ingest(read(), out, chk, "key", "n").awaitTermination(120)
     assert sorted(map(tuple, spark.read.parquet(out).collect())) == before
     assert spark.read.parquet(f"{out}/_filters").count() == 1
+
+
+def test_lines_are_spread_by_their_number(spark):
+    few = spark.range(0, 1000, numPartitions=8)
+    assert widen(few).rdd.getNumPartitions() == 8
+    wide = widen(few, 50)
+    assert wide.rdd.getNumPartitions() == 20 and sorted(r["id"] for r in wide.collect()) == list(range(1000))
+    assert widen(few, 500).rdd.getNumPartitions() == 8

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text
@@ -176,6 +177,17 @@ def normal_noise(key: Column, count: Column, seed: int = 0) -> Column:
     return F.transform(F.sequence(F.lit(0), count - 1), one)
 
 
+#: Planes that a worker holds results of at a time.
+SLICE_PLANES = 256
+
+
+def in_slices(batches: Iterable[pd.DataFrame], rows: int = SLICE_PLANES) -> Iterator[pd.DataFrame]:
+    """The rows of ``batches`` in frames of at most ``rows``, each numbered from zero."""
+    for batch in batches:
+        for start in range(0, len(batch), rows):
+            yield batch.iloc[start : start + rows].reset_index(drop=True)
+
+
 def degrade(planes: DataFrame, plan: DataFrame, kernel_size: int = 41, seed: int = 0, motion_kernels: list[np.ndarray] | None = None) -> DataFrame:
     """Apply blur, down- and up-scaling, noise, jitter and gray of a plan to planes in [0, 255].
 
@@ -198,7 +210,7 @@ def degrade(planes: DataFrame, plan: DataFrame, kernel_size: int = 41, seed: int
     fields = [c for c in joined.columns if c not in ("plane", "_noise")]
 
     def run(batches):
-        for rows in batches:
+        for rows in in_slices(batches):
             out = [None] * len(rows)
             stacks: dict = {}
             for nr, row in enumerate(rows.itertuples(index=False)):

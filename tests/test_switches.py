@@ -6,6 +6,7 @@ import datetime as dt
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -235,3 +236,10 @@ def test_pixel_queries_do_not_join_exploded_planes(spark, sf_dir):
     for name in ("to_luma", "rescale_planes", "channel_moments", "pair_loss", "gram", "box_fit"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan, name
+
+
+def test_planes_are_worked_on_in_slices():
+    batches = [pd.DataFrame({"v": range(n)}) for n in (0, 5, 256, 600)]
+    got = list(sampling.in_slices(iter(batches)))
+    assert [len(g) for g in got] == [5, 256, 256, 256, 88] and all(list(g.index) == list(range(len(g))) for g in got)
+    assert [v for g in got for v in g["v"]] == [v for b in batches for v in b["v"]]

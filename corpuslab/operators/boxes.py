@@ -15,6 +15,8 @@ CORNERS = ("x1", "y1", "x2", "y2")
 
 # A prior table up to this many rows (a few MB) may be broadcast.
 MAX_BROADCAST_PRIORS = 100_000
+#: Pairs of truth and prior, each with its truth, that one task holds.
+TASK_PAIRS = 250_000
 
 #: Boxes of one side of a cell that are compared in one task.
 CELL_ROWS = 2048
@@ -147,6 +149,8 @@ def match_priors(truth: DataFrame, priors: DataFrame, threshold: float = 0.35, m
     met = _met_pairs(side(whole, "a"), side(corners.withColumnRenamed("det_idx", "prior_id"), "b"), (), "iou", _cell_size(truth, corners), small if few else None)
     # Both aggregates below read the pairs.
     pairs = cut_lineage(met.select("img", "det_idx", "prior_id", "overlap", "_t"))
+    # Pairs carry a truth each, so as many tasks as their number asks for; all that follows keeps to the image.
+    parts = max(int(truth.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs.count() // TASK_PAIRS))
 
     # best prior per truth; a truth that meets none falls to the first prior with overlap 0
     none = F.struct(F.lit(0.0).alias("overlap"), F.lit(0).cast("bigint").alias("neg"))
@@ -154,6 +158,7 @@ def match_priors(truth: DataFrame, priors: DataFrame, threshold: float = 0.35, m
     truths = (
         pairs.select("img", "det_idx", found.alias("m"), "_t")
         .unionByName(whole.select("img", "det_idx", none.alias("m"), "_t"))
+        .repartition(parts, "img")
         .groupBy("img", "det_idx")
         .agg(F.max("m").alias("m"), F.first("_t").alias("_t"))
         .select("img", (-F.col("m.neg")).alias("prior_id"), (F.col("m.overlap") >= min_best).alias("_good"), "_t")
@@ -164,6 +169,7 @@ def match_priors(truth: DataFrame, priors: DataFrame, threshold: float = 0.35, m
     matched = (
         pairs.select("img", "prior_id", pair.alias("_rank"), "overlap", F.lit(False).alias("_good"), "_t")
         .unionByName(truths.select("img", "prior_id", claim.alias("_rank"), F.lit(0.0).alias("overlap"), "_good", "_t"))
+        .repartition(parts, "img")
         .groupBy("img", "prior_id")
         .agg(F.max_by("_t", "_rank").alias("t"), F.max("overlap").alias("overlap"), F.max("_good").alias("lifted"))
     )

@@ -183,3 +183,16 @@ def test_a_crowded_cell_is_dealt_to_many_tasks(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert found == {(a, b) for a in range(150) for b in range(150)} | {(k, k) for k in range(500, 560)}
     assert sum(tasks) == 150 * 150 + 60 and len(tasks) > 16 and max(tasks) < 4000
+
+
+def test_match_priors_deals_pairs_by_their_number(spark, monkeypatch):
+    truth = [(f"i{k % 9}", k, 0.1, 0.1, 0.3 + k % 5 / 10, 0.5, 1) for k in range(60)]
+    df = spark.createDataFrame(truth, "img string, det_idx long, x1 double, y1 double, x2 double, y2 double, label int")
+    priors = boxes.prior_grid(spark, 128, 128, [32], [[20, 50]])
+    want = sorted(boxes.match_priors(df, priors).collect())
+    asked = []
+    real = type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, *a: asked.append(a) or real(self, *a))
+    monkeypatch.setattr(boxes, "TASK_PAIRS", 10)
+    assert sorted(boxes.match_priors(df, priors).collect()) == want
+    assert [a[0] > 20 and a[1] == "img" for a in asked if "img" in a] == [True, True]

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import simhash
-from .common import join_facts, same, saved, text_of
+from .common import join_facts, met, same, saved, text_of
 from .components import connected
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -152,8 +152,8 @@ def cluster_links(members: DataFrame, similarity: float = SIMILARITY) -> DataFra
     """``a, b``: links that join ``root, tile, tiles, node, fp, set`` into the components of all similar pairs of a cluster."""
     wide = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda y: F.struct(F.lit(0).alias("x"), y.alias("y"), F.when(y > 0, F.lit(True)).alias("first")))
     slim = F.array(F.struct(F.lit(0).alias("x"), F.col("tile").alias("y"), F.lit(False).alias("first")), F.struct(F.col("tile").alias("x"), F.col("tile").alias("y"), F.lit(None).cast("boolean").alias("first")))
-    met = members.select("root", F.inline(F.when(F.col("tile") == 0, wide).otherwise(slim)), "node", "fp", F.col("node").alias("label"), "set")
-    begun = _links(met, similarity)
+    begun = members.select("root", F.inline(F.when(F.col("tile") == 0, wide).otherwise(slim)), "node", "fp", F.col("node").alias("label"), "set")
+    begun = _links(begun, similarity)
     split = members.where("tiles > 1")
     if not split.limit(1).count():
         return begun
@@ -191,12 +191,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     keys = saved(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head")).where("n > 1"))
-    met = join_facts(keyed, keys, ["key"], "n").select("node", "head")
+    shared = join_facts(keyed, keys, ["key"], "n").select("node", "head")
     prints = saved(nodes.groupBy("fp").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")))
     ends = prints.select("fp", "head")
     near = simhash.near_links(prints, 3).join(ends.toDF("a", "node"), "a").join(ends.toDF("b", "head"), "b").select("node", "head")
     alike = join_facts(nodes.select("fp", "node"), prints, ["fp"], "n").select("node", "head")
-    clusters = connected(met.unionByName(near).unionByName(alike), "node", "head")
+    clusters = connected(shared.unionByName(near).unionByName(alike), "node", "head")
 
     members = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
     members = saved(members.join(nodes.select("node", "n", "fp", "size", *DIGEST), "node"))
@@ -204,7 +204,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = join_facts(members, facts, ["root"], "c").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     members = saved(members.select("root", "tile", "tiles", "node", "fp", "n", *DIGEST))
     # Texts of others leave before anything is joined; two longs a member are sent to all tasks as long as they are few.
-    texts = docs.select(*digest, text.alias("text")).join(members.select(*DIGEST), [*DIGEST], "left_semi")
+    texts = docs.select(*digest, text.alias("text"))
+    texts = met(texts, members.select(*DIGEST), [texts[c] for c in DIGEST], "left_semi")
     texts = join_facts(texts, members, DIGEST, "n")
     members = saved(texts.dropDuplicates(["node"]).select("root", "tile", "tiles", "node", "fp", _sets(F.col("text"), width).alias("set")))
 
@@ -223,4 +224,4 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     names = F.max(same(F.col("doc_id"), F.col("component_id")))
     # The few that go, not the many that stay, meet the documents: as long as they are few no text is shuffled.
     gone = saved(groups.groupBy("doc_id").agg(names.alias("names")).where("NOT names").select(F.col("doc_id").alias("_gone")))
-    return docs.join(gone, same(docs[id_col], gone["_gone"]), "left_anti")
+    return met(docs, gone, [docs[id_col]], "left_anti")

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 from cases import frame, odd_rows
-from corpuslab.llm import components, exact, simhash
+from corpuslab.llm import common, components, exact, simhash
 from corpuslab.llm.common import table
 
 
@@ -71,6 +71,32 @@ def test_exact_keeps_columns(spark):
     assert not Counter(map(tuple, kept.collect())) - Counter(rows)
 
 
+def test_exact_rows_leave_without_their_columns(spark, monkeypatch):
+    """No text is written beside the bytes still to be split, and what goes meets the rows where they are."""
+    written, write = [], exact.saved
+    monkeypatch.setattr(exact, "saved", lambda df: written.append(df) or write(df))
+    rows = odd_rows()
+    # Spark itself broadcasts nothing.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = exact.drop_exact_copies(frame(spark, rows))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert len(kept.collect()) == len({r[1] or "" for r in rows})
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert written and not any("n_chars" in df.schema.simpleString() for df in written)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("few", [0, 1 << 19])
+def test_exact_repeated_ids_and_rows(spark, monkeypatch, few):
+    """One row of each text stays, however often id and text come, for few keys and many."""
+    monkeypatch.setattr(common, "FEW_KEYS", few)
+    rows = [(i, t) for i in (None, 1, 1, 2, 2) for t in (None, "", "a", "b" * 70)] + [(None, "n"), (None, "n"), (3, "a"), (3, "c"), (3, "c")]
+    kept = exact.drop_exact_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["text"] or "") for r in kept) == Counter([(2, ""), (3, "a"), (2, "b" * 70), (None, "n"), (3, "c")])
+
+
 def test_exact_third_of_all_rows(spark):
     rows = [(k, "same text " * 20 if k % 3 == 0 else f"text {k} " * 20, *[None] * 9) for k in range(600)]
     check_exact(rows, exact.exact_groups(frame(spark, rows)).collect())

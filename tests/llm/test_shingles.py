@@ -64,6 +64,20 @@ def test_odd_rows(spark):
     assert shingles.keep_one_per_group(frame(spark, [])).count() == 0
 
 
+def test_documents_are_not_shuffled_for_few_that_go(spark):
+    rows = edited_rows(5, 20)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # Spark itself broadcasts nothing.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = shingles.keep_one_per_group(docs)
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert {r["doc_id"] for r in left.collect()} == plain_stay(rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_bands_agree_at_the_similarity():
     rng = random.Random(8)
     missed = 0

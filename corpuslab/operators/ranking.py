@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text
-from .ordering import block_by_bounds, cut_lineage, dense_position, group_limit_threshold, order_bounds, order_columns, position_by, sort_key
+from .ordering import block_by_bounds, cut_lineage, dense_position, group_limit_threshold, join_facts, order_bounds, order_columns, position_by, sort_key
 
 
 def take_per_group(df: DataFrame, group: list[str], n: int, order: list, blocks: int | None = None) -> DataFrame:
@@ -182,10 +182,19 @@ def frame_indices(index: Column, length: Column, k: int, padding: str = "reflect
     )
 
 
+#: Frames that a task joins with the facts of their clips, on average.
+TASK_FRAMES = 250_000
+
+
+def with_clip(frames: DataFrame, fact: Column, clip: str = "clip") -> DataFrame:
+    """``frames`` with an aggregate of their clip beside each; clips of any number of frames, tasks of ``TASK_FRAMES``."""
+    facts = cut_lineage(frames.groupBy(clip).agg(fact, F.count(F.lit(1)).alias("_n")))
+    return join_facts(frames, facts, [clip], "_n", task_rows=TASK_FRAMES).drop("_n")
+
+
 def neighbour_frames(frames: DataFrame, k: int, padding: str = "reflection", clip: str = "clip", index: str = "frame_idx") -> DataFrame:
     """One row per frame and slot: ``slot`` 0..k-1 and the frame number read for it."""
-    length = frames.groupBy(clip).agg((F.max(index) + 1).alias("_len"))
-    known = frames.select(clip, index).join(length, clip)
+    known = with_clip(frames.select(clip, index), (F.max(index) + 1).alias("_len"), clip)
     slots = F.posexplode(frame_indices(F.col(index), F.col("_len"), k, padding)).alias("slot", "source_idx")
     return known.select(clip, index, slots)
 

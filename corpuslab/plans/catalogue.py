@@ -793,8 +793,9 @@ def first_available(spark, sf):
 @query
 def neighbour_frames(spark, sf):
     f = t.table(spark, sf, "conversations").select(F.col("conv_id").alias("clip"), F.col("turn").cast("int").alias("frame_idx"))
-    base = f.groupBy("clip").agg(F.min("frame_idx").alias("_low"))
-    zero = f.join(base, "clip").select("clip", (F.col("frame_idx") - F.col("_low")).alias("frame_idx"))
+    low = ranking.with_clip(f, F.min("frame_idx").alias("_low"))
+    # Read by each padding.
+    zero = cut_lineage(low.select("clip", (F.col("frame_idx") - F.col("_low")).alias("frame_idx")))
     parts = [ranking.neighbour_frames(zero, 5, p).withColumn("padding", F.lit(p)) for p in ranking.PADDINGS]
     out = parts[0]
     for p in parts[1:]:

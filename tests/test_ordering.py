@@ -191,3 +191,16 @@ def test_frame_paddings(spark):
         ranking.neighbour_frames(one, 4)
     single = spark.createDataFrame([(1, 0, "p")], "clip long, frame_idx int, payload string")
     assert ranking.gather_frames(single, 3, "replicate").collect()[0]["window"] == ["p", "p", "p"]
+
+
+def test_frames_are_dealt_by_their_number(spark, monkeypatch):
+    """Frames of many clips and of a hot one go to tasks of bounded size, however few bytes they are."""
+    monkeypatch.setattr(ranking, "TASK_FRAMES", 1000, raising=False)
+    clip = F.when(F.col("id") < 4000, F.lit(-1).cast("long")).otherwise(F.floor(F.col("id") / 8))
+    index = F.when(F.col("id") < 4000, F.col("id")).otherwise(F.col("id") % 8)
+    frames = spark.range(0, 16_000, 1, 8).select(clip.alias("clip"), index.cast("int").alias("frame_idx"))
+    got = ranking.neighbour_frames(frames.unionByName(spark.createDataFrame([(None, 0)], "clip long, frame_idx int")), 3, "replicate")
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 48_000 and max(sizes) < 3 * 2500
+    want = {(c, i, s, min(max(i + s - 1, 0), (4000 if c < 0 else 8) - 1)) for c, i in map(tuple, frames.collect()) for s in range(3)}
+    assert {(r["clip"], r["frame_idx"], r["slot"], r["source_idx"]) for r in got.collect()} == want
